@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.llm import minhash
+from tessellum.llm import lines, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,13 @@ def op5_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_lists(_table(spark, sf_dir, "documents"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(_table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_groups": op5_minhash_groups,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
 }
 
 ORACLES: dict[str, str] = {}
