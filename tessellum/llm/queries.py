@@ -6,24 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.llm import lines, minhash
+from tessellum.llm import lines, minhash, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"), with_order=True).select("doc_id", "source", "block", "order_key", "n_tokens")
+
+
 def op5_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_lists(_table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(_table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_temperature_mixing": op1_temperature_mixing,
     "op5_minhash_groups": op5_minhash_groups,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_fuzzy_lines": op9_fuzzy_lines,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_temperature_mixing": mixing.SQL,
+}
