@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessellum.llm import lines, minhash, mixing, packing
+from tessellum.llm import lines, minhash, mixing, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,13 @@ def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"), with_order=True).select("doc_id", "source", "block", "order_key", "n_tokens")
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their scores."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.trained(docs, _table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select("doc_id", "text"), model).where(F.col("score") >= model.threshold).select("doc_id", "score")
+
+
 def op5_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_lists(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,7 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mixing": op1_temperature_mixing,
+    "op4_quality_gam": op4_quality_gam,
     "op5_minhash_groups": op5_minhash_groups,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_fuzzy_lines": op9_fuzzy_lines,
