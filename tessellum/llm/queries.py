@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import lines, minhash, mixing, packing, quality
+from tessellum.llm import lines, minhash, mixing, packing, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"), with_order=True).select("doc_id", "source", "block", "order_key", "n_tokens")
 
 
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents"), pii.trained(pii.labelled_table(spark)))
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their scores."""
     docs = _table(spark, sf_dir, "documents")
@@ -39,6 +43,7 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mixing": op1_temperature_mixing,
+    "op2_pii_crf": op2_pii_crf,
     "op4_quality_gam": op4_quality_gam,
     "op5_minhash_groups": op5_minhash_groups,
     "op7_best_fit_packing": op7_best_fit_packing,
