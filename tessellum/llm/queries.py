@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import lines, minhash, mixing, packing, pii, quality
+from tessellum.llm import chat, lines, minhash, mixing, packing, pii, quality, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _neighbours(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("vec_id"), F.col("partner").alias("neighbour_id"), "rank", "distance")
+
+
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"), with_order=True).select("doc_id", "source", "block", "order_key", "n_tokens")
 
@@ -22,6 +26,10 @@ def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_table(spark, sf_dir, "documents"), pii.trained(pii.labelled_table(spark)))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_table(spark, sf_dir, "conversations"))
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their scores."""
     docs = _table(spark, sf_dir, "documents")
@@ -37,19 +45,31 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op8_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(vectors.permutation_search(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(_table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(vectors.exact_search(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_pii_crf": op2_pii_crf,
+    "op3_chat_format": op3_chat_format,
     "op4_quality_gam": op4_quality_gam,
     "op5_minhash_groups": op5_minhash_groups,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_permutation_ann": op8_permutation_ann,
     "op9_fuzzy_lines": op9_fuzzy_lines,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 ORACLES: dict[str, str] = {
     "op1_temperature_mixing": mixing.SQL,
+    "op10_exact_topk": vectors.SQL,
 }
