@@ -119,6 +119,26 @@ def _sketch(batches: Iterator[pa.RecordBatch], samples: int, bands: int, bits: i
             )
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by key, whose key occurs more than once."""
+    last: tuple[int, int, bool] | None = None  # key, id, and whether the row was given out
+    for batch in batches:
+        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not keys.size:
+            continue
+        if last is not None:
+            keys, ids = np.append(last[0], keys), np.append(last[1], ids)
+        twin = np.zeros(keys.size, dtype=bool)
+        twin[1:] = keys[1:] == keys[:-1]
+        twin[:-1] |= twin[1:]
+        give = twin.copy()
+        if last is not None and last[2]:
+            give[0] = False
+        if give.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[give]), pa.array(ids[give])], names=["key", "id"])
+        last = keys[-1], ids[-1], bool(twin[-1]) or (last is not None and keys.size == 1 and last[2])
+
+
 def _links_of(ids: np.ndarray, odd: np.ndarray, threshold: float, samples: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect just what similar pairs connect within one band bucket."""
     label, step = np.arange(ids.size), max(1, (1 << 22) // max(1, ids.size))
@@ -188,12 +208,18 @@ def groups(
     one = sketched.groupBy("id").agg(F.min("whole").alias("whole"))
     alike = written(one.groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "alike")
     same = one.join(alike.where("n > 1").select("whole", "rep"), "whole").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    first = (
-        sketched.join(alike.select("whole", F.col("rep").alias("id")), ["whole", "id"], "left_semi")
-        .select("id", "odd", F.explode("keys").alias("key"))
+    first = sketched.join(alike.select("whole", F.col("rep").alias("id")), ["whole", "id"], "left_semi")
+    # only keys that two documents share go on, and only then do sketches travel
+    shared = (
+        first.select("id", F.explode("keys").alias("key"))
+        .select("key", "id")
+        .repartition("key")
+        .sortWithinPartitions("key")
+        .mapInArrow(_shared, "key long, id long")
     )
     near = (
-        first.select("key", "id", "odd")
+        shared.join(first.select("id", "odd"), "id")
+        .select("key", "id", "odd")
         .repartition("key")
         .sortWithinPartitions("key", "id")
         .mapInArrow(lambda it: _verify(it, threshold, samples), "a long, b long")
