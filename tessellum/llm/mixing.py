@@ -118,14 +118,15 @@ def mixed(
     """docs with each row as often as the mixture has it; all columns as they are.
 
     with_order adds block, order_key (which sorts a block of a source) and n_tokens.
-    The one collect is a row for each source.
+    What is collected is a row for each source.
     """
     narrow = docs.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"), F.col("doc_id"), n_tokens(F.col("text")).alias("t")
     )
     narrow = written(narrow, "tokens")
-    plan = _plan(narrow, entropy, max_epochs, budget, seed)
-    plan = plan.select(F.col("s").alias("__s"), F.col("full").alias("__full"), F.col("last").alias("__last"))
+    # a row for each source, as local rows of known size: the join then moves the plan, not the texts
+    rows = _plan(narrow, entropy, max_epochs, budget, seed).collect()
+    plan = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "__s string, __full long, __last string")
     joined = docs.join(plan, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("__s"))
     in_last = (order_key(seed, F.col("__full"), docs["doc_id"]) <= F.col("__last")).cast("int")
     times = F.col("__full").cast("int") + F.coalesce(in_last, F.lit(0))
