@@ -297,20 +297,22 @@ class Gru:
         rank = np.empty(lanes, np.int64)
         rank[np.argsort(-load, kind="stable")] = np.arange(lanes)  # longest lanes first: those that live are a prefix
         lane, load = rank[lane], -np.sort(-load)
-        length = -(-int(load.max()) // steps) * steps
-        target, fresh, live = np.full((lanes, length), v.end, np.int32), np.zeros((lanes, length), bool), np.zeros((lanes, length), bool)
-        flat = np.repeat(lane * length + place - first[:-1], size) + np.arange(ids.size)
-        target.ravel()[flat], live.ravel()[flat] = ids, True
-        fresh.ravel()[lane * length + place] = True
+        # lanes lie behind one another, each filled up to whole windows: a very long one costs only its own length
+        begin = np.concatenate([[0], np.cumsum(-(-load // steps) * steps)])
+        target, fresh, live = np.full(begin[-1], v.end, np.int32), np.zeros(begin[-1], bool), np.zeros(begin[-1], bool)
+        head = begin[lane] + place
+        flat = np.repeat(head - first[:-1], size) + np.arange(ids.size)
+        target[flat], live[flat], fresh[head] = ids, True, True
         before = np.full_like(target, v.end)
-        before[:, 1:] = target[:, :-1]
-        before[fresh] = v.end
-        h, out = np.zeros((lanes, self.u.shape[0]), np.float32), np.empty((lanes, length), np.float32)
-        for t in range(0, length, steps):
-            n, w = int(np.searchsorted(-load, -t)), slice(t, t + steps)
-            logp, h = self.window(*(np.ascontiguousarray(m[:n, w].T) for m in (before, target, fresh, live)), h[:n], v, learn)
-            out[:n, w] = logp.T
-        c = np.concatenate([[0], np.cumsum(out.ravel()[flat], dtype=np.float64)])
+        before[1:] = target[:-1]
+        before[head] = v.end
+        h, out = np.zeros((lanes, self.u.shape[0]), np.float32), np.empty(begin[-1], np.float32)
+        for t in range(0, int(load[0]), steps):
+            n = int(np.searchsorted(-load, -t))
+            at = begin[:n] + t + np.arange(steps)[:, None]
+            logp, h = self.window(before[at], target[at], fresh[at], live[at], h[:n], v, learn)
+            out[at] = logp
+        c = np.concatenate([[0], np.cumsum(out[flat], dtype=np.float64)])
         return c[first[1:]] - c[first[:-1]]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import chat, lines, minhash, mixing, packing, pii, quality, vectors
+from tessellum.llm import chat, lines, lm, minhash, mixing, packing, pii, quality, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,13 @@ def op5_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_lists(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihoods of whole documents under a model that was trained on all of them."""
+    docs = _table(spark, sf_dir, "documents")
+    v = lm.vocabulary(docs)
+    return lm.scored(docs, lm.trained(docs, v), v)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_quality_gam": op4_quality_gam,
     "op5_minhash_groups": op5_minhash_groups,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_permutation_ann": op8_permutation_ann,
     "op9_fuzzy_lines": op9_fuzzy_lines,
