@@ -126,8 +126,8 @@ def drawn(root: Node, depth: int = DEPTH, inline: int = INLINE) -> list[str]:
     return out
 
 
-def outline(files: DataFrame, subpath: str = "", depth: int = DEPTH, inline: int = INLINE, everything: bool = False) -> str:
-    """The printed tree of files(file_path), with its size in a last line."""
+def outline(files: DataFrame, subpath: str = "", depth: int = DEPTH, inline: int = INLINE, everything: bool = False, empty: list[str] | None = None) -> str:
+    """The printed tree of files(file_path), with its size in a last line; empty names folders that need not have files."""
     p = F.col("file_path")
     top = subpath.strip("/")
     own = shown(files, everything)
@@ -135,7 +135,8 @@ def outline(files: DataFrame, subpath: str = "", depth: int = DEPTH, inline: int
         own = own.where(F.startswith(p, F.lit(top + "/")))
     key = paths.natural_key(paths.base_name(p))
     rows = own.groupBy(paths.parent_dir(p).alias("folder")).agg(F.transform(F.sort_array(F.collect_list(key)), lambda k: paths.strip_known(k["name"])).alias("names"))
-    lines = ["# Project Structure", "", *drawn(built([(r["folder"], r["names"]) for r in rows.collect()], top), depth, inline)]
+    found = [(r["folder"], r["names"]) for r in rows.collect()] + [(f, []) for f in empty or []]
+    lines = ["# Project Structure", "", *drawn(built(found, top), depth, inline)]
     body = "\n".join(lines)
     n = len(body.encode())
     return f"{body}\n\n# ~{-(-n // 4)} tokens ({n} chars, {len(lines)} lines)\n"
