@@ -139,18 +139,132 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
 
 
-def similar(a: Column, b: Column, similarity: float) -> Column:
-    """Edit similarity 1 - edits / longer length reaches the bound."""
-    longer = F.greatest(F.length(a), F.length(b))
-    most = F.floor((1 - similarity) * longer + F.lit(1e-9)).cast("int")
-    within = F.abs(F.length(a) - F.length(b)) <= most
-    # the work grows with the bound, and most pairs are within a fraction of it: try that first
-    sure = F.when(~within, F.lit(False))
-    for part in (16, 4, 1):
-        bound = F.floor(most / part).cast("int")
-        near = F.call_function("levenshtein", a, b, bound) >= 0
-        sure = sure.when(near, F.lit(True))
-    return sure.otherwise(F.lit(False))
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without what they begin and end with alike, which has no part in the distance."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        k = (low + high + 1) // 2
+        if a[low:k] == b[low:k]:
+            low = k
+        else:
+            high = k - 1
+    a, b = a[low:], b[low:]
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        k = (low + high + 1) // 2
+        if a[len(a) - k : len(a) - low] == b[len(b) - k : len(b) - low]:
+            low = k
+        else:
+            high = k - 1
+    return a[: len(a) - low], b[: len(b) - low]
+
+
+def edits(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Edit distances in characters, by bit vectors (Myers 1999, in blocks after Hyyroe 2003).
+
+    Pairs of like length go through the blocks side by side in numpy; where there are too
+    few of them, or they are long, each pair is one integer of as many bits as characters.
+    """
+    pairs = [_trimmed(*x) for x in pairs]
+    order = sorted(range(len(pairs)), key=lambda i: -max(map(len, pairs[i])))
+    out, at = np.zeros(len(pairs), dtype=np.int64), 0
+    while at < len(order):
+        longest = max(map(len, pairs[order[at]]))
+        end = at + 1
+        while end < len(order) and end - at < 2048 and 8 * max(map(len, pairs[order[end]])) >= 7 * longest:
+            end += 1
+        n, words = end - at, -(-longest // 64)
+        if words * (1e-6 + n * 0.5e-9) < n * (80e-9 + words * 1.5e-9):
+            out[order[at:end]] = _edits_by_blocks([pairs[i] for i in order[at:end]])
+        else:
+            for i in order[at:end]:
+                out[i] = _edits_by_integers(*pairs[i])
+        at = end
+    return out
+
+
+def _edits_by_integers(a: str, b: str) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    equal: dict[str, int] = {}
+    for i, c in enumerate(a):
+        equal[c] = equal.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    up, down = full, 0
+    for c in b:
+        eq = equal.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph = (down | ~(xh | up)) << 1 | 1
+        mh = (up & xh) << 1
+        up = (mh | ~(xv | ph)) & full
+        down = ph & xv & full
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+def _edits_by_blocks(pairs: list[tuple[str, str]]) -> np.ndarray:
+    short, long = zip(*((a, b) if len(a) <= len(b) else (b, a) for a, b in pairs), strict=True)
+    order = np.argsort([-len(x) for x in long], kind="stable")
+    m, n = np.array([len(short[i]) for i in order]), np.array([len(long[i]) for i in order])
+    count, words = len(order), max(1, -(-int(m.max()) // 64))
+
+    def codes(texts: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+    p, t = codes([short[i] for i in order]), codes([long[i] for i in order])
+    known, at = np.unique(np.concatenate([p, t]), return_inverse=True)
+    p, t = at[: p.size], at[p.size :]
+    # equal[symbol, pair, word]: where the short text has the symbol
+    equal = np.zeros((known.size, count, words), dtype=np.uint64)
+    place = np.arange(p.size) - np.repeat(np.cumsum(m) - m, m)
+    np.bitwise_or.at(equal, (p, np.repeat(np.arange(count), m), place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    text = np.zeros((int(n.max(initial=0)), count), dtype=np.int64)
+    place = np.arange(t.size) - np.repeat(np.cumsum(n) - n, n)
+    text[place, np.repeat(np.arange(count), n)] = t
+    up, down = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), dtype=np.uint64)
+    one, top, pair = np.uint64(1), np.uint64(63), np.arange(count)
+    for step in range(len(text)):
+        live = int(np.searchsorted(-n, -step))  # texts longer than that; they come first
+        eqs = equal[text[step, :live], pair[:live]]
+        plus, minus = np.ones(live, dtype=np.uint64), np.zeros(live, dtype=np.uint64)
+        for w in range(words):
+            pv, mv, eq = up[w, :live], down[w, :live], eqs[:, w]
+            xv = eq | mv
+            eq = eq | minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | ~(xh | pv)
+            mh = pv & xh
+            next_plus, next_minus = ph >> top, mh >> top
+            ph = ph << one | plus
+            mh = mh << one | minus
+            up[w, :live] = mh | ~(xv | ph)
+            down[w, :live] = ph & xv
+            plus, minus = next_plus, next_minus
+    # the last column is its top, n, and the steps down to row m
+    bits = np.clip(m[None] - 64 * np.arange(words)[:, None], 0, 64)
+    inside = np.where(bits >= 64, ~np.uint64(0), (one << np.minimum(bits, 63).astype(np.uint64)) - one)
+    found = np.empty(count, dtype=np.int64)
+    found[order] = n + np.bitwise_count(up & inside).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & inside).sum(axis=0, dtype=np.int64)
+    return found
+
+
+def similar(pairs: list[tuple[str, str]], similarity: float) -> np.ndarray:
+    """Whether the edit similarity 1 - edits / longer length reaches the bound."""
+    longer = np.array([max(map(len, x)) for x in pairs], dtype=np.int64)
+    most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
+    out = np.array([abs(len(a) - len(b)) for a, b in pairs], dtype=np.int64) <= most
+    some = np.flatnonzero(out)
+    out[some] = edits([pairs[i] for i in some]) <= most[some]
+    return out
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            ok = pa.array(similar(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), similarity))
+            yield batch.select(["a", "b"]).filter(ok)
 
 
 def surplus(docs: DataFrame, distance: int = DISTANCE, n_blocks: int = N_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
@@ -180,7 +294,7 @@ def surplus(docs: DataFrame, distance: int = DISTANCE, n_blocks: int = N_BLOCKS,
     )
     texts = written(texts, "texts")
     a, b = texts.select(F.col("hash").alias("a"), F.col("line").alias("x")), texts.select(F.col("hash").alias("b"), F.col("line").alias("y"))
-    links = pairs.join(a, "a").join(b, "b").where(similar(F.col("x"), F.col("y"), similarity)).select("a", "b")
+    links = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long")
     near = written(connected(links), "near")
     roots = (
         near.join(distinct.select(F.col("hash").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("root_first"))

@@ -114,3 +114,28 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert L.deduplicated(spark.createDataFrame([], DOCS), counts=True).count() == 0
+
+
+def test_edit_distances_against_the_table_of_prefixes():
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    r, pairs = random.Random(1), [("", ""), ("", "abc"), ("a" * 64, "a" * 65), ("é☃", "𝄞")]
+    for _ in range(250):
+        a = "".join(r.choice("abcdé☃𝄞 ") for _ in range(r.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 200])))
+        b = list(a)
+        for _ in range(r.randint(0, 20)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = r.choice(["", "x", "q", "a"])
+        pairs.append((a, "".join(b)))
+    want = [table(a, b) for a, b in pairs]
+    assert L.edits(pairs).tolist() == L._edits_by_blocks(pairs).tolist() == [L._edits_by_integers(a, b) for a, b in pairs] == want
+    assert L.edits([]).tolist() == []
+    sure = [1 - d / max(1, len(a), len(b)) >= 0.85 for d, (a, b) in zip(want[1:], pairs[1:], strict=True)]
+    assert L.similar(pairs[1:], 0.85).tolist() == sure
