@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessellum.llm import text as tx
 from tessellum.llm.components import connected
-from tessellum.llm.store import written
+from tessellum.llm.store import bounded, written
 
 SAMPLES, BANDS, SKETCH_BITS, THRESHOLD = 256, 32, 1024, 0.55
 ROWS = 4  # samples to a band: a pair at 0.6 shares a band in 99 of 100 cases
@@ -201,7 +201,7 @@ def groups(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(doc_id, root) of every document that is in a group of two or more."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     sketched = narrow.mapInArrow(lambda it: _sketch(it, samples, bands, bits), "id long, whole long, keys array<long>, odd binary")
     sketched = written(sketched, "sketches")
     # documents with one signature collapse before the bands: thousands of copies cost one row each
