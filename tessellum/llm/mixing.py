@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tessellum.llm.store import written
 
 ENTROPY, MAX_EPOCHS, SEED, STEPS = 0.97, 4.0, 17, 50
+BROADCAST_BYTES = 8 << 20  # of the plan, a row for each source
 
 
 @dataclass(frozen=True)
@@ -124,9 +125,10 @@ def mixed(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"), F.col("doc_id"), n_tokens(F.col("text")).alias("t")
     )
     narrow = written(narrow, "tokens")
-    # a row for each source, as local rows of known size: the join then moves the plan, not the texts
     rows = _plan(narrow, entropy, max_epochs, budget, seed).collect()
     plan = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "__s string, __full long, __last string")
+    if sum(len(r["s"].encode()) + 64 for r in rows) <= BROADCAST_BYTES:
+        plan = F.broadcast(plan)  # the join then moves the plan, not the texts; beyond that size both are shuffled
     joined = docs.join(plan, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("__s"))
     in_last = (order_key(seed, F.col("__full"), docs["doc_id"]) <= F.col("__last")).cast("int")
     times = F.col("__full").cast("int") + F.coalesce(in_last, F.lit(0))
