@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessellum.llm.store import written
 
 K, SEED = 10, 11
-PIVOTS, LENGTH, POST, PROBE, SHARE, LEAST = 256, 128, 8, 20, 0.15, 64
+PIVOTS, LENGTH, POST, PROBE, SHARE, LEAST, LEVELS = 256, 128, 8, 28, 0.15, 128, 8
 SIDE = 65_536  # vectors from which a file is cut into parts, so that a task's memory is bounded
 CELL_PIVOTS, GROUP_ROWS = 4096, 4096
 FOUND = "id long, partners array<struct<distance:double,id:long>>"
@@ -84,37 +84,37 @@ def permutations(v: np.ndarray, piv: np.ndarray, length: int) -> np.ndarray:
     return np.argsort(_squares(v, piv), axis=1, kind="stable")[:, :length]
 
 
-def closeness(perm: np.ndarray, n_pivots: int) -> np.ndarray:
-    """length - place of each pivot, 0 behind the prefix.
+def prefixes(perm: np.ndarray, n_pivots: int, levels: int) -> np.ndarray:
+    """(rows, levels * n_pivots) of 0 and 1: which pivots stand in the first 1/levels, 2/levels, ... of the places.
 
-    The footrule distance of two prefixes (a missing pivot stands at `length`) is a
-    constant less twice the sum of the lesser closenesses.
+    The footrule distance of two permutations (a missing pivot stands behind the last
+    place), with places counted in steps of length/levels, is a constant less twice the
+    number of ones that both rows have; with a level for each place it is the exact one.
     """
-    length = perm.shape[1]
-    w = np.zeros((len(perm), n_pivots), dtype=np.uint8 if length < 256 else np.uint16)
-    np.put_along_axis(w, perm, (length - np.arange(length)).astype(w.dtype)[None], 1)
-    return w
+    n, length = perm.shape
+    out = np.zeros((n, levels, n_pivots), dtype=np.uint8)
+    for t in range(levels):
+        own = perm[:, : -(-length * (t + 1) // levels)]
+        np.put_along_axis(out[:, t], own, 1, 1)
+    return out.reshape(n, -1)
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums over pivots of the lesser closeness, for all rows of a and b."""
-    out = np.zeros((len(a), len(b)), dtype=np.uint16 if a.shape[1] * int(a.max(initial=1)) < 1 << 16 else np.uint32)
-    part = np.empty(out.shape, dtype=a.dtype)
-    for p in np.flatnonzero(a.any(0) & b.any(0)):
-        np.minimum.outer(a[:, p], b[:, p], out=part)
-        out += part
-    return out
+def _overlap(a: np.ndarray, b: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Common ones of all rows of a and b; the sums are exact in single precision."""
+    left = a.astype(np.float32)
+    return np.concatenate([left @ b[i : i + block].astype(np.float32).T for i in range(0, len(b), block)], axis=1)
 
 
 @dataclass(frozen=True)
 class Permutations:
-    """Parameters of the index: prefix length, files a vector is posted in, files a query looks in, share reranked."""
+    """Parameters of the index: prefix length, files a vector is posted in, files a query looks in, share reranked, steps of the footrule."""
 
     length: int = LENGTH
     post: int = POST
     probe: int = PROBE
     share: float = SHARE
     least: int = LEAST
+    levels: int = LEVELS
 
 
 def _search_file(piv: np.ndarray, par: Permutations, k: int, queries: pa.Table, posts: pa.Table) -> pa.Table:
@@ -125,13 +125,14 @@ def _search_file(piv: np.ndarray, par: Permutations, k: int, queries: pa.Table,
     q, x = (_matrix(t.column("v").combine_chunks()) for t in (queries, posts))
     order = np.argsort(pi, kind="stable")
     pi, x = pi[order], x[order]
-    wx = closeness(permutations(x, piv, par.length), len(piv))
+    levels = min(par.levels, par.length)
+    wx = prefixes(permutations(x, piv, par.length), len(piv), levels)
     take = min(len(pi), max(par.least, math.ceil(par.share * len(pi))))
     rows, partners, dists = [], [], []
     step = max(1, (1 << 22) // len(pi))
     for at in range(0, len(qi), step):
         part = q[at : at + step]
-        near = _overlap(closeness(permutations(part, piv, par.length), len(piv)), wx)
+        near = _overlap(prefixes(permutations(part, piv, par.length), len(piv), levels), wx)
         bound = np.partition(near, len(pi) - take, axis=1)[:, len(pi) - take]
         square = _squares(part, x)
         square[near < bound[:, None]] = np.inf  # ties in footrule distance stay
@@ -161,9 +162,9 @@ def permutation_search(
     """
     rows = clean(table, id_col, vector_col)
     n = rows.count()
-    piv = pivots(rows, max(1, min(n_pivots, max(16, n // 100), n)))
+    piv = pivots(rows, max(1, min(n_pivots, max(16, n // 16), n)))
     want = par or Permutations()
-    par = Permutations(min(want.length, max(1, len(piv))), min(want.post, max(1, len(piv) // 2)), min(want.probe, max(1, len(piv))), want.share, want.least)
+    par = Permutations(min(want.length, max(1, len(piv))), min(want.post, max(1, len(piv) // 2)), min(want.probe, max(1, len(piv))), want.share, want.least, want.levels)
     parts = max(1, math.ceil(n / SIDE))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +271,7 @@ def _expand(cells: Cells, k: int, shell: int, queries: pa.Table, data: pa.Table)
             _, a, b = annuli[s]
             d = np.sqrt(_squares(q[i], x[a:b]))
             d[qi[i, None] == xi[None, a:b]] = np.inf
-            near = d <= r[i, None] + 1e-9
+            near = (d <= r[i, None] + 1e-9) & np.isfinite(d)
             some = near.any(axis=1)
             if not some.any():
                 continue

@@ -59,13 +59,13 @@ def test_recall_of_the_permutation_index(spark, n, d):
     assert np.mean([len({a for a, *_ in got[i]} & {a for a, *_ in want[i]}) / 10 for i in want]) > 0.9
 
 
-def test_footrule_from_closeness():
+def test_footrule_from_common_prefixes():
     r, length = random.Random(1), 5
     for _ in range(50):
         a, b = (r.sample(range(9), length) for _ in range(2))
         place = lambda p, x: x.index(p) if p in x else length
         direct = sum(abs(place(p, a) - place(p, b)) for p in range(9))
-        w = v.closeness(np.array([a, b]), 9)
+        w = v.prefixes(np.array([a, b]), 9, length)
         assert direct == length * (length + 1) - 2 * int(v._overlap(w[:1], w[1:])[0, 0])
 
 
@@ -88,3 +88,13 @@ def test_many_ties_go_to_the_lesser_id(spark):
     for search in (v.exact_search, v.permutation_search):
         got = lists(search(df, "vec_id", "embedding", 3))
         assert got[0] == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)] and got[9] == [(0, 1, 0.0), (1, 2, 0.0), (2, 3, 0.0)]
+
+
+def test_recall_where_vectors_have_no_clusters(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(2000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, a.tolist(), 0) for i, a in enumerate(x)], SCHEMA)
+    got, want = lists(v.permutation_search(df, "vec_id", "embedding")), lists(v.exact_search(df, "vec_id", "embedding"))
+    assert np.mean([len({a for a, *_ in got[i]} & {a for a, *_ in want[i]}) / 10 for i in want]) > 0.93
+
