@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.llm.store import written
@@ -42,6 +42,16 @@ def clean(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return written(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "vectors")
 
 
+def _least(rows: DataFrame, k: int) -> DataFrame:
+    """rows with `least`: whether the row is among the k + 1 least ids of its vector.
+
+    No others can be partners, as k with lesser ids stand at the same distance: thousands
+    of equal vectors cost as many queries, but not as many pairs.
+    """
+    order = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
+    return rows.withColumn("least", F.row_number().over(order) <= k + 1)
+
+
 def pivots(rows: DataFrame, n: int) -> np.ndarray:
     """n vectors picked by a hash of their ids."""
     got = rows.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(n).collect()
@@ -172,12 +182,12 @@ def permutation_search(
             if len(b):
                 perm = permutations(_matrix(b.column(1)), piv, max(par.post, par.probe)).astype(np.int32)
                 flat = pa.ListArray.from_arrays(np.arange(0, perm.size + 1, perm.shape[1], dtype=np.int32), pa.array(perm.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["id", "v", "near"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat], names=["id", "v", "least", "near"])
 
-    indexed = rows.mapInArrow(near, "id long, v array<float>, near array<int>")
+    indexed = _least(rows, k).mapInArrow(near, "id long, v array<float>, least boolean, near array<int>")
     own = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(parts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    posts = indexed.select("id", "v", F.explode(F.slice("near", 1, par.post)).alias("pivot"), own.alias("shard"))
+    posts = indexed.where("least").select("id", "v", F.explode(F.slice("near", 1, par.post)).alias("pivot"), own.alias("shard"))
     posts = posts.select("id", "v", "pivot", "shard", every.alias("part"))
     asks = indexed.select("id", "v", F.explode(F.slice("near", 1, par.probe)).alias("pivot"), own.alias("part"))
     asks = asks.select("id", "v", "pivot", "part", every.alias("shard"))
@@ -195,18 +205,18 @@ def _cells(batches: Iterator[pa.RecordBatch], piv: np.ndarray) -> Iterator[pa.Re
             d = _squares(_matrix(b.column(1)), piv)
             cell = d.argmin(axis=1)
             key = np.sqrt(d[np.arange(len(d)), cell])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(key)], names=["id", "v", "cell", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell.astype(np.int32)), pa.array(key)], names=["id", "v", "least", "cell", "key"])
 
 
 def _bound(table: pa.Table, k: int) -> pa.Table:
     """The vectors of one cell, each with the distance to its k-th neighbour there."""
-    v = _matrix(table.column("v").combine_chunks())
-    n, out = len(v), np.full(len(v), np.inf)
-    if n > k:
-        step = max(1, (1 << 22) // n)
-        for i in range(0, n, step):
-            d = _squares(v[i : i + step], v)
-            d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
+    v, ids, least = _matrix(table.column("v").combine_chunks()), np.array(table.column("id")), np.array(table.column("least"))
+    x, own, out = v[least], ids[least], np.full(len(v), np.inf)
+    if len(x) > k:
+        step = max(1, (1 << 22) // len(x))
+        for i in range(0, len(v), step):
+            d = _squares(v[i : i + step], x)
+            d[ids[i : i + step, None] == own[None]] = np.inf
             out[i : i + step] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
     return table.select(["id", "v"]).append_column("r", pa.array(out + 1e-9))
 
@@ -311,7 +321,7 @@ def exact_search(
     rows = clean(table, id_col, vector_col)
     n = rows.count()
     piv = pivots(rows, max(1, min(n_pivots or min(CELL_PIVOTS, round(math.sqrt(n) / 2)), n)))
-    keyed = written(rows.mapInArrow(lambda it: _cells(it, piv), "id long, v array<float>, cell int, key double"), "keyed")
+    keyed = written(_least(rows, k).mapInArrow(lambda it: _cells(it, piv), "id long, v array<float>, least boolean, cell int, key double"), "keyed")
     # a row for each pivot
     stats = keyed.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).collect()
     low, high, group, filled = np.full(len(piv), np.inf), np.full(len(piv), -np.inf), np.zeros(len(piv), np.int64), 0
@@ -324,7 +334,7 @@ def exact_search(
     parts = max(1, math.ceil(n / SIDE))
     own = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(parts)).cast("int")
     asks = bounded.mapInArrow(lambda it: _route(it, cells), "id long, v array<float>, r double, grp int").withColumn("part", own)
-    data = keyed.select("id", "v", "cell", "key", of_cell.cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    data = keyed.where("least").select("id", "v", "cell", "key", of_cell.cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     found = asks.groupBy("grp", "part").cogroup(data.groupBy("grp", "part")).applyInArrow(lambda a, b: _expand(cells, k, shell, a, b), FOUND)
     return _ranked(found, k)
 

@@ -98,3 +98,11 @@ def test_recall_where_vectors_have_no_clusters(spark):
     got, want = lists(v.permutation_search(df, "vec_id", "embedding")), lists(v.exact_search(df, "vec_id", "embedding"))
     assert np.mean([len({a for a, *_ in got[i]} & {a for a, *_ in want[i]}) / 10 for i in want]) > 0.93
 
+
+def test_groups_of_equal_vectors(spark):
+    x = cloud(60, d=6, seed=2)
+    rows = [(i, x[i % 60 if i < 60 else i % 3].tolist(), 0) for i in range(260)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float32), 4)
+    assert lists(v.exact_search(df, "vec_id", "embedding", 4, 6, 40, 8)) == want
+    assert lists(v.permutation_search(df, "vec_id", "embedding", 4)) == want
