@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.llm.store import bounded
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RESERVED = ("BOS", "BODY", "END", "system", "user", "assistant", "tool")  # ids behind the vocabulary's
@@ -101,5 +103,5 @@ def _format(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def formatted(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(conv_id, n_tokens, input_ids, loss_mask), a row for each conversation; the vocabulary's path is the executors'."""
     part = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    talks = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(part)).alias("turns"))
+    talks = bounded(turns).groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(part)).alias("turns"))
     return talks.mapInArrow(lambda it: _format(it, vocabulary), "conv_id long, n_tokens int, input_ids array<int>, loss_mask array<byte>")

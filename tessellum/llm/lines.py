@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessellum.llm import text as tx
 from tessellum.llm.components import connected
-from tessellum.llm.store import written
+from tessellum.llm.store import bounded, written
 
 DISTANCE, N_BLOCKS, SIMILARITY = 3, 5, 0.85
 
@@ -269,7 +269,7 @@ def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
 
 def surplus(docs: DataFrame, distance: int = DISTANCE, n_blocks: int = N_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
     """(rid, lines): numbers of the lines that go from each row, rid being xxhash64(doc_id, text)."""
-    narrow = docs.select(
+    narrow = bounded(docs).select(
         F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")
     )
     lines = written(narrow.mapInArrow(_lines, "rid long, doc long, line int, hash long, sim long"), "lines")

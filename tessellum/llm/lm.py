@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm import text as tx
-from tessellum.llm.store import written
+from tessellum.llm.store import bounded, written
 
 WORDS, SHARED, CLASSES, HIDDEN = 991, 32, 24, 16  # with the end mark 1024 ids
 LANES, WINDOW, RATE, ROUNDS, SEED = 512, 32, 0.08, (0.15, 0.85), 29
+FILL_BYTES = 24 << 20  # of text that lanes are filled with at a time
 
 
 @dataclass
@@ -125,7 +126,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame, words: int = WORDS, shared: int = SHARED, classes: int = CLASSES) -> Vocabulary:
     """Counted over every document; the driver gets one row for each id."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "h long, n long, docs long")
+    counted = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "h long, n long, docs long")
     counts = written(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "words")
     top = counts.where("n > 0").orderBy(F.desc("n"), "h").limit(words)
     frequent = [(r["h"] & ((1 << 64) - 1), r["n"]) for r in top.collect()]
@@ -316,10 +317,22 @@ class Gru:
         return c[first[1:]] - c[first[:-1]]
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that fill the lanes, however small the batches were cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= FILL_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _learn(batches: Iterator[pa.RecordBatch], model: Gru, v: Vocabulary) -> Iterator[pa.RecordBatch]:
     """One row: the partition, its tokens and its weights."""
     own, tokens = model.filled(model.flat().copy()), 0
-    for batch in batches:
+    for batch in _joined(batches):
         ids, first = v.documents(batch.column(0))
         if ids.size:
             own.run(ids, first, v, learn=True)
@@ -346,7 +359,7 @@ def trained(docs: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS,
     """The model after all rounds, which share all documents between them."""
     model = Gru.fresh(v, hidden)
     spark, schema = docs.sparkSession, "part long, tokens long, weights binary"
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    texts = bounded(docs).select(F.col("text").cast("string").alias("text"))
     place = F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1 << 30))
     edges = [round((1 << 30) * x) for x in np.cumsum([0.0, *rounds]) / sum(rounds)]
     for low, high in zip(edges, edges[1:], strict=False):
@@ -367,7 +380,7 @@ def scored(docs: DataFrame, model: Gru, v: Vocabulary) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vocab = held.value
-        for batch in batches:
+        for batch in _joined(batches):
             ids, first = vocab.documents(batch.column(1))
             ll, n = own.run(ids, first, vocab), np.diff(first)
             yield pa.RecordBatch.from_arrays(
@@ -375,5 +388,5 @@ def scored(docs: DataFrame, model: Gru, v: Vocabulary) -> DataFrame:
                 names=["doc_id", "n_tokens", "log_likelihood", "bits_per_token"],
             )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(work, "doc_id long, n_tokens long, log_likelihood double, bits_per_token double")

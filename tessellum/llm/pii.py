@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.llm import text as tx
+from tessellum.llm.store import bounded
 
 TAGS = ("O", "EMAIL", "IP", "CARD", "PHONE", "PHONE+", "SECRET")  # PHONE+ continues a number
 SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -359,7 +360,7 @@ def found(docs: DataFrame, field: Field) -> DataFrame:
                 pa.array([_censor(texts[r].as_py(), s) for r, s in zip(rows, spans, strict=True)], pa.string()),
             ], names=["doc_id", "n_spans", "spans", "redacted"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(work, f"doc_id long, n_spans int, spans {SPANS}, redacted string")
 
 
@@ -374,4 +375,4 @@ def redacted(docs: DataFrame, field: Field) -> DataFrame:
             out[row] = _censor(out[row], spans)
         return pa.array(out, pa.string())
 
-    return docs.withColumn("text", censor(F.col("text").cast("string")))
+    return bounded(docs).withColumn("text", censor(F.col("text").cast("string")))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm import text as tx
+from tessellum.llm.store import bounded
 
 MAX_LABELS, KEEP_GOOD = 20_000, 0.995
 MAIN_BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, PENALTY = 48, 12, 120, 60, 8, 0.1, 4.0
@@ -189,7 +190,7 @@ def trained(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, ke
     if n > max_labels:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labels / n))
     own = own.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "id")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "id")
 
     def measure(batches):  # noqa: ANN001, ANN202
         for b in batches:
@@ -211,7 +212,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(model.score(features(texts)))
 
-    return docs.withColumn(name, score.asNondeterministic()(F.col("text").cast("string")))
+    return bounded(docs).withColumn(name, score.asNondeterministic()(F.col("text").cast("string")))
 
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
