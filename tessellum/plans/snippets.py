@@ -88,4 +88,5 @@ def sql_text(x: object) -> str:
 
 def values(which: str, columns: str) -> str:
     rows = {"functions": FUNCTIONS, "bindings": BINDINGS, "exports": EXPORTS, "folders": FOLDERS}[which]
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(sql_text, r)) + ")" for r in rows) + f") t({columns})"
+    picked = columns.replace("functions", "functions::BIGINT AS functions") if which == "folders" else "*"
+    return f"SELECT {picked} FROM (VALUES " + ", ".join("(" + ", ".join(map(sql_text, r)) + ")" for r in rows) + f") t({columns})"
