@@ -20,6 +20,7 @@ from tessellum.plans import snippets
 from tessellum.structure import nesting, scan
 
 MODEL, DIMENSIONS = "text-embedding-3-large", 2000
+FALLBACK = ("openai", "text-embedding-3-small", 1536)
 _EXTS = paths.INDEXABLE
 
 
@@ -344,7 +345,7 @@ def config_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def config_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No configuration is stored: it is inferred from chunks, or the default."""
     all_projects = project_store(spark, sf_dir)
-    return state.resolved_config(all_projects, all_projects.where("false"), chunk_store(spark, sf_dir), ("openai", "text-embedding-3-small", 1536))
+    return state.resolved_config(all_projects, all_projects.where("false"), chunk_store(spark, sf_dir), FALLBACK)
 
 
 @query(

@@ -22,7 +22,7 @@ INDEX_BYTES, SCAN_BYTES = 524_288, 1_048_576
 def project_id(root: str) -> str:
     """The folder that holds the repository, one for all its work trees; root itself outside of git."""
     top = Path(root).resolve(strict=True)
-    run = subprocess.run(["git", "rev-parse", "--git-common-dir"], cwd=top, capture_output=True, text=True, check=False)
+    run = subprocess.run("git rev-parse --git-common-dir".split(), cwd=top, capture_output=True, text=True, check=False)
     if run.returncode == 0:
         place = (top / run.stdout.strip()).resolve()
         if place.exists():
@@ -42,7 +42,7 @@ def relative_file(root: str, file: str) -> str:
 def git_files(root: str, ignore_file: str | None = None) -> list[str]:
     """Tracked and unignored paths below root that can be indexed, as git gives them."""
     extra = ["-c", f"core.excludesFile={ignore_file}"] if ignore_file else []
-    command = ["git", *extra, "ls-files", "--cached", "--others", "--exclude-standard", "-z"]
+    command = ["git", *extra, *"ls-files -z --exclude-standard --others --cached".split()]
     run = subprocess.run(command, cwd=root, capture_output=True, check=False)
     if run.returncode != 0:
         raise ValueError(f"{root} is not in a git repository")
@@ -118,7 +118,7 @@ def walked(root: str, include: list[str] | None = None, exclude: list[str] | Non
 
 
 def _inside_git(root: str) -> bool:
-    run = subprocess.run(["git", "rev-parse"], cwd=root, capture_output=True, check=False)
+    run = subprocess.run("git rev-parse".split(), cwd=root, capture_output=True, check=False)
     return run.returncode == 0
 
 

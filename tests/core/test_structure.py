@@ -61,12 +61,12 @@ def test_unknown_extension():
 
 def test_names_exports_and_bindings():
     r = extracted(
-        "export default function defFn() {}\nconst arr = () => 1;\nexport { arr };\nexport class NamedCls { get g() { return 1 } set s(v) {} m() {} }\n"
+        "export default function defFn() {}\nconst arr = () => 1;\nexport { arr };\nexport class Named { constructor() {} set s(v) {} static m() {} get g() { return this.s } }\n"
         "const o = { method() {} };\nfunction outer() { function inner() {} }\nenum K { A }\nimport q from 'q';\ntry {} catch (e) { e }\nexport { z as y } from 'z';",
         "ts",
     )
-    assert {f["name"] for f in r["functions"]} >= {"defFn", "arr", "g", "s", "m", "method", "inner"}
-    assert [(x["name"], x["kind_code"]) for x in r["exports"]] == [("default", 2), ("defFn", 2), ("arr", 1), ("NamedCls", 1), ("z", 1)]
+    assert {f["name"] for f in r["functions"]} >= {"defFn", "arr", "g", "s", "m", "method", "inner", "constructor"}
+    assert [(x["name"], x["kind_code"]) for x in r["exports"]] == [("default", 2), ("defFn", 2), ("arr", 1), ("Named", 1), ("z", 1)]
     kinds = {b["name"]: b["kind"] for b in r["bindings"]}
     assert kinds["arr"] == "const" and kinds["K"] == "enum" and kinds["e"] == "catch" and kinds["q"] == "import"
 
@@ -101,7 +101,7 @@ def test_columns_are_bytes():
 
 
 def test_param_names():
-    assert param_names("function f(a, {b}, [c], d = 1) {}") == ["a", "{...}", "[...]", "d"]
+    assert param_names("const g = ([x], y, z = 2, {w}) => 0") == ["[...]", "y", "z", "{...}"]
 
 
 def test_dotted_names():
