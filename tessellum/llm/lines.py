@@ -1,14 +1,16 @@
 """Fuzzy line deduplication over a whole corpus.
 
 A line is normalised to its lower-case words (ASCII punctuation and spacing ignored).
-Equal normalised lines are one; the distinct ones get a 64-bit SimHash of their words,
-weighted by length.  Lines within `distance` bits share at least n_blocks - distance
-of n_blocks blocks, so joining on every such choice of blocks finds all of them.  A
-pair whose normalised texts have an edit similarity of at least `similarity` is linked,
-and of each connected group only the first occurrence, by (doc_id, line), stays.
+Equal normalised lines are one; the distinct ones get minima of ROWS x BANDS hashes of
+their GRAM-byte pieces.  Two lines are candidates if the minima of a band agree, all
+ROWS of them, and if one bit of each minimum, BITS in all, differs in at most
+`distance` places.  A candidate whose normalised texts have an edit similarity of at
+least `similarity` is linked, and of each connected group only the first occurrence, by
+(doc_id, line), stays.
 
-Five blocks give ten keys of some 26 bits; more blocks make longer keys, so that chance
-partners stay in proportion to a larger corpus, at the price of more keys.
+Candidates are found by chance: where pieces have a Jaccard similarity of j, a band
+agrees with probability j**ROWS.  More rows make fewer chance partners in a larger
+corpus, more bands find more, at the price of keys.  README has the recall measured.
 
 Defined results: lines without a word (blank, rules) always stay; a null text stays
 null; a document that loses every line has an empty text; null doc_ids sort first;
@@ -30,7 +32,10 @@ from tessellum.llm import text as tx
 from tessellum.llm.components import connected
 from tessellum.llm.store import bounded, written
 
-DISTANCE, N_BLOCKS, SIMILARITY = 3, 5, 0.85
+GRAM, ROWS, BANDS, SIMILARITY = 5, 5, 12, 0.85
+BITS, DISTANCE = ROWS * BANDS, 17
+N_BLOCKS = DISTANCE + 1  # of a sketch: two within the distance have one alike
+_ODD = (tx.mix(np.arange(1, BITS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def simhashes(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -51,8 +56,61 @@ def simhashes(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarra
     return out
 
 
+def _within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places are in one of the spans, which lie in order."""
+    change = np.zeros(n + 1, dtype=np.int8)
+    change[starts] = 1
+    change[ends] -= 1
+    return np.cumsum(change[:-1], dtype=np.int8).view(bool)
+
+
+def _sketches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of the minima, and (lines, BANDS) of band keys; at: each line's first word, none without words."""
+    size = ends - starts
+    if not size.size:
+        return np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint32)
+    # words with a blank behind each, and GRAM - 1 behind each line
+    gap = np.ones(size.size, dtype=np.int64)
+    gap[at[1:] - 1] = GRAM - 1
+    begin = np.cumsum(size + gap) - size - gap
+    plain = np.full(int(begin[-1] + size[-1]) + GRAM, 32, dtype=np.uint8)
+    plain[_within(begin, begin + size, plain.size)] = buf[_within(starts, ends, buf.size)]
+    n = plain.size - GRAM + 1
+    gram = np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):
+        gram <<= np.uint64(8)
+        gram |= plain[k : k + n]
+    gram *= np.uint64(0x9E3779B97F4A7C15)
+    gram ^= gram >> np.uint64(29)
+    gram *= np.uint64(0xBF58476D1CE4E5B9)
+    gram = (gram >> np.uint64(32)).astype(np.uint32)
+    first, last = begin[at[:-1]], begin[at[1:] - 1] + size[at[1:] - 1]
+    gram = gram[_within(first, last, n)]  # the blanks between lines begin no pieces
+    cut = np.concatenate([[0], np.cumsum(last - first)])
+    least = np.empty((BITS, first.size), dtype=np.uint32)
+    i = 0
+    while i < first.size:  # so many at a time as the cache holds
+        j = max(i + 1, int(np.searchsorted(cut, cut[i] + (1 << 17), side="right")) - 1)
+        part, heads = gram[cut[i] : cut[j]], cut[i:j] - cut[i]
+        held = np.empty_like(part)
+        for k, odd in enumerate(_ODD):
+            least[k, i:j] = np.minimum.reduceat(np.multiply(part, odd, out=held), heads)
+        i = j
+    bits, bands = np.zeros(first.size, np.uint64), np.zeros((first.size, BANDS), np.uint32)
+    for k in range(BITS):
+        h = tx.mix(least[k] + (np.uint64(k) << np.uint64(32)))
+        bits |= (h >> np.uint64(63)) << np.uint64(k)
+        bands[:, k // ROWS] += h.astype(np.uint32)
+    return bits, bands
+
+
 def line_table(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, line number, hash, SimHash) of each line that has a word."""
+    """(document, line number, hash, sketch) of each line that has a word."""
+    return line_sketches(buf, offs)[:4]
+
+
+def line_sketches(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, line number, hash, sketch, band keys) of each line that has a word."""
     breaks = np.flatnonzero(buf == 10) + 1
     first = np.concatenate([offs[:-1], breaks])
     doc = np.concatenate([np.arange(offs.size - 1), np.searchsorted(offs, breaks - 1, side="right") - 1])
@@ -63,20 +121,21 @@ def line_table(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     h = tx.span_hashes(buf, starts, ends)
     place = np.arange(h.size) - np.repeat(at[:-1], np.diff(at))
     whole = tx.segment_sums(tx.mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at)
-    sim = simhashes(h, ends - starts, at)
     some = np.diff(at) > 0
-    return doc[some], number[some], tx.mix(whole)[some].view(np.int64), sim[some].view(np.int64)
+    sim, bands = _sketches(buf, starts, ends, np.append(at[:-1][some], at[-1]))
+    return doc[some], number[some], tx.mix(whole)[some].view(np.int64), sim.view(np.int64), bands.view(np.int32)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rid, ids = batch.column(0), batch.column(1)
         for i, j, buf, offs in tx.chunks(batch.column(2)):
-            doc, number, whole, sim = line_table(buf, offs)
+            doc, number, whole, sim, bands = line_sketches(buf, offs)
+            keys = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [rid.slice(i, j - i).take(take), ids.slice(i, j - i).take(take), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(sim)],
-                names=["rid", "doc", "line", "hash", "sim"],
+                [rid.slice(i, j - i).take(take), ids.slice(i, j - i).take(take), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(sim), keys],
+                names=["rid", "doc", "line", "hash", "sim", "bands"],
             )
 
 
@@ -85,20 +144,21 @@ def _bounds(n_blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def _keys(sim: Column, distance: int, n_blocks: int) -> Column:
-    """One key for each choice of blocks, which no other choice shares but by chance."""
-    block = [F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for a, w in _bounds(n_blocks)]
-    return F.array(
-        *[F.xxhash64(F.lit(i), *[block[b] for b in c]) for i, c in enumerate(combinations(range(n_blocks), n_blocks - distance))]
-    )
+def _keys(bands: Column) -> Column:
+    """One key for each band, which no other band shares but by chance."""
+    return F.array(*[bands[i].cast("long") + F.lit(i << 32).cast("long") for i in range(BANDS)])
 
 
-def _near(batches: Iterator[pa.RecordBatch], distance: int, n_blocks: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within the distance in runs of one key; each is given under the first key that it shares."""
-    bounds, take = _bounds(n_blocks), n_blocks - distance
-    choices = {c: i for i, c in enumerate(combinations(range(n_blocks), take))}
+def _near(batches: Iterator[pa.RecordBatch], distance: int, n_blocks: int = 0) -> Iterator[pa.RecordBatch]:
+    """Pairs within the distance in runs of one key.
+
+    With n_blocks, keys are choices of blocks of the sketch, and each pair is given just
+    under the first key that it shares; else under all of them.
+    """
+    bounds, take = _bounds(n_blocks) if n_blocks else [], n_blocks - distance
+    choices = {c: i for i, c in enumerate(combinations(range(n_blocks), take))} if n_blocks else {}
     first_choice = np.full(1 << n_blocks, -1)
-    for equal in range(1 << n_blocks):
+    for equal in range(1 << n_blocks if n_blocks else 0):
         own = [b for b in range(n_blocks) if equal >> b & 1]
         if len(own) >= take:
             first_choice[equal] = choices[tuple(own[:take])]
@@ -112,8 +172,10 @@ def _near(batches: Iterator[pa.RecordBatch], distance: int, n_blocks: int) -> It
                 i = at[part : part + (1 << 20)]
                 x = sim[i] ^ sim[i + d]
                 i, x = i[ok := np.bitwise_count(x) <= distance], x[ok]
-                equal = sum(((x >> np.uint64(a)) & np.uint64((1 << w) - 1) == 0).astype(np.int64) << b for b, (a, w) in enumerate(bounds))
-                i = i[(first_choice[equal] == table[i]) & (h[i] != h[i + d])]
+                if bounds:
+                    equal = sum(((x >> np.uint64(a)) & np.uint64((1 << w) - 1) == 0).astype(np.int64) << b for b, (a, w) in enumerate(bounds))
+                    i = i[first_choice[equal] == table[i]]
+                i = i[h[i] != h[i + d]]
                 if i.size:
                     yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(h[i + d])], names=["a", "b"])
             d += 1
@@ -250,12 +312,35 @@ def _edits_by_blocks(pairs: list[tuple[str, str]]) -> np.ndarray:
     return found
 
 
+def _at_most(a: str, b: str) -> int:
+    """A bound of the edit distance from above: words in turn, one of either side left out where the next ones agree."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    m, n = len(x), len(y)
+    while i < m and j < n:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+        elif i + 1 < m and j + 1 < n and x[i + 1] == y[j + 1]:
+            cost += max(len(x[i]), len(y[j]))
+            i, j = i + 1, j + 1
+        elif i + 1 < m and x[i + 1] == y[j]:
+            cost += len(x[i]) + 1
+            i += 1
+        elif j + 1 < n and x[i] == y[j + 1]:
+            cost += len(y[j]) + 1
+            j += 1
+        else:
+            cost += max(len(x[i]), len(y[j]))
+            i, j = i + 1, j + 1
+    return cost + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
+
+
 def similar(pairs: list[tuple[str, str]], similarity: float) -> np.ndarray:
     """Whether the edit similarity 1 - edits / longer length reaches the bound."""
     longer = np.array([max(map(len, x)) for x in pairs], dtype=np.int64)
     most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
     out = np.array([abs(len(a) - len(b)) for a, b in pairs], dtype=np.int64) <= most
-    some = np.flatnonzero(out)
+    some = np.array([i for i in np.flatnonzero(out) if _at_most(*pairs[i]) > most[i]], dtype=np.int64)
     out[some] = edits([pairs[i] for i in some]) <= most[some]
     return out
 
@@ -267,22 +352,22 @@ def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
             yield batch.select(["a", "b"]).filter(ok)
 
 
-def surplus(docs: DataFrame, distance: int = DISTANCE, n_blocks: int = N_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+def surplus(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(rid, lines): numbers of the lines that go from each row, rid being xxhash64(doc_id, text)."""
     narrow = bounded(docs).select(
         F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")
     )
-    lines = written(narrow.mapInArrow(_lines, "rid long, doc long, line int, hash long, sim long"), "lines")
+    lines = written(narrow.mapInArrow(_lines, "rid long, doc long, line int, hash long, sim long, bands array<int>"), "lines")
     first = F.min(F.struct("doc", "rid", "line")).alias("first")
-    distinct = written(lines.groupBy("hash").agg(F.min("sim").alias("sim"), first, F.count("*").alias("n")), "distinct")
-    keyed = distinct.select("hash", "sim", F.posexplode(_keys(F.col("sim"), distance, n_blocks)).alias("table", "key"))
+    distinct = written(lines.groupBy("hash").agg(F.min(F.struct("sim", "bands")).alias("s"), first, F.count("*").alias("n")), "distinct")
+    keyed = distinct.select("hash", F.col("s.sim").alias("sim"), F.posexplode(_keys(F.col("s.bands"))).alias("table", "key"))
     pairs = (
         keyed.select("key", "table", "hash", "sim")
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(lambda it: _near(it, distance, n_blocks), "a long, b long")
+        .mapInArrow(lambda it: _near(it, distance), "a long, b long")
     )
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     # the texts of the lines in pairs, from the documents where they occur first
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct()
     where = distinct.join(wanted, "hash", "left_semi").groupBy("first.rid").agg(F.collect_list(F.struct("first.line", "hash")).alias("want"))

@@ -139,3 +139,45 @@ def test_edit_distances_against_the_table_of_prefixes():
     assert L.edits([]).tolist() == []
     sure = [1 - d / max(1, len(a), len(b)) >= 0.85 for d, (a, b) in zip(want[1:], pairs[1:], strict=True)]
     assert L.similar(pairs[1:], 0.85).tolist() == sure
+
+
+def typo(r, line):
+    k = r.randrange(len(line))
+    return line[:k] + r.choice("qxzjk") + line[k + 1 :]
+
+
+def replaced(r, line):
+    words = line.split()
+    words[r.randrange(len(words))] = sentence(r, 1)
+    return " ".join(words)
+
+
+def changed(r, n):
+    """(line, its copy) with a typo in 20 words, a word of 12 or three of 40 replaced; all of edit similarity 0.85."""
+    out = []
+    while len(out) < n:
+        size, change, times = r.choice([(20, typo, 1), (12, replaced, 1), (40, replaced, 3)])
+        a = b = sentence(r, size)
+        for _ in range(times):
+            b = change(r, b)
+        if plain(a) != plain(b) and edits(plain(a), plain(b)) <= 0.15 * max(len(plain(a)), len(plain(b))):
+            out.append((a, b))
+    return out
+
+
+def test_copies_are_found_by_edit_similarity_alone(spark):
+    pairs = changed(random.Random(7), 240)
+    rows = [(i, x, "en", "s", 1) for i, x in enumerate([a for a, _ in pairs] + [b for _, b in pairs])]
+    got = {x.doc_id: x.text for x in L.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] == a for i, (a, _) in enumerate(pairs))
+    assert sum(got[len(pairs) + i] == "" for i in range(len(pairs))) >= 0.9 * len(pairs)
+
+
+def test_quick_bound_is_never_below_the_edit_distance():
+    r = random.Random(8)
+    for _ in range(200):
+        a = [sentence(r, 1) for _ in range(r.randint(1, 12))]
+        b = [w for w in a if r.random() < 0.9]
+        b.insert(r.randrange(len(b) + 1), r.choice(["x", sentence(r, 1)]))
+        a, b = " ".join(a), " ".join(b)
+        assert edits(a, b) <= L._at_most(a, b)
