@@ -92,3 +92,12 @@ def test_awkward_and_empty_tables(spark, tmp_path):
     ids = {r.doc_id for r in got}
     assert {6, 8} <= ids and {1, 2, 3, 5}.isdisjoint(ids)  # without tokens, or the copy of another
     assert corpus_pipeline.run(spark, tables(spark, tmp_path / "b", [], [])).count() == 0
+
+
+def test_line_stage_agrees_with_edit_similarity_alone(spark):
+    pairs = test_lines.changed(random.Random(11), 120)
+    rows = [(i, f"{x}\n{sentence(random.Random(i), 25)}", "en", "s", 1) for i, x in enumerate(a for p in pairs for a in p)]
+    got = {x.doc_id: x.text for x in dict(corpus_pipeline.STAGES)["line_dedup"](spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    found = sum(rows[2 * k + 1][1].split("\n")[1] == got[2 * k + 1] for k in range(len(pairs)))
+    assert found >= 0.9 * len(pairs)
+    assert all(got[2 * k] == rows[2 * k][1] for k in range(len(pairs)))
