@@ -68,6 +68,18 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
 
 
+def _slack(v: np.ndarray, r: np.ndarray, far: float) -> np.ndarray:
+    """What radii r around v are widened by, so that rounding in _squares loses no partner; far: greatest norm of a pivot.
+
+    A square is off by some eps * (|a|^2 + |b|^2) for each dimension, so near 0 a distance
+    is off by the root of it.  Partners within r have norms up to |v| + r; a pivot that
+    is much farther off has a distance that is right but for some eps of its norm.  Four
+    distances meet in a comparison.
+    """
+    unit = (v.shape[1] + 4) * np.finfo(np.float64).eps
+    return 4 * (math.sqrt(2 * unit) * (np.sqrt((v * v).sum(axis=1)) + r) + 4 * unit * far)
+
+
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of rows to rows, pairwise, without cancellation."""
     return np.sqrt(((a - b) ** 2).sum(axis=1))
@@ -208,7 +220,7 @@ def _cells(batches: Iterator[pa.RecordBatch], piv: np.ndarray) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell.astype(np.int32)), pa.array(key)], names=["id", "v", "least", "cell", "key"])
 
 
-def _bound(table: pa.Table, k: int) -> pa.Table:
+def _bound(table: pa.Table, k: int, far: float = 0.0) -> pa.Table:
     """The vectors of one cell, each with the distance to its k-th neighbour there."""
     v, ids, least = _matrix(table.column("v").combine_chunks()), np.array(table.column("id")), np.array(table.column("least"))
     x, own, out = v[least], ids[least], np.full(len(v), np.inf)
@@ -218,7 +230,7 @@ def _bound(table: pa.Table, k: int) -> pa.Table:
             d = _squares(v[i : i + step], x)
             d[ids[i : i + step, None] == own[None]] = np.inf
             out[i : i + step] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
-    return table.select(["id", "v"]).append_column("r", pa.array(out + 1e-9))
+    return table.select(["id", "v"]).append_column("r", pa.array(out + _slack(v, out, far)))
 
 
 @dataclass(frozen=True)
@@ -261,6 +273,7 @@ def _expand(cells: Cells, k: int, shell: int, queries: pa.Table, data: pa.Table)
     q, r = _matrix(queries.column("v").combine_chunks()), np.array(queries.column("r")).copy()
     data = data.sort_by([("cell", "ascending"), ("key", "ascending"), ("id", "ascending")])
     xi, x, cell, key = np.array(data.column("id")), _matrix(data.column("v").combine_chunks()), np.array(data.column("cell")), np.array(data.column("key"))
+    far = float(np.sqrt((cells.piv**2).sum(axis=1)).max())
     best = np.full((len(q), k), np.inf)
     to_pivot: dict[int, np.ndarray] = {c: np.sqrt(_squares(q, cells.piv[[c]]))[:, 0] for c in np.unique(cell)}
     nearest = np.sqrt(_squares(q, cells.piv)).min(axis=1)
@@ -281,7 +294,7 @@ def _expand(cells: Cells, k: int, shell: int, queries: pa.Table, data: pa.Table)
             _, a, b = annuli[s]
             d = np.sqrt(_squares(q[i], x[a:b]))
             d[qi[i, None] == xi[None, a:b]] = np.inf
-            near = (d <= r[i, None] + 1e-9) & np.isfinite(d)
+            near = (d <= r[i, None]) & np.isfinite(d)
             some = near.any(axis=1)
             if not some.any():
                 continue
@@ -291,11 +304,12 @@ def _expand(cells: Cells, k: int, shell: int, queries: pa.Table, data: pa.Table)
             cols.append(a + w)
             dist.append(d[u, w])
             best[i] = np.partition(np.concatenate([best[i], d], axis=1), k - 1, axis=1)[:, :k]
-            r[i] = np.minimum(r[i], best[i].max(axis=1) + 1e-9)
+            last = best[i].max(axis=1)
+            r[i] = np.minimum(r[i], last + _slack(q[i], last, far))
     if not rows:
         return _listed(qi, none, none, np.zeros(0))
     u, w, d = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
-    keep = d <= r[u] + 1e-9
+    keep = d <= r[u]
     u, w = u[keep], w[keep]
     order = np.lexsort((w, u))
     u, w = u[order], w[order]
@@ -329,8 +343,9 @@ def exact_search(
         low[s["cell"]], high[s["cell"]], group[s["cell"]] = s["low"] - 1e-9, s["high"] + 1e-9, filled // group_rows
         filled += s["n"]
     cells = Cells(piv, low, high, group)
+    far = float(np.sqrt((piv**2).sum(axis=1)).max(initial=0)) if n else 0.0
     of_cell = F.element_at(F.lit([int(g) for g in group] or [0]), F.col("cell") + 1)
-    bounded = keyed.groupBy("cell").applyInArrow(lambda t: _bound(t, k), "id long, v array<float>, r double")
+    bounded = keyed.groupBy("cell").applyInArrow(lambda t: _bound(t, k, far), "id long, v array<float>, r double")
     parts = max(1, math.ceil(n / SIDE))
     own = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(parts)).cast("int")
     asks = bounded.mapInArrow(lambda it: _route(it, cells), "id long, v array<float>, r double, grp int").withColumn("part", own)

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessellum.llm import vectors as v
@@ -106,3 +107,23 @@ def test_groups_of_equal_vectors(spark):
     want = brute([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float32), 4)
     assert lists(v.exact_search(df, "vec_id", "embedding", 4, 6, 40, 8)) == want
     assert lists(v.permutation_search(df, "vec_id", "embedding", 4)) == want
+
+
+@pytest.mark.parametrize("norm", [1, 6, 1e4])
+def test_exact_search_keeps_groups_of_equal_vectors(norm):
+    """Eleven equal vectors are each other's ten partners, however the products that compare them are shaped and rounded."""
+    r = np.random.default_rng(12)
+    for _ in range(6):
+        x = r.normal(size=(200, 64))
+        x = np.repeat((norm * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), 11, axis=0)
+        piv = x[r.choice(len(x), 12, replace=False)].astype(np.float64)
+        column = pa.array(x.tolist(), pa.list_(pa.float32()))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), column, pa.array([True] * len(x))], names=["id", "v", "least"])
+        keyed = pa.Table.from_batches(v._cells(iter([batch]), piv))
+        cell, key = np.array(keyed.column("cell")), np.array(keyed.column("key"))
+        low, high = (np.array([f(key[cell == c], initial=i) for c in range(12)]) for f, i in ((np.min, np.inf), (np.max, -np.inf)))
+        cells = v.Cells(piv, low - 1e-9, high + 1e-9, np.zeros(12, np.int64))
+        asks = pa.concat_tables([v._bound(keyed.filter(pa.array(cell == c)), 10) for c in np.unique(cell)])
+        found = v._expand(cells, 10, 61, asks, keyed)
+        got = {i: {p["id"] for p in ps if p["distance"] == 0} for i, ps in zip(found.column("id").to_pylist(), found.column("partners").to_pylist(), strict=True)}
+        assert got == {i: {j for j in range(i - i % 11, i - i % 11 + 11) if j != i} for i in range(len(x))}
