@@ -2,7 +2,10 @@
 
 Words (lower case, punctuation ignored) are counted over the whole corpus; the most
 frequent ones get ids, the others share ids by hash, and an end mark closes every
-document.  Ids are sorted by frequency and cut into classes of like mass, so that the
+document.  A word that shares an id has, given the id, its share of the id's count over
+the whole corpus, so every word of the corpus has a probability of its own; one unit of
+each id is left to words that the corpus lacks, which are spelled byte by byte, all
+bytes alike likely.  Ids are sorted by frequency and cut into classes of like mass, so that the
 output is a softmax over classes and one over the words of a class.
 
 Training is truncated backpropagation in numpy.  Every document is used once: in each
@@ -49,6 +52,10 @@ class Vocabulary:
     end: int
     counts: np.ndarray
     classes: np.ndarray  # first id of each class, and the number of ids
+    known: DataFrame | None = None  # (h, n) of every word; stays with the driver
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
     @property
     def class_of(self) -> np.ndarray:
@@ -93,6 +100,23 @@ class Vocabulary:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
+    def rare(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """(text, hash, times, bytes) of each text's words under shared ids, in order of text, and the log-share of one unit in the ids."""
+        out = []
+        for i, _, buf, offs in tx.chunks(texts):
+            starts, ends, first = tx.spans(buf, offs)
+            h, text = tx.span_hashes(buf, starts, ends), i + np.repeat(np.arange(first.size - 1), np.diff(first))
+            own = np.isin(self.encode(h), self.shared)
+            h, text, size = h[own], text[own], (ends - starts)[own]
+            order = np.lexsort((h, text))
+            h, text, size = h[order], text[order], size[order]
+            head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])[: h.size])
+            out.append((text[head], h[head], np.diff(np.append(head, h.size)), size[head]))
+        text, h, times, size = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        share = -np.log(self.counts[self.shared] + 1)[(h % np.uint64(self.shared.size)).astype(np.int64)]
+        return text, h, times, size, np.bincount(text, times * share, len(texts))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, count) of a partition's words; merged as they come, so that few rows are shuffled."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,7 +161,9 @@ def vocabulary(docs: DataFrame, words: int = WORDS, shared: int = SHARED, classe
         rest[r["b"]] += r["n"]
     for h, n in frequent:
         rest[h % shared] -= n
-    return Vocabulary.of(frequent, rest, sum(r["docs"] for r in got), classes)
+    v = Vocabulary.of(frequent, rest, sum(r["docs"] for r in got), classes)
+    v.known = counts.where("n > 0").select("h", "n")
+    return v
 
 
 @dataclass
@@ -380,13 +406,24 @@ def scored(docs: DataFrame, model: Gru, v: Vocabulary) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vocab = held.value
+        row = TaskContext.get().partitionId() << 40
         for batch in _joined(batches):
             ids, first = vocab.documents(batch.column(1))
-            ll, n = own.run(ids, first, vocab), np.diff(first)
+            text, h, times, size, share = vocab.rare(batch.column(1))
+            at = pa.array(np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32))
+            words = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(times.astype(np.int32)), pa.array(size.astype(np.int32))], names=["h", "times", "size"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(ll), pa.array(-ll / np.maximum(n, 1) / math.log(2))],
-                names=["doc_id", "n_tokens", "log_likelihood", "bits_per_token"],
+                [pa.array(row + np.arange(len(batch))), batch.column(0), pa.array(np.diff(first)), pa.array(own.run(ids, first, vocab) + share), pa.ListArray.from_arrays(at, words)],
+                names=["row", "doc_id", "n_tokens", "ll", "words"],
             )
+            row += len(batch)
 
     narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(work, "doc_id long, n_tokens long, log_likelihood double, bits_per_token double")
+    base = written(narrow.mapInArrow(work, "row long, doc_id long, n_tokens long, ll double, words array<struct<h:long,times:int,size:int>>"), "scores")
+    asked = base.select("row", F.explode("words").alias("w")).select("row", "w.*")
+    each = F.when(F.col("n").isNull(), -(F.col("size") + 1) * math.log(257)).otherwise(F.log("n"))
+    terms = asked.join(v.known, "h", "left").groupBy("row").agg(F.sum(F.col("times") * each).alias("term"))
+    ll = F.col("ll") + F.coalesce("term", F.lit(0.0))
+    return base.join(terms, "row", "left").select(
+        "doc_id", "n_tokens", ll.alias("log_likelihood"), (-ll / F.greatest("n_tokens", F.lit(1)) / math.log(2)).alias("bits_per_token")
+    )

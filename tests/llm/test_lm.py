@@ -157,3 +157,34 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     v = lm.vocabulary(docs)
     assert lm.scored(docs, lm.trained(docs, v), v).count() == 0
+
+
+def test_rare_and_unknown_words_cost_more_than_ordinary_text(spark):
+    r = random.Random(10)
+    words = [f"{chr(97 + k % 26)}{k}" for k in range(3000)]
+    weight = [1 / (k + 1) for k in range(3000)]
+    text = lambda: " ".join(r.choices(words, weight, k=60))
+    rows = [(i, text(), "en", "s", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(2)
+    v = lm.vocabulary(docs, words=40, shared=4)
+    model = lm.trained(docs, v)
+    seen = sorted({w for x in rows for w in x[1].split()} - set(words[:60]))
+    kinds = [[text() for _ in range(30)], [" ".join(r.choices(seen, k=60)) for _ in range(30)], [" ".join(f"junk{r.random()}" for _ in range(30)) for _ in range(30)]]
+    some = [(1000 * k + i, t, "en", "s", 1) for k, ts in enumerate(kinds) for i, t in enumerate(ts)]
+    got = {x.doc_id: x.bits_per_token for x in lm.scored(spark.createDataFrame(some, DOCS), model, v).collect()}
+    plain, random_words, junk = (np.mean([b for i, b in got.items() if i // 1000 == k]) for k in range(3))
+    assert len(got) == 90 and plain + 1 < random_words < junk
+    # a word's own share of its id: two documents of one word each differ by the counts
+    counts = {w: sum(x[1].split().count(w) for x in rows) for w in seen}
+    one = [w for w in seen if v.encode(hashed(w)) == v.encode(hashed(seen[0]))]
+    a, b = min(one, key=counts.get), max(one, key=counts.get)
+    got = {x.doc_id: x.log_likelihood for x in lm.scored(spark.createDataFrame([(1, a, "en", "s", 1), (2, b, "en", "s", 1)], DOCS), model, v).collect()}
+    assert got[2] - got[1] == pytest.approx(math.log(counts[b] / counts[a]), abs=1e-3) and counts[b] > counts[a]
+
+
+def hashed(word):
+    from tessellum.llm import text as tx
+
+    _, _, buf, offs = next(tx.chunks(pa.array([word])))
+    starts, ends, _ = tx.spans(buf, offs)
+    return tx.span_hashes(buf, starts, ends)
