@@ -5,12 +5,18 @@ fill a bin and one with the rest.  Best-fit decreasing runs over the histogram,
 documents: a plan step puts `count` pieces of one length into bins that have the same
 space left, several to a bin where they fit.  The plan is bounded by the capacity, not
 by the corpus.  Pieces then take the planned slots by joining on their rank within
-their length; the rank is a bucket's offset plus a row number within (length, bucket),
-so no length is sorted in one task.
+their length; the rank is a bucket's offset plus a running count within (length, wave,
+bucket), so no length is sorted in one task.
 
-Defined results: null texts and texts without tokens have no piece and no row; rows
-that repeat a doc_id get slots of their own; no documents: no rows.  Other columns
-are not looked at.
+Rows alike in doc_id and length are copies.  They are counted before anything is
+ranked, and the k-th copy goes to wave k, which has bins of its own: no sequence holds
+two copies of a piece.  From WAVES copies on, waves take a copy more each, and these go
+to the bins of a step in turn.
+
+Defined results: null texts and texts without tokens have no piece and no row; texts of
+any length are cut into pieces whole; rows that repeat a doc_id get slots of their own, in
+waves of their own; null doc_ids are kept; no documents: no rows.  Other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -21,15 +27,19 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.llm.mixing import n_tokens
+from tessellum.llm.mixing import BROADCAST_BYTES, n_tokens
 from tessellum.llm.store import written
 
-CAPACITY, RANK_BUCKETS = 2048, 256
-PLAN = "length int, rank_from long, rank_to long, bin_from long, per_bin int, offset int"
+CAPACITY, WAVES = 2048, 16
+BUCKET_ROWS = 1 << 18  # that are ranked in one task
+PLAN = "wave int, length int, rank_from long, rank_to long, bin_from long, n_bins long, offset int"
 
 
 def plan(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Steps (length, first rank, end rank, first bin, pieces to a bin, offset in the bin)."""
+    """Steps (length, first rank, end rank, first bin, bins, offset in the bins).
+
+    Pieces of a step go to its bins in turn.
+    """
     steps: list[tuple[int, int, int, int, int, int]] = []
     spaces: list[int] = []  # in order; bins with one space are ranges of bin numbers
     ranges: dict[int, list[tuple[int, int]]] = {}
@@ -57,52 +67,66 @@ def plan(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, int, in
             whole = min(n, left // per)
             used = 0
             if whole:
-                steps.append((length, rank, rank + whole * per, first, per, capacity - space))
+                steps.append((length, rank, rank + whole * per, first, whole, capacity - space))
                 leave(space - per * length, first, whole)
                 rank, left, used = rank + whole * per, left - whole * per, whole
             if left and used < n:  # fewer than a bin takes
-                steps.append((length, rank, rank + left, first + used, left, capacity - space))
+                steps.append((length, rank, rank + left, first + used, 1, capacity - space))
                 leave(space - left * length, first + used, 1)
                 rank, left, used = rank + left, 0, used + 1
             leave(space, first + used, n - used)
     return steps
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, rank_buckets: int = RANK_BUCKETS) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, waves: int = WAVES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, bin_id, bin_offset) of every piece of every document."""
     spark = docs.sparkSession
-    narrow = docs.select("doc_id", n_tokens(F.col("text")).alias("n"))
-    pieces = narrow.where("n > 0").select(
-        "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / capacity).cast("long") - 1)).alias("piece")
-    )
+    copies = docs.select("doc_id", n_tokens(F.col("text")).alias("n")).where("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("copies"))
+    pieces = copies.select("doc_id", "n", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / capacity).cast("long") - 1)).alias("piece"))
     pieces = pieces.select(
         "doc_id",
         F.col("piece").cast("int").alias("piece"),
         F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).cast("int").alias("length"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(rank_buckets)).cast("int").alias("bucket"),
+        "copies",
+        F.explode(F.sequence(F.lit(0), F.least(F.col("copies"), F.lit(waves)).cast("int") - 1)).alias("wave"),
     )
+    pieces = pieces.withColumn("copies", F.expr(f"(copies - wave - 1) div {waves} + 1"))
     pieces = written(pieces, "pieces")
-    counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    steps = spark.createDataFrame(plan(histogram, capacity), PLAN)
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    row = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    buckets = max(1, -(-pieces.count() // bucket_rows))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    key = ["wave", "length"]
+    counts = written(pieces.groupBy(*key, "bucket").agg(F.sum("copies").alias("n")), "counts")
+    # rows: waves x capacity at most
+    histograms: dict[int, dict[int, int]] = {}
+    for r in counts.groupBy(*key).agg(F.sum("n").alias("n")).collect():
+        histograms.setdefault(r["wave"], {})[r["length"]] = r["n"]
+    rows, bins = [], 0
+    for wave in sorted(histograms):
+        steps = plan(histograms[wave], capacity)
+        rows += [(wave, length, a, b, bins + first, n, offset) for length, a, b, first, n, offset in steps]
+        bins += max(first + n for *_, first, n, _ in steps)
+    steps = spark.createDataFrame(rows, PLAN)
+    if 64 * len(rows) <= BROADCAST_BYTES:
+        steps = F.broadcast(steps)  # a length may have most of the pieces: they needn't meet in one task
+    before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*key, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    upto = Window.partitionBy(*key, "bucket").orderBy("doc_id", "piece").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        pieces.withColumn("row", F.row_number().over(row))
-        .join(offsets, ["length", "bucket"])
-        .withColumn("rank", F.col("before") + F.col("row") - 1)
+        pieces.withColumn("upto", F.sum("copies").over(upto))
+        .join(offsets, [*key, "bucket"])
+        .withColumn("first", F.col("before") + F.col("upto") - F.col("copies"))
+        .select(*key, "doc_id", "piece", F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("rank"))
     )
     i = F.col("rank") - F.col("rank_from")
     return (
-        ranked.join(steps, "length")
+        ranked.join(steps, key)
         .where("rank >= rank_from and rank < rank_to")
         .select(
             "doc_id",
             "piece",
             (F.col("piece").cast("long") * capacity).alias("first_token"),
             F.col("length").alias("n_tokens"),
-            (F.col("bin_from") + F.floor(i / F.col("per_bin"))).alias("bin_id"),
-            (F.col("offset") + F.pmod(i, F.col("per_bin")) * F.col("length")).cast("int").alias("bin_offset"),
+            (F.col("bin_from") + F.pmod(i, F.col("n_bins"))).alias("bin_id"),
+            (F.col("offset") + F.floor(i / F.col("n_bins")) * F.col("length")).cast("int").alias("bin_offset"),
         )
     )

@@ -1,7 +1,9 @@
-"""Tables that cut lineage, in the folder which all executors share."""
+"""Tables that cut lineage, in the folder which all executors share, and names that clash with no column."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,6 +17,7 @@ def bounded(df: DataFrame) -> DataFrame:
     """df; its session hands texts to Python in batches of no more than BATCH_BYTES, or one text.
 
     Rows alone say little: ten thousand long texts are gigabytes in a task on both sides.
+    The setting is the session's, as Spark has none for a single plan; it is only ever lowered.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key).removesuffix("b")
@@ -24,10 +27,18 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a folder of our own is set once."""
+    """spark.checkpoint.dir; a local session without it, as in tests, gets a folder that ends with the process.
+
+    On a cluster there is no folder to guess: executors would each write to their own disk.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="tessellum-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessellum-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        conf = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
@@ -37,7 +48,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor costs no more than the tasks that it ran: the table outlives it.
     """
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written(), with the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of stored() that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -28,10 +28,18 @@ def awkward(r: random.Random | None = None) -> list[tuple]:
     return rows + [(100 + i, sentence(r, 40), "en", f"s{i % 3}", 1) for i in range(20)]
 
 
+#: What operators call their own columns where a user's have other names, with cases mixed.
+INNER = (
+    "full", "_s", "__s", "__full", "__last", "__block", "Number", "whole", "node", "Lead", "gone", "__gone", "row", "__row", "__rid", "__lines", "__all", "all_lines", "Surplus",
+    "__score", "kept", "wave", "piece", "copies", "class_doc_id", "n_links", "h1", "h2", "first", "stay",
+)
+
+
 def clashing(df):
     """Extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("id", "key", "hash", "sim", "rid", "line", "lines", "score", "root", "bucket", "length", "n", "s", "t", "full", "last", "block", "rank", "source_", "v", "cell"):
-        df = df.withColumn(name, F.lit("x"))
+    for name in ("id", "key", "hash", "sim", "rid", "line", "lines", "score", "root", "bucket", "length", "n", "s", "t", "full", "last", "block", "rank", "source_", "v", "cell", *INNER):
+        if name.lower() not in map(str.lower, df.columns):
+            df = df.withColumn(name, F.lit("x"))
     return df
