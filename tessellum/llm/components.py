@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.store import written
+from tessellum.llm.store import removed, stored
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,8 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
-    e = written(e.distinct(), "edges")
+    spark = edges.sparkSession
+    e, path = stored(e.distinct(), "edges")
     for _ in range(most_rounds):
         # large star: neighbours above u go to the least of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,11 +41,12 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        new = written(new, "edges")
+        new, place = stored(new, "edges")
         # done when every node hangs on one root and no root hangs on another
         over = new.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
         hung = new.select(F.col("v").alias("u")).join(new.select("u"), "u", "left_semi").limit(1).count()
-        e = new
+        removed(spark, path)  # the round that follows it is written
+        e, path = new, place
         if over["n"] == over["d"] and not hung:
             break
     else:

@@ -2,15 +2,18 @@
 
 Every document becomes the set of its normalised word pairs (lower case, punctuation
 ignored; the single word where there is but one).  One-permutation hashing with
-optimal densification gives K MinHash samples.  Bands of the samples propose
-candidates; each sample also flips one bit of an n-bit parity map (an odd sketch,
-Mitzenmacher, Pagh and Pham 2014), and the population count of two maps' XOR
-estimates the Jaccard similarity, which must reach the threshold.
-
-Defined results: null or empty texts are copies of one another; rows that repeat a
-doc_id count as one document, whose text is then the row with the least signature;
-rows without doc_id belong to no group; a group is represented by its least doc_id.
-Other columns are not looked at.
+optimal densification gives K MinHash samples.  Documents with the same samples are one
+class.  Bands of the samples propose candidates among classes; each sample also flips one bit
+of an n-bit parity map (an odd sketch, Mitzenmacher, Pagh and Pham 2014), and the
+population count of two maps' XOR estimates the Jaccard similarity, which must reach the
+threshold.  Candidates are compared bucket by bucket, see buckets: first with a lead,
+then, where a bucket is not one group, with all others, so that no link between different texts is lost.
+
+Defined results: null and empty texts are copies of one another; texts of any length
+count whole; rows that repeat a doc_id with the same text are one document and stay or
+go together, with different texts they are documents of their own; rows without doc_id
+belong to no group; a group is represented by its least doc_id; an empty table has no
+groups.  Other columns are not looked at, and kept whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.llm import buckets
 from tessellum.llm import text as tx
-from tessellum.llm.components import connected
-from tessellum.llm.store import bounded, written
+from tessellum.llm.store import bounded, unused, written
 
 SAMPLES, BANDS, SKETCH_BITS, THRESHOLD = 256, 32, 1024, 0.55
 ROWS = 4  # samples to a band: a pair at 0.6 shares a band in 99 of 100 cases
@@ -99,7 +102,7 @@ def estimate(a: np.ndarray, b: np.ndarray, samples: int = SAMPLES) -> np.ndarray
 def _sketch(batches: Iterator[pa.RecordBatch], samples: int, bands: int, bits: int) -> Iterator[pa.RecordBatch]:
     rows = min(ROWS, samples // bands)
     for batch in batches:
-        ids = batch.column(0)
+        ids, hashes = batch.column(0), batch.column(2)
         for i, j, buf, offs in tx.chunks(batch.column(1)):
             n = j - i
             h, doc = shingles(buf, offs)
@@ -108,135 +111,87 @@ def _sketch(batches: Iterator[pa.RecordBatch], samples: int, bands: int, bits: i
             coef = tx.mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
             key = (sig[:, : bands * rows].reshape(n, bands, rows) * coef).sum(axis=2, dtype=np.uint64)
             key = tx.mix(key + np.arange(bands, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            whole = tx.mix((sig * (tx.mix(np.arange(7, 7 + samples, dtype=np.uint64)) | np.uint64(1))).sum(axis=1, dtype=np.uint64)).view(np.int64)
+            # two hashes of the samples, which together stand for them
+            whole = [tx.mix((sig * (tx.mix(np.arange(k, k + samples, dtype=np.uint64)) | np.uint64(1))).sum(axis=1, dtype=np.uint64)).view(np.int64) for k in (7, 77_777)]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(i, n),
-                    pa.array(whole),
+                    hashes.slice(i, n),
+                    *map(pa.array, whole),
                     pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(key.ravel())),
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits // 8), n, [None, pa.py_buffer(odd.tobytes())]).cast(pa.binary()),
                 ],
-                names=["id", "whole", "keys", "odd"],
+                names=["id", "text_hash", "h1", "h2", "keys", "odd"],
             )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, sorted by key, whose key occurs more than once."""
-    last: tuple[int, int, bool] | None = None  # key, id, and whether the row was given out
-    for batch in batches:
-        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not keys.size:
-            continue
-        if last is not None:
-            keys, ids = np.append(last[0], keys), np.append(last[1], ids)
-        twin = np.zeros(keys.size, dtype=bool)
-        twin[1:] = keys[1:] == keys[:-1]
-        twin[:-1] |= twin[1:]
-        give = twin.copy()
-        if last is not None and last[2]:
-            give[0] = False
-        if give.any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[give]), pa.array(ids[give])], names=["key", "id"])
-        last = keys[-1], ids[-1], bool(twin[-1]) or (last is not None and keys.size == 1 and last[2])
-
-
-def _links_of(ids: np.ndarray, odd: np.ndarray, threshold: float, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect just what similar pairs connect within one band bucket."""
-    label, step = np.arange(ids.size), max(1, (1 << 22) // max(1, ids.size))
-    while True:
-        old = label.copy()
-        for i in range(0, ids.size, step):
-            near = estimate(odd[i : i + step, None], odd[None], samples) >= threshold
-            label[i : i + step] = np.minimum(label[i : i + step], np.where(near, label[None], ids.size).min(axis=1))
-        if (label == old).all():
-            break
-    far = np.flatnonzero(label != np.arange(ids.size))
-    return ids[far], ids[label[far]]
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float, samples: int) -> Iterator[pa.RecordBatch]:
-    """Runs of one key in sorted rows; a run may span batches."""
-
-    def work(keys: np.ndarray, ids: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not keys.size:
-            return
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        size = np.diff(np.append(start, keys.size))
-        lead = np.repeat(start, size)
-        many = np.repeat(size, size) > 1
-        near = np.zeros(keys.size, dtype=bool)
-        near[many] = estimate(odd[many], odd[lead[many]], samples) >= threshold
-        a, b = [ids[near]], [ids[lead[near]]]
-        left = np.unique(lead[many & ~near])  # buckets in which some do not match the first
-        for s, n in zip(left, size[np.searchsorted(start, left)], strict=True):
-            if n > 2:
-                x, y = _links_of(ids[s : s + n], odd[s : s + n], threshold, samples)
-                a.append(x)
-                b.append(y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        keep = a != b
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-    rest: tuple[np.ndarray, ...] | None = None
     for batch in batches:
-        keys, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        odd = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(len(batch), -1)
-        if not keys.size:
-            continue
-        if rest is not None:
-            keys, ids, odd = np.concatenate([rest[0], keys]), np.concatenate([rest[1], ids]), np.concatenate([rest[2], odd])
-        cut = int(np.searchsorted(keys, keys[-1]))
-        yield from work(keys[:cut], ids[:cut], odd[:cut])
-        rest = keys[cut:], ids[cut:], odd[cut:]
-    if rest is not None:
-        yield from work(*rest)
-
-
-def groups(
+        if len(batch):
+            ok = estimate(_matrix(batch.column(2)), _matrix(batch.column(3)), samples) >= threshold
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
+
+
+def _test(threshold: float, samples: int) -> buckets.Compare:
+    def of(columns: list[pa.Array]):  # noqa: ANN202
+        odd = _matrix(columns[0])
+        return lambda i, j: estimate(odd[i], odd[j], samples) >= threshold
+
+    return of
+
+
+def grouped(
     docs: DataFrame,
     samples: int = SAMPLES,
     bands: int = BANDS,
     bits: int = SKETCH_BITS,
     threshold: float = THRESHOLD,
+    block: int = buckets.BLOCK,
+    span: int = buckets.SPAN,
 ) -> DataFrame:
-    """(doc_id, root) of every document that is in a group of two or more."""
-    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    sketched = narrow.mapInArrow(lambda it: _sketch(it, samples, bands, bits), "id long, whole long, keys array<long>, odd binary")
+    """(doc_id, text_hash, node, first, n_links) of every row that is in a group of two documents or more.
+
+    node: the class of its text; first: the least (doc_id, node) of the group; n_links: as in duplicates().
+    """
+    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    narrow = narrow.where("id is not null").withColumn("text_hash", F.xxhash64("text"))
+    sketched = narrow.mapInArrow(lambda it: _sketch(it, samples, bands, bits), "id long, text_hash long, h1 long, h2 long, keys array<long>, odd binary")
     sketched = written(sketched, "sketches")
     # documents with one signature collapse before the bands: thousands of copies cost one row each
-    # a repeated doc_id takes its least signature
-    one = sketched.groupBy("id").agg(F.min("whole").alias("whole"))
-    alike = written(one.groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "alike")
-    same = one.join(alike.where("n > 1").select("whole", "rep"), "whole").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    first = sketched.join(alike.select("whole", F.col("rep").alias("id")), ["whole", "id"], "left_semi")
-    # only keys that two documents share go on, and only then do sketches travel
-    shared = (
-        first.select("id", F.explode("keys").alias("key"))
-        .select("key", "id")
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_shared, "key long, id long")
-    )
-    near = (
-        shared.join(first.select("id", "odd"), "id")
-        .select("key", "id", "odd")
-        .repartition("key")
-        .sortWithinPartitions("key", "id")
-        .mapInArrow(lambda it: _verify(it, threshold, samples), "a long, b long")
+    classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    odd = classes.select("node", "odd")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(odd.select(F.col("node").alias("a"), F.col("odd").alias("x")), "a").join(odd.select(F.col("node").alias("b"), F.col("odd").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, threshold, samples), "a long, b long, ok boolean")
+
+    nodes = classes.select("node", F.lit(0).cast("long").alias("mark"), "keys")
+    links, groups = buckets.grouped(nodes, 0, check, lambda rows: rows.join(odd, "node").select("key", "block", "span", "node", "mark", "grp", "left", "odd"), _test(threshold, samples), block, span)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    of_class = classes.select("h1", "h2", "node", "rep", "last", "n").join(groups, "node", "left").join(degree, "node", "left")
+    # classes without a link and of one document are no groups
+    of_class = of_class.where("rep < last or n_links is not null").select(
+        "h1", "h2", "node", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links")
     )
-    got = connected(same.where("a <> b").unionByName(near))
-    return got.select(F.col("node").alias("doc_id"), "root")
+    first = of_class.groupBy("root").agg(F.min(F.struct(F.col("rep").alias("doc_id"), "node")).alias("first"))
+    of_class = of_class.join(first, "root").select("h1", "h2", "node", "first", "n_links")
+    return sketched.select("h1", "h2", F.col("id").alias("doc_id"), "text_hash").join(of_class, ["h1", "h2"]).drop("h1", "h2")
 
 
-def duplicate_lists(docs: DataFrame, **params: float) -> DataFrame:
-    """One row for each group: the doc_id that stays, all members in order, their number."""
-    return (
-        groups(docs, **params)
-        .groupBy("root")
-        .agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"), F.count("*").alias("n_docs"))
-        .select(F.col("root").alias("keep_doc_id"), "doc_ids", "n_docs")
-    )
+def duplicates(docs: DataFrame, **params: float) -> DataFrame:
+    """(doc_id, class_doc_id, n_links), a row for each document that has a duplicate.
+
+    class_doc_id is the group's least doc_id; n_links counts the other rows with the same
+    samples, and the links to other texts that hold the text in its group.  No two
+    texts whose sketches agree and which share a band are in different groups.
+    """
+    found = grouped(docs, **params)
+    return found.groupBy("doc_id", "node").agg(F.first("first.doc_id").alias("class_doc_id"), F.first("n_links").alias("n_links")).drop("node")
 
 
 def deduplicated(docs: DataFrame, **params: float) -> DataFrame:
@@ -244,5 +199,6 @@ def deduplicated(docs: DataFrame, **params: float) -> DataFrame:
 
     Rows without doc_id stay.
     """
-    gone = groups(docs, **params).where("doc_id <> root").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    doc, text = unused(docs, "gone", "gone_text")
+    gone = grouped(docs, **params).where("doc_id <> first.doc_id or node <> first.node").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(docs["text"].cast("string")) == F.col(text)), "left_anti")

@@ -47,7 +47,7 @@ def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.duplicate_lists(_table(spark, sf_dir, "documents"))
+    return minhash.duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,18 @@ def brute(rows, threshold):
     return sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def listed(found):
+    """{class: its documents}, checked for what n_links promises."""
+    out = {}
+    for g in found.collect():
+        out.setdefault(g.class_doc_id, []).append(g.doc_id)
+        assert g.n_links > 0
+    for k, v in out.items():
+        v.sort()
+        assert k == v[0] and len(v) > 1
+    return out
+
+
 def test_groups_agree_with_brute_force(spark):
     r, rows = random.Random(7), []
     for base in range(12):
@@ -47,9 +59,9 @@ def test_groups_agree_with_brute_force(spark):
             for _ in range(4 * copy):
                 own[r.randrange(len(own))] = sentence(r, 1)
             rows.append((base * 10 + copy, " ".join(own), "en", "s", 1))
-    got = m.duplicate_lists(spark.createDataFrame(rows, DOCS)).collect()
-    assert sorted(list(g.doc_ids) for g in got) == brute(rows, m.THRESHOLD)
-    assert all(g.keep_doc_id == g.doc_ids[0] and g.n_docs == len(g.doc_ids) for g in got)
+    for block, span in ((2048, 16384), (2, 3)):
+        got = listed(m.duplicates(spark.createDataFrame(rows, DOCS), block=block, span=span))
+        assert sorted(got.values()) == brute(rows, m.THRESHOLD)
 
 
 def test_a_large_group_of_near_copies_is_one(spark):
@@ -61,14 +73,12 @@ def test_a_large_group_of_near_copies_is_one(spark):
         for _ in range(5):
             own[r.randrange(200)] = sentence(r, 1)
         rows.append((i, " ".join(own), "en", "s", 1))
-    got = m.duplicate_lists(spark.createDataFrame(rows, DOCS)).collect()
-    assert [list(g.doc_ids) for g in got] == [list(range(300))]
+    assert listed(m.duplicates(spark.createDataFrame(rows, DOCS))) == {0: list(range(300))}
 
 
 def test_awkward_rows(spark):
     docs = clashing(spark.createDataFrame(awkward(), DOCS))
-    got = {g.keep_doc_id: list(g.doc_ids) for g in m.duplicate_lists(docs).collect()}
-    assert got == {1: [1, 2, 3], 4: [4, 5], 6: [6, 7]}
+    assert listed(m.duplicates(docs)) == {1: [1, 2, 3], 4: [4, 5], 6: [6, 7]}
     left = m.deduplicated(docs)
     assert left.columns == docs.columns
     ids = [r.doc_id for r in left.select("doc_id").collect()]
@@ -76,7 +86,7 @@ def test_awkward_rows(spark):
 
 
 def test_empty_table(spark):
-    assert m.duplicate_lists(spark.createDataFrame([], DOCS)).count() == 0
+    assert m.duplicates(spark.createDataFrame([], DOCS)).count() == 0
     assert m.deduplicated(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -94,16 +104,9 @@ def test_odd_sketches_estimate_high_similarities(similarity):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
 
 
-def test_runs_that_span_batches():
-    odd = np.zeros((6, 8), np.uint64)
-
-    def batches(cuts):
-        keys, ids = np.array([1, 2, 2, 2, 3, 3]), np.arange(6)
-        for a, b in zip([0, *cuts], [*cuts, 6], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(ids[a:b]), pa.array([x.tobytes() for x in odd[a:b]])], names=["key", "id", "odd"])
-
-    for cuts in ([], [2], [3], [2, 3], [1, 2, 3, 4, 5]):
-        got = [x for b in m._verify(batches(cuts), 0.5, 128) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-        assert sorted(got) == [(2, 1), (3, 1), (5, 4)]
-        kept = [x for b in m._shared(batches(cuts)) for x in b.column(1).to_pylist()]
-        assert sorted(kept) == [1, 2, 3, 4, 5]
+def test_one_id_with_several_texts(spark):
+    r = random.Random(5)
+    x, y, z = (sentence(r, 60) for _ in range(3))
+    docs = spark.createDataFrame([(1, x, "en", "s", 1), (2, y, "en", "s", 1), (2, x, "en", "s", 1), (2, z, "en", "s", 1), (3, z, "en", "s", 1)], DOCS)
+    assert sorted((r.doc_id, r.text) for r in m.deduplicated(docs).collect()) == sorted([(1, x), (2, y), (2, z)])
+    assert listed(m.duplicates(docs)) == {1: [1, 2], 2: [2, 3]}
