@@ -6,56 +6,38 @@ their GRAM-byte pieces.  Two lines are candidates if the minima of a band agree,
 ROWS of them, and if one bit of each minimum, BITS in all, differs in at most
 `distance` places.  A candidate whose normalised texts have an edit similarity of at
 least `similarity` is linked, and of each connected group only the first occurrence, by
-(doc_id, line), stays.
+(doc_id, line), stays.  Candidates are compared bucket by bucket, see buckets: first
+with a lead, then, where a bucket is not one group, with all others.
 
 Candidates are found by chance: where pieces have a Jaccard similarity of j, a band
 agrees with probability j**ROWS.  More rows make fewer chance partners in a larger
 corpus, more bands find more, at the price of keys.  README has the recall measured.
 
 Defined results: lines without a word (blank, rules) always stay; a null text stays
-null; a document that loses every line has an empty text; null doc_ids sort first;
-rows alike in doc_id and text are one document and get one text; other columns are
-kept as they are, whatever their names.
+null, an empty one empty; lines and texts of any length are compared whole; a document
+that loses every line has an empty text; null doc_ids sort first; rows alike in doc_id
+and text are one document and get one text; an empty table gives an empty one; other
+columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.llm import buckets
 from tessellum.llm import text as tx
-from tessellum.llm.components import connected
-from tessellum.llm.store import bounded, written
+from tessellum.llm.store import bounded, unused, written
 
 GRAM, ROWS, BANDS, SIMILARITY = 5, 5, 12, 0.85
 BITS, DISTANCE = ROWS * BANDS, 17
-N_BLOCKS = DISTANCE + 1  # of a sketch: two within the distance have one alike
 _ODD = (tx.mix(np.arange(1, BITS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def simhashes(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64-bit weighted SimHash of the words of each line; first: each line's first word."""
-    h = tx.mix(h ^ np.uint64(0xA0761D6478BD642F))
-    total = tx.segment_sums(weight.astype(np.int64), first)
-    # counters packed 4 (or, for very long lines, 2) to a word, so one sum does for several bits
-    lanes = 4 if total.max(initial=0) < 1 << 16 else 2
-    width = 64 // lanes
-    table = np.array([sum(((v >> b) & 1) << (b * width) for b in range(lanes)) for v in range(1 << lanes)], dtype=np.uint64)
-    w, out = weight.astype(np.uint64), np.zeros(first.size - 1, dtype=np.uint64)
-    for at in range(0, 64, lanes):
-        part = table[((h >> np.uint64(at)) & np.uint64((1 << lanes) - 1)).astype(np.uint8)] * w
-        sums = tx.segment_sums(part, first)
-        for b in range(lanes):
-            count = ((sums >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            out |= (2 * count > total).astype(np.uint64) << np.uint64(at + b)
-    return out
-
-
 def _within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n places are in one of the spans, which lie in order."""
     change = np.zeros(n + 1, dtype=np.int8)
@@ -65,10 +47,10 @@ def _within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sketches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of the minima, and (lines, BANDS) of band keys; at: each line's first word, none without words."""
+    """The bits of the minima, and (lines, BANDS) of band keys of 64 bits; at: each line's first word, none without words."""
     size = ends - starts
     if not size.size:
-        return np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint32)
+        return np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
     # words with a blank behind each, and GRAM - 1 behind each line
     gap = np.ones(size.size, dtype=np.int64)
     gap[at[1:] - 1] = GRAM - 1
@@ -96,11 +78,11 @@ def _sketches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndar
         for k, odd in enumerate(_ODD):
             least[k, i:j] = np.minimum.reduceat(np.multiply(part, odd, out=held), heads)
         i = j
-    bits, bands = np.zeros(first.size, np.uint64), np.zeros((first.size, BANDS), np.uint32)
+    bits, bands = np.zeros(first.size, np.uint64), np.zeros((first.size, BANDS), np.uint64)
     for k in range(BITS):
         h = tx.mix(least[k] + (np.uint64(k) << np.uint64(32)))
         bits |= (h >> np.uint64(63)) << np.uint64(k)
-        bands[:, k // ROWS] += h.astype(np.uint32)
+        bands[:, k // ROWS] += h  # k is in h: no other band has the same key but by chance
     return bits, bands
 
 
@@ -109,8 +91,8 @@ def line_table(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return line_sketches(buf, offs)[:4]
 
 
-def line_sketches(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, line number, hash, sketch, band keys) of each line that has a word."""
+def line_sketches(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, line number, hash, sketch, band keys, second hash) of each line that has a word."""
     breaks = np.flatnonzero(buf == 10) + 1
     first = np.concatenate([offs[:-1], breaks])
     doc = np.concatenate([np.arange(offs.size - 1), np.searchsorted(offs, breaks - 1, side="right") - 1])
@@ -120,83 +102,26 @@ def line_sketches(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, ends, at = tx.spans(buf, np.append(first, buf.size))
     h = tx.span_hashes(buf, starts, ends)
     place = np.arange(h.size) - np.repeat(at[:-1], np.diff(at))
-    whole = tx.segment_sums(tx.mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at)
+    h += place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole, other = tx.segment_sums(tx.mix(h), at), tx.segment_sums(tx.mix(h ^ np.uint64(0xA0761D6478BD642F)), at)
     some = np.diff(at) > 0
     sim, bands = _sketches(buf, starts, ends, np.append(at[:-1][some], at[-1]))
-    return doc[some], number[some], tx.mix(whole)[some].view(np.int64), sim.view(np.int64), bands.view(np.int32)
+    return doc[some], number[some], tx.mix(whole)[some].view(np.int64), sim.view(np.int64), bands.view(np.int64), other[some].view(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rid, ids = batch.column(0), batch.column(1)
+        ids, hashes = batch.column(0), batch.column(1)
         for i, j, buf, offs in tx.chunks(batch.column(2)):
-            doc, number, whole, sim, bands = line_sketches(buf, offs)
+            doc, number, whole, sim, bands, other = line_sketches(buf, offs)
             keys = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [rid.slice(i, j - i).take(take), ids.slice(i, j - i).take(take), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(sim), keys],
-                names=["rid", "doc", "line", "hash", "sim", "bands"],
+                [ids.slice(i, j - i).take(take), hashes.slice(i, j - i).take(take), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(other), pa.array(sim), keys],
+                names=["doc", "th", "line", "h1", "h2", "mark", "keys"],
             )
 
 
-def _bounds(n_blocks: int) -> list[tuple[int, int]]:
-    cut = [round(64 * i / n_blocks) for i in range(n_blocks + 1)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
-
-
-def _keys(bands: Column) -> Column:
-    """One key for each band, which no other band shares but by chance."""
-    return F.array(*[bands[i].cast("long") + F.lit(i << 32).cast("long") for i in range(BANDS)])
-
-
-def _near(batches: Iterator[pa.RecordBatch], distance: int, n_blocks: int = 0) -> Iterator[pa.RecordBatch]:
-    """Pairs within the distance in runs of one key.
-
-    With n_blocks, keys are choices of blocks of the sketch, and each pair is given just
-    under the first key that it shares; else under all of them.
-    """
-    bounds, take = _bounds(n_blocks) if n_blocks else [], n_blocks - distance
-    choices = {c: i for i, c in enumerate(combinations(range(n_blocks), take))} if n_blocks else {}
-    first_choice = np.full(1 << n_blocks, -1)
-    for equal in range(1 << n_blocks if n_blocks else 0):
-        own = [b for b in range(n_blocks) if equal >> b & 1]
-        if len(own) >= take:
-            first_choice[equal] = choices[tuple(own[:take])]
-
-    def work(key: np.ndarray, table: np.ndarray, h: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), key.size))
-        left = np.repeat(np.cumsum(size), size) - 1 - np.arange(key.size)  # rows of the run behind each row
-        at, d = np.flatnonzero(left > 0), 1
-        while at.size:
-            for part in range(0, at.size, 1 << 20):
-                i = at[part : part + (1 << 20)]
-                x = sim[i] ^ sim[i + d]
-                i, x = i[ok := np.bitwise_count(x) <= distance], x[ok]
-                if bounds:
-                    equal = sum(((x >> np.uint64(a)) & np.uint64((1 << w) - 1) == 0).astype(np.int64) << b for b, (a, w) in enumerate(bounds))
-                    i = i[first_choice[equal] == table[i]]
-                i = i[h[i] != h[i + d]]
-                if i.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(h[i + d])], names=["a", "b"])
-            d += 1
-            at = at[left[at] >= d]
-
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-        now[3] = now[3].view(np.uint64)
-        if not now[0].size:
-            continue
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        if cut:
-            yield from work(*[x[:cut] for x in now])
-        rest = [x[cut:] for x in now]
-    if rest is not None:
-        yield from work(*rest)
-
-
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
 
@@ -349,51 +274,52 @@ def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
     for batch in batches:
         if len(batch):
             ok = pa.array(similar(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), similarity))
-            yield batch.select(["a", "b"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], names=["a", "b", "ok"])
+
+
+def _test(similarity: float) -> buckets.Compare:
+    def of(columns: list[pa.Array]):  # noqa: ANN202
+        lines = columns[0].to_pylist()
+        return lambda i, j: similar([(lines[a], lines[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], similarity)
+
+    return of
 
 
 def surplus(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
-    """(rid, lines): numbers of the lines that go from each row, rid being xxhash64(doc_id, text)."""
-    narrow = bounded(docs).select(
-        F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")
-    )
-    lines = written(narrow.mapInArrow(_lines, "rid long, doc long, line int, hash long, sim long, bands array<int>"), "lines")
-    first = F.min(F.struct("doc", "rid", "line")).alias("first")
-    distinct = written(lines.groupBy("hash").agg(F.min(F.struct("sim", "bands")).alias("s"), first, F.count("*").alias("n")), "distinct")
-    keyed = distinct.select("hash", F.col("s.sim").alias("sim"), F.posexplode(_keys(F.col("s.bands"))).alias("table", "key"))
-    pairs = (
-        keyed.select("key", "table", "hash", "sim")
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(lambda it: _near(it, distance), "a long, b long")
-    )
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    # the texts of the lines in pairs, from the documents where they occur first
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct()
-    where = distinct.join(wanted, "hash", "left_semi").groupBy("first.rid").agg(F.collect_list(F.struct("first.line", "hash")).alias("want"))
-    texts = (
-        narrow.select("rid", "text")
-        .join(where, "rid")
-        .select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
-        .select(F.col("w.hash").alias("hash"), normalised(F.element_at("lines", F.col("w.line") + 1)).alias("line"))
-    )
-    texts = written(texts, "texts")
-    a, b = texts.select(F.col("hash").alias("a"), F.col("line").alias("x")), texts.select(F.col("hash").alias("b"), F.col("line").alias("y"))
-    links = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long")
-    near = written(connected(links), "near")
-    roots = (
-        near.join(distinct.select(F.col("hash").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("root_first"))
-    )
-    member = near.join(roots, "root").select(F.col("node").alias("hash"), "root_first")
-    stays = (
-        distinct.join(member, "hash", "left")
-        .where("n > 1 or root_first is not null")
-        .select("hash", F.coalesce("root_first", "first").alias("stay"))
-    )
+    """(doc, th, lines): numbers of the lines that go from each row; th is xxhash64(text)."""
+    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    lines = written(narrow.mapInArrow(_lines, "doc long, th long, line int, h1 long, h2 long, mark long, keys array<long>"), "lines")
+    first = F.min(F.struct("doc", "th", "line")).alias("first")
+    distinct = lines.groupBy("h1", "h2").agg(F.first("mark").alias("mark"), F.first("keys").alias("keys"), first, F.count("*").alias("n"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """The normalised lines, from the documents where they occur first."""
+        where = distinct.select("node", "first").join(nodes, "node", "left_semi").groupBy("first.doc", "first.th").agg(F.collect_list(F.struct("first.line", "node")).alias("want"))
+        found = (
+            narrow.join(where.withColumnsRenamed({"doc": "own", "th": "own_th"}), F.col("doc").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")))
+            .select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
+            .select(F.col("w.node").alias("node"), normalised(F.element_at("lines", F.col("w.line") + 1)).alias("text"))
+        )
+        return written(found.dropDuplicates(["node"]), "texts")  # rows that are repeated would have it twice
+
+    def check(pairs: DataFrame) -> DataFrame:
+        t = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        a, b = t.select(F.col("node").alias("a"), F.col("text").alias("x")), t.select(F.col("node").alias("b"), F.col("text").alias("y"))
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long, ok boolean")
+
+    def payload(rows: DataFrame) -> DataFrame:
+        return rows.join(texts(rows.select("node").distinct()), "node").select("key", "block", "span", "node", "mark", "grp", "left", "text")
+
+    _, groups = buckets.grouped(distinct.select("node", "mark", "keys"), distance, check, payload, _test(similarity))
+    of_node = distinct.select("h1", "h2", "node", "first", "n").join(groups, "node", "left").where("n > 1 or root is not null")
+    of_node = of_node.select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))
+    stays = of_node.join(of_node.groupBy("root").agg(F.min("first").alias("stay")), "root").select("h1", "h2", "stay")
     return (
-        lines.join(stays, "hash")
-        .where("rid <> stay.rid or line <> stay.line")
-        .groupBy("rid")
+        lines.select("doc", "th", "line", "h1", "h2")
+        .join(stays, ["h1", "h2"])
+        .where("not (doc <=> stay.doc and th = stay.th and line = stay.line)")
+        .groupBy("doc", "th")
         .agg(F.collect_set("line").alias("lines"))
     )
 
@@ -403,15 +329,22 @@ def deduplicated(docs: DataFrame, counts: bool = False, **params: float) -> Data
 
     counts adds n_lines and n_dropped.
     """
-    gone = surplus(docs, **params).select(F.col("rid").alias("__rid"), F.col("lines").alias("__lines"))
-    joined = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(gone, F.col("__row") == F.col("__rid"), "left")
-    joined = joined.withColumn("__all", F.split("text", "\n"))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__all) - 1), __lines), i -> __all[i]), '\\n')")
-    new = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    doc, th, gone, parts = unused(docs, "own", "own_th", "gone", "all_lines")
+    away = surplus(docs, **params).select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("lines").alias(gone))
+    text = docs["text"]
+    joined = docs.join(away, docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text.cast("string")) == F.col(th)), "left")
+    cols = [docs[f"`{c}`"] for c in docs.columns]
+    split = joined.select(*cols, F.col(gone), F.split(text, "\n").alias(parts))  # once for each text, not for each line
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    new = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.col(parts)[i]), "\n"))
+    out = []
+    for c in docs.columns:
+        own = F.col(f"`{c}`")
+        if c == "text":
+            own = new.alias(c)
+        elif c == "n_chars":
+            own = F.when(F.col(gone).isNull(), own).otherwise(F.length(new).cast(docs.schema[c].dataType)).alias(c)
+        out.append(own)
     if counts:
-        cols += [F.size("__all").alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).alias("n_dropped")]
-    return out.select(*cols)
+        out += [F.size(parts).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped")]
+    return split.select(*out)

@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pyarrow as pa
 
 from tessellum.llm import lines as L
@@ -69,34 +68,6 @@ def test_results_agree_with_brute_force(spark):
     assert all(v.n_chars == len(v.text) for v in got.values() if v.n_dropped)
 
 
-def test_blocks_find_every_pair_within_the_distance():
-    r = random.Random(5)
-    base = [r.getrandbits(64) for _ in range(30)]
-    sims = base + [b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in (1, 2, 3, 3, 4)]
-    from itertools import combinations
-
-    bounds = L._bounds(L.N_BLOCKS)
-    rows = []
-    for i, s in enumerate(sims):
-        for t, c in enumerate(combinations(range(L.N_BLOCKS), L.N_BLOCKS - L.DISTANCE)):
-            rows.append((hash((t, *[(s >> bounds[b][0]) & (1 << bounds[b][1]) - 1 for b in c])), t, i, s - (1 << 64) if s >> 63 else s))
-    rows.sort()
-    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["key", "table", "hash", "sim"])
-    for pieces in ([batch], [batch.slice(i, 7) for i in range(0, len(rows), 7)]):
-        got = [tuple(sorted(x)) for b in L._near(iter(pieces), L.DISTANCE, L.N_BLOCKS) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-        want = [(i, j) for j in range(len(sims)) for i in range(j) if (sims[i] ^ sims[j]).bit_count() <= L.DISTANCE]
-        assert sorted(got) == sorted(want)
-
-
-def test_simhash_counters_for_very_long_lines():
-    h = np.arange(1, 40_001, dtype=np.uint64) * np.uint64(7919)
-    weight = np.full(h.size, 9)
-    one = L.simhashes(h, weight, np.array([0, h.size]))[0]
-    bits = (tx.mix(h ^ np.uint64(0xA0761D6478BD642F))[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    want = sum(1 << k for k in range(64) if 2 * int(bits[:, k].sum()) > h.size)
-    assert int(one) == want
-
-
 def test_awkward_rows(spark):
     rows = awkward()
     docs = clashing(spark.createDataFrame(rows, DOCS))
