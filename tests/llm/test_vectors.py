@@ -40,14 +40,27 @@ def test_exact_search_agrees_with_brute_force(spark, pivots, group, shell):
     assert got == brute(range(400), x, 7)
 
 
-def test_exact_search_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(v, "SIDE", 100)
+def recall(got, want, k=10):
+    return np.mean([len({a for a, *_ in got[i]} & {a for a, *_ in want[i]}) / k for i in want])
+
+
+@pytest.mark.parametrize("every,side,shard", [(1, 100, 50), (20, 3, 20), (7, 65536, 4096)])
+def test_searches_in_blocks(spark, every, side, shard):
     x = cloud(330, seed=4)
+    df = spark.createDataFrame([(i - 50, a.tolist(), 0) for i, a in enumerate(x)], SCHEMA)
+    want = {i: p for i, p in brute(range(-50, 280), x, 5).items() if i % every == 0}
+    assert lists(v.exact_search(df, "vec_id", "embedding", 5, 10, shard, every=every, side=side)) == want
+    got = lists(v.permutation_search(df, "vec_id", "embedding", 5, every=every, side=side, shard_rows=shard))
+    assert got.keys() == want.keys() and recall(got, want, 5) > 0.9
+
+
+def test_an_annulus_of_most_rows_is_sharded(spark):
+    """400 vectors on a circle around the origin have one key; the others lie beyond."""
+    r = np.random.default_rng(5)
+    turn = np.sort(r.random(400)) * 2 * math.pi
+    x = np.concatenate([[[0, 0]], np.column_stack([np.cos(turn), np.sin(turn)]), r.normal(size=(60, 2)) + 9]).astype(np.float32)
     df = spark.createDataFrame([(i, a.tolist(), 0) for i, a in enumerate(x)], SCHEMA)
-    assert lists(v.exact_search(df, "vec_id", "embedding", 5, 10, 50)) == brute(range(330), x, 5)
-    got = lists(v.permutation_search(df, "vec_id", "embedding", 5))
-    want = brute(range(330), x, 5)
-    assert np.mean([len({a for a, *_ in got[i]} & {a for a, *_ in want[i]}) / 5 for i in want]) > 0.9
+    assert lists(v.exact_search(df, "vec_id", "embedding", 4, 1, 50, 16)) == brute(range(len(x)), x, 4)
 
 
 @pytest.mark.parametrize("n,d", [(600, 16), (3000, 32)])
@@ -118,12 +131,12 @@ def test_exact_search_keeps_groups_of_equal_vectors(norm):
         x = np.repeat((norm * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), 11, axis=0)
         piv = x[r.choice(len(x), 12, replace=False)].astype(np.float64)
         column = pa.array(x.tolist(), pa.list_(pa.float32()))
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), column, pa.array([True] * len(x))], names=["id", "v", "least"])
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), column], names=["id", "v"])
         keyed = pa.Table.from_batches(v._cells(iter([batch]), piv))
         cell, key = np.array(keyed.column("cell")), np.array(keyed.column("key"))
-        low, high = (np.array([f(key[cell == c], initial=i) for c in range(12)]) for f, i in ((np.min, np.inf), (np.max, -np.inf)))
-        cells = v.Cells(piv, low - 1e-9, high + 1e-9, np.zeros(12, np.int64))
-        asks = pa.concat_tables([v._bound(keyed.filter(pa.array(cell == c)), 10) for c in np.unique(cell)])
-        found = v._expand(cells, 10, 61, asks, keyed)
+        cells = v.Cells.of(piv, [(c, 0, key[cell == c].min(), key[cell == c].max(), int((cell == c).sum())) for c in np.unique(cell)], 10**9)
+        assert cells.sizes.tolist() == [len(x)]
+        asks = pa.concat_tables([v._bound(own := keyed.filter(pa.array(cell == c)), own, 10) for c in np.unique(cell)])
+        found = v._expand(piv, 10, 61, asks, keyed)
         got = {i: {p["id"] for p in ps if p["distance"] == 0} for i, ps in zip(found.column("id").to_pylist(), found.column("partners").to_pylist(), strict=True)}
         assert got == {i: {j for j in range(i - i % 11, i - i % 11 + 11) if j != i} for i in range(len(x))}
