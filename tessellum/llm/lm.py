@@ -8,18 +8,21 @@ each id is left to words that the corpus lacks, which are spelled byte by byte,
 bytes alike likely.  Ids are sorted by frequency and cut into classes of like mass, so that the
 output is a softmax over classes and one over the words of a class.
 
-Training is truncated backpropagation in numpy.  Every document is used once: in each
-round the partitions train from the same weights on the round's share of their
-documents, and the weights, averaged by tokens in a two-level tree, open the next
-round.  What is gathered so grows with the corpus, while the driver holds a few models.
+Training is truncated backpropagation in numpy.  Every document is used once.  A hash of
+its id and text puts it in a round and, there, in a shard, of which a larger corpus has more and
+larger ones; a shard trains, in the order of the hash, from the weights that the round
+begins with, and the weights, averaged by tokens in a two-level tree, open the next
+round.  So the model follows from the rows alone, however files and tasks divide them (test_lm.py
+compares one partition with four; scores differ by what sums of 32 bits are rounded by).
+What is gathered grows with the corpus, while the driver holds a few models.
 
 Documents run side by side in lanes.  A lane carries its state from window to window
 and drops it only where a document begins, so the log-likelihood is that of the
 complete document, whatever its length.
 
-Defined results: a null or empty text has just the end mark; rows that repeat a doc_id
-score alike and each gets a row; null doc_ids are kept; no documents: no rows.  Other
-columns are not looked at.
+Defined results: a null or empty text has just the end mark; a text of any length is
+scored whole; rows alike in doc_id and text score alike and each gets a row; null doc_ids
+are kept; no documents: no rows.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ from tessellum.llm.store import bounded, written
 WORDS, SHARED, CLASSES, HIDDEN = 991, 32, 24, 16  # with the end mark 1024 ids
 LANES, WINDOW, RATE, ROUNDS, SEED = 512, 32, 0.08, (0.15, 0.85), 29
 FILL_BYTES = 24 << 20  # of text that lanes are filled with at a time
+SHARD_TOKENS = 200_000  # of the only shard of a small corpus; others have (tokens / SHARD_TOKENS) ** (2 / 3) shards
 
 
 @dataclass
@@ -52,6 +56,7 @@ class Vocabulary:
     end: int
     counts: np.ndarray
     classes: np.ndarray  # first id of each class, and the number of ids
+    tokens: float = 0.0
     known: DataFrame | None = None  # (h, n) of every word; stays with the driver
 
     def __getstate__(self) -> dict:
@@ -162,7 +167,7 @@ def vocabulary(docs: DataFrame, words: int = WORDS, shared: int = SHARED, classe
     for h, n in frequent:
         rest[h % shared] -= n
     v = Vocabulary.of(frequent, rest, sum(r["docs"] for r in got), classes)
-    v.known = counts.where("n > 0").select("h", "n")
+    v.known, v.tokens = counts.where("n > 0").select("h", "n"), float(v.counts.sum())
     return v
 
 
@@ -356,17 +361,17 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learn(batches: Iterator[pa.RecordBatch], model: Gru, v: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """One row: the partition, its tokens and its weights."""
-    own, tokens = model.filled(model.flat().copy()), 0
+    """One row: the shard, its tokens and its weights."""
+    own, tokens, shard = model.filled(model.flat().copy()), 0, None
     for batch in _joined(batches):
-        ids, first = v.documents(batch.column(0))
+        ids, first = v.documents(batch.column(1))
         if ids.size:
             own.run(ids, first, v, learn=True)
             tokens += int(ids.size)
+            shard = batch.column(0)[0].as_py()
     if tokens:
-        part = TaskContext.get().partitionId()
         weights = pa.array([own.flat().astype(np.float32).tobytes()], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([tokens]), weights], names=["part", "tokens", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([tokens]), weights], names=["part", "tokens", "weights"])
 
 
 def _average(table: pa.Table) -> tuple[int, np.ndarray]:
@@ -385,12 +390,16 @@ def trained(docs: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS,
     """The model after all rounds, which share all documents between them."""
     model = Gru.fresh(v, hidden)
     spark, schema = docs.sparkSession, "part long, tokens long, weights binary"
-    texts = bounded(docs).select(F.col("text").cast("string").alias("text"))
-    place = F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1 << 30))
+    place = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = bounded(docs).select(place.alias("place"), F.col("text").cast("string").alias("text"))
+    when = F.pmod("place", F.lit(1 << 30))
+    shards = max(1, math.ceil((v.tokens / SHARD_TOKENS) ** (2 / 3)))
+    shard = F.pmod(F.shiftrightunsigned("place", 30), F.lit(shards))
     edges = [round((1 << 30) * x) for x in np.cumsum([0.0, *rounds]) / sum(rounds)]
     for low, high in zip(edges, edges[1:], strict=False):
         held = spark.sparkContext.broadcast((model, v))  # a fixed size, whatever the corpus
-        own = texts.where((place >= low) & (place < high)).mapInArrow(lambda it, held=held: _learn(it, *held.value), schema)
+        own = texts.where((when >= low) & (when < high)).withColumn("shard", shard).repartitionById(shards, F.col("shard").cast("int"))
+        own = own.sortWithinPartitions("place").select("shard", "text").mapInArrow(lambda it, held=held: _learn(it, *held.value), schema)
         own = written(own, "weights")
         n = own.count()
         if not n:

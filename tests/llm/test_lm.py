@@ -153,6 +153,20 @@ def test_awkward_rows(spark):
     assert len(twins) == 2 and twins[0].log_likelihood == pytest.approx(twins[1].log_likelihood, rel=1e-4)
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
+    r = random.Random(8)
+    rows = [(i, sentence(r, r.randint(5, 120)), "en", "s", 1) for i in range(300)]
+    scores = []
+    for parts in (1, 4):
+        docs = spark.createDataFrame(r.sample(rows, len(rows)), DOCS).repartition(parts)
+        v = lm.vocabulary(docs)
+        assert v.tokens > 8 * 2000
+        scores.append({x.doc_id: x.bits_per_token for x in lm.scored(docs, lm.trained(docs, v), v).collect()})
+    one, four = scores
+    assert max(abs(one[i] - four[i]) for i in one) < 1e-4
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     v = lm.vocabulary(docs)
