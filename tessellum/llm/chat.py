@@ -12,9 +12,10 @@ content are escaped: a backslash goes into `<|`, behind the backslashes that are
 already, so unescape() restores every text.
 
 Defined results: turns are ordered by turn, role and text, nulls first, and repeated
-rows stay; rows without conv_id form one conversation; a null or empty text gives a
-turn without content; an unknown or null role is written as a user's; other columns
-are not looked at.
+rows stay; each row without conv_id is a conversation of its own; a null or empty text
+gives a turn without content, a text of any length is encoded whole; an unknown or null
+role is written as a user's; an empty table has no conversations; other columns are not
+looked at.  A conversation is one row of the result, so it has to fit into one.
 """
 
 from __future__ import annotations
@@ -103,5 +104,7 @@ def _format(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def formatted(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(conv_id, n_tokens, input_ids, loss_mask), a row for each conversation; the vocabulary's path is the executors'."""
     part = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    talks = bounded(turns).groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(part)).alias("turns"))
+    rows = bounded(turns).select(F.col("conv_id").cast("long").alias("conv_id"), part.alias("part"))
+    talks = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("turns"))
+    talks = talks.unionByName(rows.where("conv_id is null").select("conv_id", F.array("part").alias("turns")))
     return talks.mapInArrow(lambda it: _format(it, vocabulary), "conv_id long, n_tokens int, input_ids array<int>, loss_mask array<byte>")

@@ -10,10 +10,12 @@ The model is fitted on at most about MAX_LABELS labelled rows, picked by a hash
 doc_id; everything else sees all rows.  The threshold lets KEEP_GOOD of the rows
 labelled good pass, but is never above one half.
 
-Defined results: null texts score as empty ones; of rows with a doc_id labelled more
-than once the least label counts; null labels and ids are left out of the fit; without
-labels of both kinds every document passes with a score of 1; repeated rows score
-alike; other columns are kept as they are, whatever their names.
+Defined results: null texts score as empty ones; texts of any length are measured whole;
+of rows with a doc_id labelled more than once the least label counts; of rows that
+repeat a labelled doc_id the one with the least features is fitted; null labels and ids are
+left out of the fit; without labels of both kinds every document passes with a score of
+1; repeated rows score alike; an empty table gives an empty one; other columns are kept
+as they are, whatever their names (scored() replaces one of the name it is given).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm import text as tx
-from tessellum.llm.store import bounded
+from tessellum.llm.store import bounded, unused
 
 MAX_LABELS, KEEP_GOOD = 20_000, 0.995
 MAIN_BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, PENALTY = 48, 12, 120, 60, 8, 0.1, 4.0
@@ -194,9 +196,11 @@ def trained(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, ke
 
     def measure(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(features(b.column(1))), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(features(b.column(2))), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    got = rows.select("y", "text").mapInArrow(measure, "y double, x array<double>").toArrow()
+    # a row for each label, however many documents have its id
+    measured = rows.select("id", "y", "text").mapInArrow(measure, "id long, y double, x array<double>")
+    got = measured.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).select("y", "x").toArrow()
     if not got.num_rows:
         return Model()
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(got.num_rows, -1)
@@ -217,4 +221,6 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model keeps, columns as they are."""
-    return scored(docs, model, "__score").where(F.col("__score") >= model.threshold).drop("__score")
+    (name,) = unused(docs, "score")
+    cols = [f"`{c}`" for c in docs.columns]
+    return scored(docs, model, name).where(F.col(name) >= model.threshold).select(*cols)

@@ -76,3 +76,11 @@ def test_awkward_turns(spark):
     want, mask = brute([(2, None, "user", "first"), (2, 0, "robot", long)])
     assert list(got[2].input_ids) == want and sum(mask) == 0
     assert chat.formatted(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_without_a_conversation_and_ties(spark):
+    rows = [(None, 1, "user", "a"), (None, 0, "assistant", "b"), (None, 0, "assistant", "b"), (3, 1, "user", "z"), (3, 1, "user", "y"), (3, 1, "assistant", "z"), (3, 1, None, "q")]
+    got = chat.formatted(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(tuple(g.input_ids) for g in got if g.conv_id is None) == sorted(tuple(brute([r])[0]) for r in rows[:3])
+    (talk,) = [g for g in got if g.conv_id == 3]
+    assert list(talk.input_ids) == brute([rows[6], rows[5], rows[4], rows[3]])[0]

@@ -1,9 +1,14 @@
+import math
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessellum.llm import quality as q
+from tessellum.llm import queries
 from tests.llm.cases import DOCS, awkward, clashing, sentence
 
 
@@ -61,6 +66,60 @@ def test_features_of_whole_texts():
     assert (x[1] == x[2]).all() and np.isclose(x[3][0], np.log1p(400_000)) and x[3][-3] > 0.99
 
 
+def measured(text):
+    """The features of one text, counted without arrays."""
+    raw = (text or "").encode()
+    words, lines = re.findall(rb"[^\t\n\x0b\x0c\r ]+", raw), raw.count(b"\n") + 1
+    b, w = max(1, len(raw)), max(1, len(words))
+    symbols = b"#$%&*|<>{}[]=\\/@^~_+"
+    among = lambda chars: sum(c in chars for c in raw) / b
+    return [
+        math.log(1 + len(raw)), len(words) / lines, sum(map(len, words)) / w, sum(len(x) > 16 for x in words) / w, sum(65 <= c <= 90 for c in raw) / b, sum(48 <= c <= 57 for c in raw) / b,
+        among(symbols), among(b".,;:!?'\"-()"), sum(c > 127 for c in raw) / b, among(b"!"), sum(any(c in symbols for c in x) for x in words) / w,
+        sum(x == y for x, y in zip(words, words[1:], strict=False)) / w, len(set(words)) / w, math.log(lines),
+    ]
+
+
+def looked_up(m, row):
+    """A score from the model's tables, one entry after the other."""
+    f = m.base + sum(t[sum(x >= e for e in edges)] for x, edges, t in zip(row, m.edges, m.tables, strict=True))
+    for (a, b), t in m.pairs.items():
+        f += t[sum(row[a] >= e for e in m.pair_edges[a]), sum(row[b] >= e for e in m.pair_edges[b])]
+    return 1 / (1 + math.exp(-f))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables here")
+def test_the_query_agrees_with_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = q.trained(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {r.doc_id: measured(r.text) for r in docs.collect()}
+    want = {i: looked_up(model, x) for i, x in rows.items()}
+    got = {r.doc_id: r.score for r in queries.op4_quality_gam(spark, sf).collect()}
+    # a feature at the edge of a bin may be rounded to either side
+    edges = [np.concatenate(e) for e in zip(model.edges, model.pair_edges, strict=True)]
+    sure = [i for i, x in rows.items() if not any(((e != v) & (abs(e - v) < 1e-12)).any() for v, e in zip(x, edges, strict=True))]
+    assert len(sure) > 50
+    for i in sure:
+        assert (i in got) == (want[i] >= model.threshold) and abs(got.get(i, want[i]) - want[i]) < 1e-9
+    assert sum((i in got) == (want[i] >= model.threshold) for i in want) >= 0.99 * len(want)
+
+
+def test_features_agree_with_those_of_single_texts():
+    r = random.Random(9)
+    texts = ["".join(r.choice(["word ", "Großes ", "12 ", "#a ", "!!\n", "\t", "x" * 20 + " ", "a a ", "<b> "]) for _ in range(r.randint(0, 60))) for _ in range(100)] + [None, ""]
+    assert np.allclose(q.features(pa.array(texts)), [measured(t) for t in texts])
+
+
+def test_a_labelled_id_of_many_rows_is_one_row_of_the_fit(spark, monkeypatch):
+    rows, labels = labelled(100)
+    docs = spark.createDataFrame(rows + [(5, f"{i} rows", "en", "s", 1) for i in range(500)], DOCS)
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda x, y, keep: seen.append(len(x)) or q.Model())
+    q.trained(docs, spark.createDataFrame(labels, LABELS))
+    assert seen == [100]
+
+
 def test_the_bound_on_labels_holds(spark):
     rows, labels = labelled(500)
     docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
