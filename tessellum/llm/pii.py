@@ -1,14 +1,15 @@
 """Personal data: a linear-chain conditional random field over word shapes.
 
-Tokens are runs of visible characters, chains are lines.  Every token is described by
+Tokens are runs of visible characters but brackets, quotes, commas and their like, chains
+are lines.  Every token is described by
 its collapsed word shape (runs of upper case, lower case and digits become one sign
 each) and by small tables over lengths, digit and sign counts and end characters; the
 neighbours' shapes count as well.  The field is trained by gradient ascent on a small
 table of labelled texts and decoded by Viterbi in numpy, all lines of a batch at once.
 
 Defined results: null and empty texts hold nothing; texts of any length are decoded
-whole; rows that repeat a doc_id are decoded each on its own; other columns are not
-looked at, and kept by redacted().
+whole; rows that repeat a doc_id are decoded each on its own; an empty table has no
+findings; other columns are not looked at, and kept by redacted().
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ for _code, _chars in enumerate(
     _CLASS[list(_chars)] = _code
 _CLASS[list(range(128, 256))] = 2  # letters, as most are
 _N = 17
+_TOKEN_BYTE = tx.VISIBLE_BYTE.copy()
+_TOKEN_BYTE[list(b"<>[]{}\"'`,;=|")] = False
 _HEX = np.zeros(256, dtype=bool)
 _HEX[list(b"0123456789abcdefABCDEF")] = True
 
@@ -73,7 +76,7 @@ def token_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, chain:
     kept = np.empty(buf.size, dtype=bool)
     kept[0] = True
     kept[1:] = (cls[1:] != cls[:-1]) | edge[1:]
-    kept &= tx.VISIBLE_BYTE[buf]
+    kept &= _TOKEN_BYTE[buf]
     place = np.concatenate([[0], np.cumsum(kept)])
     shape = (tx.span_hashes(cls[kept] + np.uint8(48), place[starts], place[ends]) % np.uint64(SHAPES)).astype(np.int32)
     signs = ((((plus * 2 + left) * 2 + right) * 3 + np.minimum(dashes, 2)) * 2 + quotes) * 2 + equals
@@ -154,12 +157,25 @@ def viterbi(emit: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
 
 def _chains(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Tokens (starts, ends, first token of each document) and their lines (line of each token, first token of each line)."""
-    starts, ends, first = tx.spans(buf, offs, tx.VISIBLE_BYTE)
+    starts, ends, first = tx.spans(buf, offs, _TOKEN_BYTE)
     heads = np.unique(np.concatenate([offs, np.flatnonzero(buf == 10)]))
     chain = np.searchsorted(heads, starts, side="right")
     return starts, ends, first, chain, np.append(np.searchsorted(chain, np.unique(chain)), starts.size)
 
 
+#: Signs behind which an entity begins that is written in one token with what names or holds it.
+_BEFORE = {"EMAIL": b":(", "IP": b"(", "CARD": b":(", "SECRET": b":(", "PHONE": b":"}
+
+
+def _inner(buf: np.ndarray, a: int, b: int, tag: str) -> int:
+    """Where the entity in bytes a to b begins."""
+    raw = buf[a:b].tobytes()
+    cut = max(raw.rfind(bytes([c]), 0, max(0, len(raw) - 4)) for c in _BEFORE[tag]) + 1
+    if tag == "PHONE" and raw[cut : cut + 1] == b"(" and b")" not in raw:
+        cut += 1  # a bracket around the number, not around its area
+    return a + cut
+
+
 _KEEP_LEFT, _KEEP_RIGHT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 for _t, _signs in ((_KEEP_LEFT, b"+("), (_KEEP_RIGHT, b"")):
     _t[:] = tx.WORD_BYTE
@@ -180,6 +196,7 @@ def decode(texts: pa.Array, field: Field) -> Iterator[tuple[int, list[tuple[int,
         before = -2
         for k, row in zip(hit.tolist(), rows.tolist(), strict=True):
             a, b = int(starts[k]), int(ends[k])
+            a = _inner(buf, a, b, TAGS[tags[k]].rstrip("+"))
             while a < b and not _KEEP_LEFT[buf[a]]:
                 a += 1
             while b > a and not _KEEP_RIGHT[buf[b - 1]]:
@@ -199,7 +216,11 @@ def decode(texts: pa.Array, field: Field) -> Iterator[tuple[int, list[tuple[int,
 
 
 def labelled_rows(n: int = 3000, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """A small table of invented sentences with their personal data marked."""
+    """A small table of invented sentences with their personal data marked.
+
+    The forms are those in common use (RFC 5322 addresses, dotted quads, 13 to 19 digits of a card,
+    national and E.164 numbers, random keys of several alphabets), each drawn evenly.
+    """
     r = random.Random(seed)
     parts = "an er on the re st ou ti en ha ing le de la que ment ach ung lich os ci ta ra mi éa ü ñ or at es nd".split()
 
@@ -207,59 +228,71 @@ def labelled_rows(n: int = 3000, seed: int = 5) -> list[tuple[str, list[tuple[in
         w = "".join(r.choice(parts) for _ in range(r.randint(1, 4)))
         return w.capitalize() if r.random() < 0.1 else w.upper() if r.random() < 0.04 else w
 
-    def digits(k: int) -> str:
-        return "".join(r.choice("0123456789") for _ in range(k))
-
     def code(k: int, chars: str) -> str:
         return "".join(r.choice(chars) for _ in range(k))
 
-    low, alnum = "abcdef0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    def digits(k: int) -> str:
+        return code(k, "0123456789")
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", letters + digits(0) + "0123456789", letters + letters.upper() + "0123456789", letters + letters.upper() + "0123456789-_", letters.upper() + "234567"]
+
+    def name() -> str:
+        return r.choice([word().lower(), word().lower() + digits(r.randint(1, 4)), code(1, letters)])
 
     def entity() -> tuple[str, str]:
         k = r.randrange(5)
         if k == 0:
-            user = r.choice([word().lower(), f"{word().lower()}.{digits(r.randint(1, 4))}", f"{word().lower()}_{word().lower()}", f"{word().lower()}.{word().lower()}", f"{word().lower()}+{word().lower()}"])
-            host = r.choice([f"mail{digits(1)}.example.com", f"{word().lower()}.org", f"{word().lower()}.{word().lower()}.net", f"{word().lower()}-{word().lower()}.co.uk"])
-            return f"{user}@{host}", "EMAIL"
+            user = r.choice("._+-").join(name() for _ in range(r.choice([1, 1, 2, 2, 3])))
+            if r.random() < 0.2:
+                user += r.choice("._") + digits(r.randint(1, 4))
+            host = ".".join(name() for _ in range(r.choice([1, 1, 2, 3])))
+            return f"{user}@{host}.{r.choice(['com', 'org', 'net', 'edu', 'de', 'fr', 'es', 'io', 'co.uk', 'info', 'test'])}", "EMAIL"
         if k == 1:
             ip = ".".join(str(r.randint(0, 255)) for _ in range(4))
-            return ip + (f":{r.randint(1, 65535)}" if r.random() < 0.1 else ""), "IP"
+            return ip + r.choice(["", "", "", "", f":{r.randint(1, 65535)}", f"/{r.randint(8, 32)}"]), "IP"
         if k == 2:
-            d = digits(r.choice([13, 14, 15, 16, 16, 16, 16, 16, 19]))
-            return (d if len(d) != 16 or r.random() < 0.8 else "-".join(d[i : i + 4] for i in range(0, 16, 4))), "CARD"
+            d = digits(r.choice([13, 14, 15, 16, 16, 16, 19]))
+            return r.choice([d, d, "-".join(d[i : i + 4] for i in range(0, len(d), 4))]), "CARD"
         if k == 3:
-            a, b, c = digits(3), digits(3) if r.random() < 0.5 else "555", digits(4)
-            return r.choice([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"+1{a}{b}{c}", f"+{r.randint(1, 99)}-{a}-{b}-{c}"]), "PHONE"
-        return r.choice([code(40, low), code(40, low), code(40, low), code(32, low), code(64, low), "ghp_" + code(36, alnum), "sk-" + code(32, alnum), "AKIA" + code(16, alnum).upper(), code(24, alnum) + digits(2)]), "SECRET"
+            land, area, number = str(r.randint(1, 99)), digits(r.choice([2, 3, 3, 4])), [digits(3), digits(4)]
+            gap = r.choice("- .")
+            return r.choice([
+                f"+{land} ({area}) {'-'.join(number)}", f"({area}) {gap.join(number)}", f"({area}) {'-'.join(number)}", gap.join([area, *number]), f"+{land} {area} {' '.join(number)}", f"+{land} ({area}) {gap.join(number)}",
+                f"+{land}{area}{''.join(number)}", f"+{land}{gap}{area}{gap}{gap.join(number)}", f"0{area} {digits(r.randint(5, 8))}",
+            ]), "PHONE"
+        body = code(r.randint(20, 64), r.choice(alphabets))
+        while not any(c.isdigit() for c in body):
+            body = code(len(body), alphabets[3])
+        return r.choice(["", "", "", code(2, letters) + "-", code(3, letters) + "_", code(4, letters.upper())]) + body + code(1, letters), "SECRET"
 
     def plain() -> str:
         return r.choice([
             digits(r.randint(1, 9)), digits(4), f"{r.randint(0, 20)}.{r.randint(0, 9)}", f"{r.randint(0, 20)}.{r.randint(0, 9)}.", f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}",
             f"{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}",
-            f"{r.randint(0, 23)}:{digits(2)}", f"${digits(2)}.{digits(2)}", f"${r.randint(1, 99)},{digits(3)}", f"{digits(2)}%", f"#{digits(2)}", f"{word()}-{word()}", f'"{word()}"', f"({word()})", f"({r.randint(1, 999)})",
-            f"{word()}{digits(1)}", f"@{word()}", f"{word()}:", "=", "+", "|", "-", "token", "key", "TOKEN", "KEY", "version", "3.", f"{digits(2)}-{digits(2)}", f"{digits(3)}-{digits(3)}", f"http://{word().lower()}.com/{word().lower()}", f"{word().lower()}.com",
-            word() * r.randint(3, 9), f"{word()}_{word()}", "BY-NC", "4.0.", "2.0.",
+            f"{r.randint(0, 23)}:{digits(2)}", f"{r.randint(0, 23)}:{digits(2)}:{digits(2)}", f"${digits(2)}.{digits(2)}", f"${r.randint(1, 99)},{digits(3)}", f"{digits(2)}%", f"#{digits(2)}", f"{word()}-{word()}", f'"{word()}"', f"({word()})", f"({r.randint(1, 999)})",
+            f"{word()}{digits(1)}", f"@{word()}", f"{word()}:", code(1, "=+|-&*/#~"), code(3, "=+|-&*/#~$%"), f"{word()}=", "3.", f"{digits(2)}-{digits(2)}", f"{digits(3)}-{digits(3)}", f"https://{word().lower()}.com/{word().lower()}", f"{word().lower()}.com",
+            word() * r.randint(3, 9), f"{word()}_{word()}", f"{word().lower()}.{word().lower()}()", f"/{word()}/{word()}.{word().lower()[:3]}", f"{word().upper()}-{digits(4)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(1)}.{digits(3)}.{digits(3)}", f"{word()}'{word()}",
         ])
 
+    around = [("", "")] * 8 + [('"', '"'), ("'", "'"), ("<", ">"), ("(", ")"), ("[", "]"), ("`", "`")]
     rows = []
     for _ in range(n):
-        deco = r.choice([[""]] * 6 + [["###", "$$$", "%%%", "&&&", "***"], ["!!"], [",", ".", ";", ""], ["", "", ")", "?"]])
+        ends = r.choice([[""]] * 6 + [[code(3, "#$%&*~|^")] * 2, ["!!"], [",", ".", ";", ""], ["", "", ")", "?"]])
         text, spans = "", []
         for _ in range(r.randint(3, 22)):
             p = r.random()
             if p < 0.09:
                 e, label = entity()
-                if label == "SECRET" and r.random() < 0.8:
-                    text += r.choice(["token = ", "key = ", "api_key: ", "password = ", "secret: "])
-                    q = r.choice(['"', '"', '"', "'", ""])
-                else:
-                    q = ""
-                text += q
+                if label == "SECRET" and r.random() < 0.7:
+                    text += r.choice([word(), word().upper() + "_" + word().upper(), word().lower() + "_" + word().lower()]) + r.choice([" = ", "=", ": ", ":", " := ", " "])
+                before, behind = r.choice(around)
+                text += before
                 spans.append((len(text), len(text) + len(e), label))
-                text += e + q
+                text += e + behind
             else:
                 text += plain() if p < 0.24 else word() + r.choice(["", "", "", "", ",", "."])
-            text += r.choice(deco) + " "
+            text += r.choice(ends) + " "
         rows.append((text.rstrip(), spans))
     return rows
 
