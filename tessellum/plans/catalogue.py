@@ -182,11 +182,6 @@ def search_files_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best_of_files(_found(spark, sf_dir, limit=400, threshold=-1.0)).withColumn("best", F.round("best", 6))
 
 
-@query()
-def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.snippets(_found(spark, sf_dir, limit=40))
-
-
 @query("SELECT vec_id, list_resize(embedding, 2000, 0::FLOAT) AS padded FROM embeddings")
 def pad_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", vectors.padded(F.col("embedding")).alias("padded"))
@@ -259,11 +254,6 @@ def chunk_plain_zero_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(corpus(spark, sf_dir), chunking.plain_chunks(F.col("content"), 400, 0))
 
 
-@query()
-def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(corpus(spark, sf_dir), chunking.markdown_chunks(F.col("content")))
-
-
 @query()
 def chunk_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = corpus(spark, sf_dir)

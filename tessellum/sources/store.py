@@ -6,7 +6,10 @@ Tables are Parquet, partitioned by project where they are large.
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,18 @@ SCHEMAS = {
 PARTITIONED = {"chunks", "hashes"}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share; a local session without one gets its own."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessellum-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        conf = "file://" + folder
+    return f"{conf.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Store:
     """projects, chunks and hashes below one folder of any file system that Spark can reach."""
 

@@ -5,6 +5,7 @@ The parser runs in Arrow batches, a file at a time; everything behind it is rela
 
 from __future__ import annotations
 
+import fnmatch
 import json
 
 import pyarrow as pa
@@ -27,9 +28,12 @@ INDEX = (
 
 
 def selected(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The rows of files(path, content, size) that a scan reads; null sizes pass."""
-    p = F.col("path")
-    ok = paths.has_extension(p, include or paths.SCANNED) & ~paths.hidden(p) & ~paths.below_excluded(p, paths.SCAN_EXCLUDED + [x.strip("/") for x in exclude or []])
+    """The rows of files(path, content, size) that a scan reads; null sizes pass, exclude names folders or has globs of their names."""
+    p, own = F.col("path"), [x.strip("/") for x in exclude or []]
+    globs = [fnmatch.translate(x) for x in own if set(x) & set("*?[")]
+    ok = paths.has_extension(p, include or paths.SCANNED) & ~paths.hidden(p) & ~paths.below_excluded(p, paths.SCAN_EXCLUDED + own)
+    if globs:
+        ok &= ~F.exists(paths.folders(p), lambda name: F.rlike(name, F.lit("|".join(globs).replace("\\Z", "\\z"))))
     return files.where(ok & F.coalesce(F.col("size") <= max_bytes, F.lit(True)))
 
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
-from tessellum.plans import catalogue
+from tessellum.plans import catalogue, further  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
