@@ -3,41 +3,40 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.functions import paths
 from tessellum.operators import chunking, embedding, search, state, tree
-from tessellum.operators.embedding import Config, Hashed
+from tessellum.operators.embedding import Config
 from tessellum.sources import files as sources
 from tessellum.sources.store import Store
 from tessellum.structure import scan as scans
 
 Provider = Callable[[Sequence[str]], list[list[float]]]
 ENVIRONMENT = "TESSELLUM_EMBEDDING"
+#: What a project gets that names nothing else: vectors that need no service, under their own name.
+LOCAL = Config("hashed", "words-256", 256)
 
 
 class Engine:
     """Works on the tables below `place`; providers gives, for a configuration, what makes its provider."""
 
     def __init__(self, spark: SparkSession, place: str, providers: Callable[[Config], Callable[[], Provider]] | None = None, default: Config | None = None) -> None:
-        self.spark, self.store, self.default = spark, Store(spark, place), default or Config()
-        self._providers = providers or _offline
+        self.spark, self.store, self.default = spark, Store(spark, place), default or LOCAL
+        self._providers = providers
 
     # configuration
 
     def setup(self) -> None:
-        """Makes the three tables where they are missing."""
-        have = self.store._versions()
-        from tessellum.sources.store import SCHEMAS
+        """Makes the index where there is none."""
+        self.store.setup()
 
-        missing = {name: self.spark.createDataFrame([], schema) for name, schema in SCHEMAS.items() if name not in have}
-        if missing:
-            self.store.write(**missing)
+    def _provider(self, config: Config, root: str | None) -> Callable[[], Provider]:
+        return self._providers(config) if self._providers else embedding.provider(config, root)
 
     def _named(self, project: str) -> DataFrame:
         return self.spark.createDataFrame([(project,)], "project string")
@@ -45,18 +44,18 @@ class Engine:
     def config(self, project: str) -> tuple[Config, str]:
         """The project's configuration, and where it comes from: stored, inferred or default."""
         d = self.default
-        row = state.resolved_config(self._named(project), self.store.read("projects"), self.store.read("chunks"), (d.provider, d.model, d.dimensions)).first()
+        row = state.resolved_config(self._named(project), self.store.read("projects", project), self.store.read("chunks", project), (d.provider, d.model, d.dimensions)).first()
         return Config(row["provider"], row["model"], row["dimensions"]), row["origin"]
 
     def has_data(self, project: str) -> bool:
-        own = F.col("project") == project
-        return not self.store.read("chunks").where(own).isEmpty() or not self.store.read("hashes").where(own).isEmpty()
+        own = self.store.pointers().get(project, {})
+        return bool(own.get("chunks") or own.get("hashes"))
 
     def _resolved(self, project: str) -> Config:
         """config(); what was inferred, or serves data that is there, is stored."""
         config, origin = self.config(project)
         if origin == "inferred" or (origin == "default" and self.has_data(project)):
-            self.store.write(projects=self._with_project(project, config))
+            self.store.put_config(project, self._with_project(project, config))
         return config
 
     def _for_index(self, project: str, spec: str | None) -> Config:
@@ -81,7 +80,7 @@ class Engine:
             "project", F.lit(c.provider).alias("provider"), F.lit(c.model).alias("model"), F.lit(c.dimensions).alias("dimensions"),
             F.lit(1).alias("config_version"), now.alias("created_at"), now.alias("updated_at"),
         )
-        return state.upserted(self.store.read("projects"), new, ["project"], keep=["created_at", "config_version"])
+        return state.upserted(self.store.read("projects", project), new, ["project"], keep=["created_at", "config_version"])
 
     # indexing
 
@@ -101,7 +100,7 @@ class Engine:
         project = sources.project_id(top)
         names = [sources.relative_file(top, file)] if file is not None else sources.git_files(top, ignore_file)
         table = sources.contents(self.spark, top, names, project, max_bytes)
-        return self.index_table(table, project, embedding_spec, force, file is not None, chunk_size, chunk_overlap, max_bytes)
+        return self.index_table(table, project, embedding_spec, force, file is not None, chunk_size, chunk_overlap, max_bytes, top)
 
     def index_table(
         self,
@@ -113,41 +112,54 @@ class Engine:
         chunk_size: int = chunking.SIZE,
         chunk_overlap: int = chunking.OVERLAP,
         max_bytes: int = state.MAX_BYTES,
+        root: str | None = None,
     ) -> dict[str, int]:
-        """The same for files(project, file_path, content, size) from anywhere.
+        """The same for files(project, file_path, content, size) from anywhere; root is where keys of services are looked for.
 
-        Vectors are made before anything is changed, and all tables change at once: a
-        failure leaves the index as it was.
+        Contents are read to be hashed, and those of changed files once more to be split; what is
+        joined in between are paths and hashes.  Vectors are made before anything is changed, and all tables
+        change at once: a failure leaves the index as it was.
         """
         config = self._for_index(project, embedding_spec)
-        chunks, hashes = self.store.read("chunks"), self.store.read("hashes")
-        statuses = state.classified(table, hashes.where(F.col("project") == project), force or single, max_bytes)
-        work = statuses.where("status = 'changed'").select("project", "file_path", "content_hash", "content")
-        rows = chunking.chunked(work, chunk_size, chunk_overlap)
-        staged = self._staged(embedding.embedded(rows, self._providers(config)))
-        swept = state.deleted(table, hashes.where(F.col("project") == project)) if force and not single else None
-        own = chunks.where(F.col("project") == project)
-        counted = state.counters(statuses, staged, own, None if staged.isEmpty() else swept).first()
-        result = {k: int(counted[k] or 0) if counted else 0 for k in ("added", "skipped", "updated", "deleted")}
-        if staged.isEmpty():
-            return result
-        done = staged.select("project", "file_path", "content_hash").distinct()
-        gone = done.select("project", "file_path")
-        new = staged.select(
-            F.concat("project", F.lit("/"), "file_path", F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 9, "0")).alias("id"),
-            F.col("chunk").alias("content"), "project", F.col("file_path").alias("source"), paths.language(F.col("file_path")).alias("language"),
-            F.lit(config.provider).alias("provider"), F.lit(config.model).alias("model"), F.lit(config.dimensions).alias("dimensions"), "chunk_no", "embedding",
-        )
-        kept = state.without_files(chunks, gone.unionByName(swept) if swept is not None else gone)
-        self.store.write(
-            chunks=kept.unionByName(new),
-            hashes=state.upserted(hashes, done.withColumn("indexed_at", F.current_timestamp()), state.KEY),
-            projects=self._with_project(project, config),
-        )
-        return result
-
-    def _staged(self, df: DataFrame) -> DataFrame:
-        path = f"{self.store.place}/staged/{uuid.uuid4().hex}"
+        before = self.store.pointers().get(project)
+        provider, staged = self._provider(config, root), [self.store.stage_path() for _ in range(2)]
+        hashes = self.store.read("hashes", project)
+        try:
+            statuses = self._staged(state.classified(table, hashes, force or single, max_bytes).drop("content"), staged[0])
+            work = statuses.where("status = 'changed'").select(*state.KEY, "content_hash")
+            rows = chunking.chunked(table.select(*state.KEY, "content").join(work, state.KEY), chunk_size, chunk_overlap)
+            try:
+                rows = self._staged(embedding.embedded(rows, provider), staged[1])
+            except Exception as e:
+                if embedding.KeyRejected.__name__ in str(e):
+                    provider.refused()
+                raise
+            size = rows.agg(F.sum(F.octet_length("chunk") + 4 * F.lit(config.dimensions)).alias("n")).first()["n"]
+            if size is None:
+                counted = state.counters(statuses, rows, self.store.read("chunks", project)).first()
+                return self._counts(counted)
+            done = rows.select(*state.KEY, "content_hash").distinct()
+            swept = state.deleted(table, hashes) if force and not single else None
+            counted = state.counters(statuses, rows, self.store.read("chunks", project), swept).first()
+            new = rows.select(
+                F.concat("project", F.lit("/"), "file_path", F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 9, "0")).alias("id"),
+                F.col("chunk").alias("content"), "project", F.col("file_path").alias("source"), paths.language(F.col("file_path")).alias("language"),
+                F.lit(config.provider).alias("provider"), F.lit(config.model).alias("model"), F.lit(config.dimensions).alias("dimensions"), "chunk_no", "embedding",
+            )
+            gone = done.select("file_path", F.lit(True).alias("hash_too"))
+            if swept is not None:  # their hashes stay
+                gone = gone.unionByName(swept.select("file_path", F.lit(False).alias("hash_too")))
+            self.store.put(project, new, done.withColumn("indexed_at", F.current_timestamp()), gone, size, self._with_project(project, config), before)
+            return self._counts(counted)
+        finally:
+            for path in staged:
+                self.store.discard(path)
+
+    @staticmethod
+    def _counts(row: Row | None) -> dict[str, int]:
+        return {k: int(row[k] or 0) if row else 0 for k in ("added", "skipped", "updated", "deleted")}
+
+    def _staged(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -159,9 +171,8 @@ class Engine:
     def clear(self, root: str = ".") -> int:
         """Takes a project out of all tables; the number of its chunks."""
         project = sources.project_id(str(Path(root).resolve(strict=True)))
-        chunks = self.store.read("chunks")
-        n = chunks.where(F.col("project") == project).count()
-        self.store.write(**{name: state.cleared(self.store.read(name), project) for name in ("chunks", "hashes", "projects")})
+        n = self.store.read("chunks", project).count()
+        self.store.clear(project)
         return n
 
     # questions
@@ -170,8 +181,13 @@ class Engine:
         """The nearest chunks; operators.search renders them as JSON, files or snippets."""
         text = search.query_text([words] if isinstance(words, str) else words)
         project = sources.project_id(str(Path(root).resolve(strict=True)))
-        vector = self._providers(self._resolved(project))()([text])[0]
-        return search.similar(self.store.read("chunks"), vector, limit, threshold, language, project)
+        provider = self._provider(self._resolved(project), root)
+        try:
+            vector = provider()([text])[0]
+        except embedding.KeyRejected:
+            provider.refused()
+            raise
+        return search.similar(self.store.read("chunks", project), vector, limit, threshold, language, project)
 
     def _now(self, root: str) -> tuple[str, DataFrame]:
         top = str(Path(root).resolve(strict=True))
@@ -182,7 +198,7 @@ class Engine:
         """How many files a search warns of; 0 if it can't be told."""
         try:
             project, now = self._now(root)
-            rows = state.stale_count(now, self.store.read("hashes").where(F.col("project") == project)).collect()
+            rows = state.stale_count(now, self.store.read("hashes", project)).collect()
         except (OSError, ValueError):
             return 0
         return int(rows[0]["n_stale"]) if rows else 0
@@ -190,9 +206,8 @@ class Engine:
     def status(self, root: str = ".") -> str:
         project, now = self._now(root)
         c = self._resolved(project)
-        own = F.col("project") == project
         config = self._named(project).select("project", F.lit(c.provider).alias("provider"), F.lit(c.model).alias("model"), F.lit(c.dimensions).alias("dimensions"))
-        r = state.status_lines(now, self.store.read("hashes").where(own), self.store.read("chunks").where(own), config).first()
+        r = state.status_lines(now, self.store.read("hashes", project), self.store.read("chunks", project), config).first()
         warn = " ⚠ run `index` to update" if r["n_stale"] else ""
         lines = [f"Project : {project}", f"Files   : {r['files']}", f"Chunks  : {r['chunks']}", f"Embed   : {r['embedding']}", f"Stale   : {r['n_stale']}{warn}"]
         lines += [f"  • {p}" for p in r["paths"]] + ([f"  ... and {r['more']} more"] if r["more"] else [])
@@ -217,8 +232,3 @@ class Engine:
         table = sources.contents(self.spark, top, names, top).select(F.col("file_path").alias("path"), "content", "size")
         return scans.scanned(table, kinds)
 
-
-def _offline(config: Config) -> Callable[[], Provider]:
-    """Word-count vectors of the configuration's width: no service is reached from here."""
-    dimensions = config.dimensions
-    return lambda: Hashed(dimensions)

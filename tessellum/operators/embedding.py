@@ -149,7 +149,39 @@ def embedded(rows: DataFrame, provider: Callable[[], Callable[[Sequence[str]], l
     return rows.withColumn(name, run.asNondeterministic()(F.col(text)))
 
 
-# keys of services, looked for on the driver
+# services and their keys, looked for on the driver
+
+KEY, URL = "OPENAI_API_KEY", "https://api.openai.com/v1/embeddings"
+
+
+@dataclass
+class Service:
+    """Makes a provider wherever it is called; refused() remembers its key as one that the service turned down."""
+
+    config: Config
+    key: str
+    rejected: RejectedKeys
+    url: str = URL
+    post: Callable[[str, str, dict], tuple[int, str]] = _post
+
+    def __call__(self) -> Http:
+        return Http(self.config, self.key, self.url, self.post)
+
+    def refused(self) -> None:
+        self.rejected.add(self.key)
+
+
+def provider(config: Config, root: str | None = None, cache: Path | None = None, url: str = URL, post: Callable = _post, **where: object) -> Callable[[], Callable[[Sequence[str]], list[list[float]]]]:
+    """What makes the vectors of a configuration: word counts, or a service with the first key that it has not turned down.
+
+    Vectors of one configuration always come from one provider; without a key there are none.
+    """
+    if config.provider == "hashed":
+        dimensions = config.dimensions
+        return lambda: Hashed(dimensions)
+    rejected = RejectedKeys(cache or Path.home() / ".cache" / "tessellum" / "rejected-keys")
+    return Service(config, rejected.choose(keys(KEY, root, **where)), rejected, url, post)
+
 
 
 def _unquoted(value: str) -> str:

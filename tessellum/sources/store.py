@@ -1,7 +1,14 @@
-"""The index's tables on shared storage: every change writes a new version, then points to it.
+"""The index's tables on shared storage: a change writes the touched buckets anew, then points to them.
 
-Readers keep the version that they opened; a job that dies leaves the old version in place.
-Tables are Parquet, partitioned by project where they are large.
+A table is Parquet below v=VERSION/project=PROJECT/bucket=BUCKET, where a bucket is a hash of
+the file's path; versions.json names, for each project, the version of each of its buckets.
+A run over a project writes the buckets of the files that it changes and nothing else, and
+clearing a project writes no table at all.  A project gets a bucket for about BUCKET_BYTES
+when it is first written.
+
+Readers keep the buckets that they opened; a job that dies leaves the old ones in place.  Two
+writers of different projects don't disturb each other; of two writers of one project the
+later one fails.
 """
 
 from __future__ import annotations
@@ -10,9 +17,11 @@ import atexit
 import json
 import shutil
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -20,7 +29,12 @@ SCHEMAS = {
     "chunks": "id string, content string, project string, source string, language string, provider string, model string, dimensions int, chunk_no int, embedding array<float>",
     "hashes": "project string, file_path string, content_hash string, indexed_at timestamp",
 }
-PARTITIONED = {"chunks", "hashes"}
+PATHS = {"chunks": "source", "hashes": "file_path"}
+BUCKET_BYTES, LOCK_SECONDS = 256 << 20, 60.0
+
+
+class Changed(RuntimeError):
+    """Another writer was faster."""
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,13 +52,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 class Store:
     """projects, chunks and hashes below one folder of any file system that Spark can reach."""
 
-    def __init__(self, spark: SparkSession, place: str) -> None:
-        self.spark, self.place = spark, place.rstrip("/")
+    def __init__(self, spark: SparkSession, place: str, bucket_bytes: int = BUCKET_BYTES) -> None:
+        self.spark, self.place, self.bucket_bytes = spark, place.rstrip("/"), bucket_bytes
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> dict[str, str]:
+    # what there is
+
+    def pointers(self) -> dict[str, dict]:
+        """For each project: buckets, and for each table the version of each bucket."""
         at = self._path(f"{self.place}/versions.json")
         if not self._fs.exists(at):
             return {}
@@ -54,30 +71,101 @@ class Store:
         finally:
             stream.close()
 
-    def read(self, name: str) -> DataFrame:
-        """The table as it is now; empty before the first write."""
-        version = self._versions().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        columns = self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(columns.schema).parquet(f"{self.place}/{name}/{version}").select(columns.columns)
-
-    def write(self, **tables: DataFrame) -> None:
-        """New versions of all these tables; they count together, from the moment that all are written."""
-        new = {}
-        for name, df in tables.items():
-            version = uuid.uuid4().hex
-            want = [F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], SCHEMAS[name]).schema]
-            out = df.select(*want)
-            if name in PARTITIONED:
-                # files of one project lie together; a large project still has many writers
-                out.repartition("project", F.pmod(F.xxhash64(*[c for c in ("source", "file_path") if c in df.columns]), F.lit(64))).write.partitionBy("project").parquet(f"{self.place}/{name}/{version}")
-            else:
-                out.write.parquet(f"{self.place}/{name}/{version}")
-            new[name] = version
-        self._point(self._versions() | new)
-
-    def _point(self, versions: dict[str, str]) -> None:
+    def _at(self, name: str, project: str, bucket: str, version: str) -> str:
+        quoted = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)
+        return f"{self.place}/{name}/v={version}/project={quoted}/bucket={bucket}"
+
+    def read(self, name: str, project: str | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The table as it is now, of one project or some of its buckets if so asked; empty before the first write."""
+        empty = self.spark.createDataFrame([], SCHEMAS[name])
+        own = self.pointers()
+        wanted = own if project is None else {project: own[project]} if project in own else {}
+        places = [
+            self._at(name, p, b, version) for p, x in wanted.items() for b, version in x.get(name, {}).items() if buckets is None or int(b) in buckets
+        ]
+        if not places:
+            return empty
+        schema = SCHEMAS[name] + ", v string, bucket int"
+        return self.spark.read.schema(schema).option("basePath", f"{self.place}/{name}").parquet(*[_unglobbed(x) for x in places]).select(empty.columns)
+
+    # changes
+
+    def bucket(self, path: Column, n: int) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(n)).cast("int")
+
+    def setup(self) -> None:
+        if not self._fs.exists(self._path(f"{self.place}/versions.json")):
+            self._point(lambda now: now)
+
+    def put_config(self, project: str, config: DataFrame) -> None:
+        """One row, in place of the project's."""
+        before = self.pointers().get(project)
+        self._replace(project, before, {"projects": self._written("projects", config.withColumn("bucket", F.lit(0)), project, [0])}, (before or {}).get("n", 1))
+
+    def put(self, project: str, chunks: DataFrame, hashes: DataFrame, gone: DataFrame, n_bytes: int, config: DataFrame, before: dict | None) -> list[int]:
+        """Adds rows of chunks and hashes, takes out those of files in gone(file_path, hash_too); the buckets that were written.
+
+        Where hash_too is false the file's hash stays.  before is what pointers() had of the
+        project when the run began to look at it.
+        """
+        n = before["n"] if before and before.get("chunks") else max(1, -(-n_bytes // self.bucket_bytes))
+        touched = sorted(r[0] for r in gone.select(self.bucket(F.col("file_path"), n)).distinct().collect())
+        out = {}
+        for name, new in (("chunks", chunks), ("hashes", hashes)):
+            path = PATHS[name]
+            out_of = gone.where("hash_too") if name == "hashes" else gone
+            old = self.read(name, project, touched)
+            kept = old.join(out_of.select(F.col("file_path").alias(path)).distinct(), path, "left_anti").select(old.columns)
+            rows = kept.unionByName(new.select(old.columns)).withColumn("bucket", self.bucket(F.col(path), n))
+            out[name] = self._written(name, rows, project, touched)
+        out["projects"] = self._written("projects", config.withColumn("bucket", F.lit(0)), project, [0])
+        self._replace(project, before, out, n)
+        return touched
+
+    def clear(self, project: str) -> None:
+        """No table is written: nothing points to the project any longer."""
+
+        def without(now: dict) -> dict:
+            return {p: x for p, x in now.items() if p != project}
+
+        self._point(without)
+
+    def _written(self, name: str, rows: DataFrame, project: str, buckets: list[int]) -> dict[str, str | None]:
+        """The version of each of the buckets; None for one that has no rows left."""
+        version = uuid.uuid4().hex
+        columns = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        out = rows.select(*[F.col(f.name).cast(f.dataType) for f in columns], "bucket")
+        out.repartition(max(1, len(buckets)), "bucket").write.partitionBy("project", "bucket").parquet(f"{self.place}/{name}/v={version}")
+        return {str(b): version if self._fs.exists(self._path(self._at(name, project, str(b), version))) else None for b in buckets}
+
+    def _replace(self, project: str, before: dict | None, tables: dict[str, dict[str, str | None]], n: int) -> None:
+        def merged(now: dict) -> dict:
+            if now.get(project) != before:
+                raise Changed(f"the index of {project} was changed while this run worked on it")
+            own = dict(before or {})
+            for name, buckets in tables.items():
+                own[name] = {b: v for b, v in {**own.get(name, {}), **buckets}.items() if v is not None}
+            return {**now, project: {**own, "n": n}}
+
+        self._point(merged)
+
+    def _point(self, change) -> None:  # noqa: ANN001
+        """Replaces the pointers by change(pointers); one writer at a time, by a file that only one can create."""
+        lock, until = self._path(f"{self.place}/versions.lock"), time.monotonic() + LOCK_SECONDS
+        while True:
+            try:
+                self._fs.create(lock, False).close()
+                break
+            except Py4JJavaError as e:
+                if time.monotonic() > until:
+                    raise RuntimeError(f"{self.place}/versions.lock is held by another writer; delete it if that one is dead") from e
+                time.sleep(0.1)
+        try:
+            self._save(change(self.pointers()))
+        finally:
+            self._fs.delete(lock, False)
+
+    def _save(self, versions: dict) -> None:
         part, at = self._path(f"{self.place}/versions-{uuid.uuid4().hex}.json"), self._path(f"{self.place}/versions.json")
         out = self._fs.create(part, True)
         try:
@@ -90,15 +178,32 @@ class Store:
         kinds[0] = rename.OVERWRITE
         context.rename(self._fs.makeQualified(part), self._fs.makeQualified(at), kinds)
 
+    def stage_path(self) -> str:
+        return f"{self.place}/staged/{uuid.uuid4().hex}"
+
+    def discard(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
     def vacuum(self) -> int:
-        """Deletes versions that nothing points to; no reader of an old one may be left."""
-        now, gone = self._versions(), 0
+        """Deletes buckets that nothing points to, and what runs that died have staged; no reader of old buckets and no writer may be at work."""
+        now, gone = self.pointers(), 0
+        self.discard(f"{self.place}/staged")
         for name in SCHEMAS:
-            at = self._path(f"{self.place}/{name}")
-            if not self._fs.exists(at):
+            top = self._path(f"{self.place}/{name}")
+            used = {self._path(self._at(name, p, b, v)).toUri().getPath() for p, x in now.items() for b, v in x.get(name, {}).items()}
+            if not self._fs.exists(top):
                 continue
-            for status in self._fs.listStatus(at):
-                if status.getPath().getName() != now.get(name):
-                    self._fs.delete(status.getPath(), True)
-                    gone += 1
+            for version in self._fs.listStatus(top):
+                buckets = [b.getPath() for p in self._fs.listStatus(version.getPath()) if p.isDirectory() for b in self._fs.listStatus(p.getPath())]
+                old = [b for b in buckets if b.toUri().getPath() not in used]
+                for b in old:
+                    self._fs.delete(b, True)
+                gone += len(old)
+                if len(old) == len(buckets):
+                    self._fs.delete(version.getPath(), True)
         return gone
+
+
+def _unglobbed(place: str) -> str:
+    """A path in which no sign means many."""
+    return "".join("\\" + c if c in "[]{}*?\\" else c for c in place)

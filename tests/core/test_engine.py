@@ -1,5 +1,6 @@
 """Projects on disk, end to end: index, search, status, tree, scan, stream."""
 
+import json
 import os
 import subprocess
 
@@ -10,6 +11,7 @@ from tessellum.engine import Engine
 from tessellum.operators import embedding
 from tessellum.operators.embedding import Config, Hashed, Http, KeyRejected, RejectedKeys
 from tessellum.sources import files as sources
+from tessellum.sources.store import Changed
 from tessellum.streaming import incremental
 
 
@@ -170,6 +172,70 @@ def test_service_retries_and_keys(tmp_path):
     assert again.choose([("k1", "env"), ("k2", ".env")]) == "k1" and not RejectedKeys(tmp_path / "cache" / "keys").known
 
 
+def test_the_engine_takes_the_service_that_a_configuration_names(spark, project, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/store")
+    for name in ("HOME", "OPENAI_API_KEY"):
+        monkeypatch.setenv(name, str(tmp_path / "home")) if name == "HOME" else monkeypatch.delenv(name, raising=False)
+    monkeypatch.chdir(tmp_path)
+    with pytest.raises(ValueError, match="no key"):  # no vectors under a service's name that it did not make
+        e.index(str(project), embedding_spec="openai:text-embedding-3-small")
+    assert e.store.read("chunks").count() == 0
+    put(project, ".env", "OPENAI_API_KEY=bad\n")
+    put(tmp_path, "home/.zshrc", "export OPENAI_API_KEY=good\n")
+
+    def post(url, key, body):
+        assert url == embedding.URL and body["model"] == "text-embedding-3-small"
+        if key == "bad":
+            return 401, "who are you"
+        return 200, json.dumps({"data": [{"embedding": [float(len(t))] * body["dimensions"]} for t in body["input"]]})
+
+    def found(config):
+        return embedding.provider(config, str(project), tmp_path / "cache", post=post, environ={}, home=str(tmp_path / "home"), cwd=str(tmp_path))
+
+    e = Engine(spark, f"file://{tmp_path}/store", found)
+    with pytest.raises(Exception, match="who are you"):
+        e.index(str(project), embedding_spec="openai:text-embedding-3-small")
+    assert e.index(str(project), embedding_spec="openai:text-embedding-3-small")["added"] == 3  # with the next key
+    rows = e.store.read("chunks").collect()
+    assert {(r.provider, r.dimensions, len(r.embedding)) for r in rows} == {("openai", 1536, 1536)}
+    assert e.search("alpha", str(project)).count() == 3
+    assert embedding.provider(Config("hashed", "words-256", 256))()(["a"]) == Hashed(256)(["a"])
+
+
+def test_one_changed_file_rewrites_one_bucket(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store")
+    e.store.bucket_bytes = 4096
+    schema = "project string, file_path string, content string, size long"
+
+    def files(project, edited=()):
+        return spark.createDataFrame([(project, f"f{i}.md", f"# {i}\n" + "text " * 50 + ("!" if i in edited else ""), 260) for i in range(40)], schema)
+
+    assert e.index_table(files("p"), "p")["added"] == 40 and e.index_table(files("q/x [1]"), "q/x [1]")["added"] == 40
+    before = e.store.pointers()
+    assert before["p"]["n"] > 5 and len(before["p"]["chunks"]) > 5
+    assert e.index_table(files("p", {7}), "p") == {"added": 0, "skipped": 39, "updated": 1, "deleted": 1}
+    after = e.store.pointers()
+    moved = [b for b, v in after["p"]["chunks"].items() if before["p"]["chunks"].get(b) != v]
+    assert len(moved) == 1 and after["q/x [1]"] == before["q/x [1]"]
+    assert {r.content[-1] for r in e.store.read("chunks", "p").where("source = 'f7.md'").collect()} == {"!"}
+    assert e.store.read("chunks").count() == 80 and e.store.read("hashes", "p").count() == 40
+    assert e.store.vacuum() > 0 and e.store.read("chunks").count() == 80
+
+
+def test_of_two_writers_of_one_project_the_later_fails(spark, tmp_path):
+    schema = "project string, file_path string, content string, size long"
+    rows, other = spark.createDataFrame([("p", "a.md", "# a", 3)], schema), Engine(spark, f"file://{tmp_path}/store")
+
+    def slow(_):
+        other.index_table(rows, "p")
+        other.index_table(spark.createDataFrame([("q", "a.md", "# a", 3)], schema), "q")
+        return lambda: Hashed(256)
+
+    with pytest.raises(Changed):
+        Engine(spark, f"file://{tmp_path}/store", slow).index_table(rows, "p", force=True)
+    assert other.store.read("chunks").count() == 2
+
+
 def test_where_keys_are_found(tmp_path):
     put(tmp_path, ".env", "# X=no\n\nX = 'one'\n")
     put(tmp_path, "a/b/.env", 'OTHER=1\nX="two"\n')
