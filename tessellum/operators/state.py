@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessellum.functions import text as tx
 
 KEY = ["project", "file_path"]
-MAX_BYTES, SHOWN = 524_288, 20
+MAX_BYTES, SHOWN, SALTS = 524_288, 20, 64
 
 
 def hashed(files: DataFrame) -> DataFrame:
@@ -68,13 +68,13 @@ def stale_count(files: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def stale_report(files: DataFrame, hashes: DataFrame, shown: int = SHOWN) -> DataFrame:
     """(project, n_stale, paths, more): the first paths of each project, and how many others there are."""
-    rows = stale(files, hashes)
-    # a rank that is filtered right away keeps no more than `shown` rows of a project in a task
-    rank = F.row_number().over(Window.partitionBy("project").orderBy("file_path"))
-    first = rows.withColumn("rank", rank).where(F.col("rank") <= shown)
-    first = first.groupBy("project").agg(F.sort_array(F.collect_list("file_path")).alias("paths"))
-    counts = rows.groupBy("project").agg(F.count("*").alias("n_stale"))
-    return counts.join(first, "project").select("project", "n_stale", "paths", F.greatest(F.col("n_stale") - shown, F.lit(0)).alias("more"))
+    # one pass, salted: a project may have most of the files, and a task keeps no more than `shown` paths of a salt
+    salted = stale(files, hashes).withColumn("salt", F.pmod(F.xxhash64("file_path"), F.lit(SALTS)))
+    rank = F.row_number().over(Window.partitionBy("project", "salt").orderBy("file_path"))
+    first = F.collect_list(F.when(F.col("rank") <= shown, F.col("file_path"))).alias("paths")
+    parts = salted.withColumn("rank", rank).groupBy("project", "salt").agg(F.max("rank").cast("long").alias("n"), first)
+    whole = parts.groupBy("project").agg(F.sum("n").alias("n_stale"), F.slice(F.sort_array(F.flatten(F.collect_list("paths"))), 1, shown).alias("paths"))
+    return whole.select("project", "n_stale", "paths", F.greatest(F.col("n_stale") - shown, F.lit(0)).alias("more"))
 
 
 def deleted(files: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -122,11 +122,13 @@ def counters(statuses: DataFrame, chunked: DataFrame, chunks: DataFrame, swept:
     deleted counts the removed chunks, those of swept files among them.
     """
     old = chunks.groupBy("project", F.col("source").alias("file_path")).agg(F.count("*").alias("n_old"))
-    wrote = chunked.select(*KEY).distinct().join(old, KEY, "left").select("project", F.coalesce("n_old", F.lit(0)).alias("n"), F.lit("w").alias("what"))
-    skipped = statuses.where(F.col("status").isin("oversized", "unchanged")).select("project", F.lit(0).cast("long").alias("n"), F.lit("s").alias("what"))
-    rows = wrote.unionByName(skipped)
+    files = chunked.select(*KEY).distinct().withColumn("what", F.lit("w"))
     if swept is not None:
-        rows = rows.unionByName(swept.select(*KEY).join(old, KEY).select("project", F.col("n_old").alias("n"), F.lit("d").alias("what")))
+        files = files.unionByName(swept.select(*KEY, F.lit("d").alias("what")))
+    # the old chunks are counted and joined once, whatever becomes of them
+    rows = files.join(old, KEY, "left").where("what = 'w' or n_old > 0").select("project", F.coalesce("n_old", F.lit(0)).alias("n"), "what")
+    skipped = statuses.where(F.col("status").isin("oversized", "unchanged")).select("project", F.lit(0).cast("long").alias("n"), F.lit("s").alias("what"))
+    rows = rows.unionByName(skipped)
     return rows.groupBy("project").agg(
         F.count_if((F.col("what") == "w") & (F.col("n") == 0)).alias("added"),
         F.count_if(F.col("what") == "s").alias("skipped"),
