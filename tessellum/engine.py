@@ -102,6 +102,10 @@ class Engine:
         table = sources.contents(self.spark, top, names, project, max_bytes)
         return self.index_table(table, project, embedding_spec, force, file is not None, chunk_size, chunk_overlap, max_bytes, top)
 
+    def index_folder(self, place: str, project: str, **how: object) -> dict[str, int]:
+        """The same for a folder of any file system, which tasks list and read; nothing of it passes through the driver."""
+        return self.index_table(sources.folder(self.spark, place, project, how.get("max_bytes", state.MAX_BYTES)), project, **how)
+
     def index_table(
         self,
         table: DataFrame,

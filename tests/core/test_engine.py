@@ -202,6 +202,14 @@ def test_the_engine_takes_the_service_that_a_configuration_names(spark, project,
     assert embedding.provider(Config("hashed", "words-256", 256))()(["a"]) == Hashed(256)(["a"])
 
 
+def test_a_folder_that_tasks_list(spark, tmp_path):
+    for name, data in (("in/a/x.md", "# one\n"), ("in/b.py", "y = 1\n"), ("in/c.bin", "no"), ("in/d.md", b"\xff"), ("in/large.md", "z" * 900)):
+        put(tmp_path, name, data)
+    e = Engine(spark, f"file://{tmp_path}/store")
+    assert e.index_folder(f"file://{tmp_path}/in", "p", max_bytes=500) == {"added": 2, "skipped": 1, "updated": 0, "deleted": 0}
+    assert {r.source for r in e.store.read("chunks", "p").collect()} == {"a/x.md", "b.py"}
+
+
 def test_one_changed_file_rewrites_one_bucket(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/store")
     e.store.bucket_bytes = 4096
