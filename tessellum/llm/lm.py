@@ -41,9 +41,10 @@ from tessellum.llm import text as tx
 from tessellum.llm.store import bounded, written
 
 WORDS, SHARED, CLASSES, HIDDEN = 991, 32, 24, 16  # with the end mark 1024 ids
+COMMON = 65_536  # words whose counts go along with the model; those of others are looked up by a join
 LANES, WINDOW, RATE, ROUNDS, SEED = 512, 32, 0.08, (0.15, 0.85), 29
 FILL_BYTES = 24 << 20  # of text that lanes are filled with at a time
-SHARD_TOKENS = 200_000  # of the only shard of a small corpus; others have (tokens / SHARD_TOKENS) ** (2 / 3) shards
+SHARD_TOKENS = 500_000  # of the only shard of a small corpus; others have (tokens / SHARD_TOKENS) ** (2 / 3) shards
 
 
 @dataclass
@@ -57,6 +58,8 @@ class Vocabulary:
     counts: np.ndarray
     classes: np.ndarray  # first id of each class, and the number of ids
     tokens: float = 0.0
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes in order, and the logarithms of their counts
+    log_counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
     known: DataFrame | None = None  # (h, n) of every word; stays with the driver
 
     def __getstate__(self) -> dict:
@@ -106,7 +109,7 @@ class Vocabulary:
 
 
     def rare(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """(text, hash, times, bytes) of each text's words under shared ids, in order of text, and the log-share of one unit in the ids."""
+        """(text, hash, times, bytes) of each text's words under shared ids, in order of text, but the common ones; and the log-share in the ids of these, and of one unit for the others."""
         out = []
         for i, _, buf, offs in tx.chunks(texts):
             starts, ends, first = tx.spans(buf, offs)
@@ -119,7 +122,14 @@ class Vocabulary:
             out.append((text[head], h[head], np.diff(np.append(head, h.size)), size[head]))
         text, h, times, size = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         share = -np.log(self.counts[self.shared] + 1)[(h % np.uint64(self.shared.size)).astype(np.int64)]
-        return text, h, times, size, np.bincount(text, times * share, len(texts))
+        if self.common.size:
+            at = np.minimum(np.searchsorted(self.common, h), self.common.size - 1)
+            own = self.common[at] == h
+            share[own] += self.log_counts[at[own]]
+        else:
+            own = np.zeros(h.size, dtype=bool)
+        total = np.bincount(text, times * share, len(texts))
+        return text[~own], h[~own], times[~own], size[~own], total
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +167,9 @@ def vocabulary(docs: DataFrame, words: int = WORDS, shared: int = SHARED, classe
     """Counted over every document; the driver gets one row for each id."""
     counted = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "h long, n long, docs long")
     counts = written(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "words")
-    top = counts.where("n > 0").orderBy(F.desc("n"), "h").limit(words)
-    frequent = [(r["h"] & ((1 << 64) - 1), r["n"]) for r in top.collect()]
+    top = counts.where("n > 0").select("h", "n").orderBy(F.desc("n"), "h").limit(max(words, COMMON)).toArrow()
+    common = list(zip(top.column("h").to_numpy().view(np.uint64).tolist(), top.column("n").to_pylist(), strict=True))
+    frequent = common[:words]
     bucket = F.expr(f"cast(pmod(cast(h as decimal(20, 0)) + if(h < 0, 18446744073709551616, 0), {shared}) as int)")
     got = counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect()
     rest = [0] * shared
@@ -167,6 +178,8 @@ def vocabulary(docs: DataFrame, words: int = WORDS, shared: int = SHARED, classe
     for h, n in frequent:
         rest[h % shared] -= n
     v = Vocabulary.of(frequent, rest, sum(r["docs"] for r in got), classes)
+    common.sort()
+    v.common, v.log_counts = np.array([h for h, _ in common], dtype=np.uint64), np.log(np.array([n for _, n in common], dtype=np.float64))
     v.known, v.tokens = counts.where("n > 0").select("h", "n"), float(v.counts.sum())
     return v
 

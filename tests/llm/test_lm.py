@@ -167,6 +167,18 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert max(abs(one[i] - four[i]) for i in one) < 1e-4
 
 
+def test_counts_of_words_come_with_the_model_or_by_the_join(spark, monkeypatch):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, sentence(r, 30), "en", "s", 1) for i in range(60)], DOCS)
+    scores = []
+    for common in (lm.COMMON, 12):
+        monkeypatch.setattr(lm, "COMMON", common)
+        v = lm.vocabulary(docs, words=10, shared=4)
+        assert v.common.size == min(common, v.known.count())
+        scores.append({x.doc_id: x.log_likelihood for x in lm.scored(docs, lm.trained(docs, v), v).collect()})
+    assert all(abs(scores[0][i] - scores[1][i]) < 1e-6 * abs(scores[0][i]) for i in scores[0])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     v = lm.vocabulary(docs)
