@@ -9,8 +9,10 @@ for that a bucket of n nodes seldom needs n * n comparisons:
   nodes share costs a row for each batch, and its members meet the lead of their batch.
 * rest(): buckets whose nodes are not in one group after that are looked at again.  The
   nodes outside of the bucket's largest group are cut into blocks, and meet all nodes of
-  the bucket but those of their own group, which are cut into spans: a task holds a block and a span, whatever the
-  bucket's size.  A link is given only where it joins two groups, so links are fewer than nodes.
+  the bucket but those of their own group, which are cut into spans: a task holds a block
+  and a span, whatever the bucket's size.  Where few pairs are candidates, FEW for each
+  node at most, they are listed, so that one of several buckets is compared but once; where there are more,
+  they are compared on the spot, and a link is given only where it joins two groups.
 
 Between them every pair of candidates was either compared or is in one group already:
 groups are just those of all similar candidates.
@@ -28,25 +30,27 @@ from pyspark.sql import functions as F
 from tessellum.llm.components import connected
 from tessellum.llm.store import written
 
-BLOCK, SPAN, STEP = 2048, 16_384, 1 << 12
+BLOCK, SPAN, STEP, FEW = 2048, 16_384, 1 << 12, 8
+HELD_BYTES = 16 << 20  # of pairs that are compared at a time
 SMALL = 100_000  # keys that are broadcast, at 8 bytes each
-POST = "key long, node long, mark long, lead long, near boolean"
-Compare = Callable[[list[pa.Array]], Callable[[np.ndarray, np.ndarray], np.ndarray]]
+POST = "key long, node long, mark long, n long, home long, lead long, near boolean"
+STAR = "key long, a long, b long, near boolean, alone boolean"
+SIDES = "key long, block int, span int, node long, mark long, grp long, side int, other long"
+MAJOR, OTHER, BLOCK_SIDE = 0, 1, 2  # sides: of the largest group, of another one, and of the latter as a member of a block
+Compare = Callable[[pa.Array], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= distance
 
 
-def _rows(key: np.ndarray, node: np.ndarray, mark: np.ndarray, lead: np.ndarray | None = None, near: np.ndarray | None = None) -> pa.RecordBatch:
-    none = [pa.nulls(key.size, pa.int64()), pa.nulls(key.size, pa.bool_())]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key), pa.array(node), pa.array(mark), *(none if lead is None else [pa.array(lead), pa.array(near)])], names=["key", "node", "mark", "lead", "near"]
-    )
+def _rows(key: np.ndarray, node: np.ndarray, mark: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, ...] = ()) -> pa.RecordBatch:
+    none = [pa.nulls(key.size, pa.int64()), pa.nulls(key.size, pa.int64()), pa.nulls(key.size, pa.bool_())]
+    return pa.RecordBatch.from_arrays([*map(pa.array, (key, node, mark, n)), *(map(pa.array, pairs) if pairs else none)], names=["key", "node", "mark", "n", "home", "lead", "near"])
 
 
 def _posts(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """For each key of a batch its lead, and the pairs of the other nodes with it."""
+    """For each key of a batch its lead and the number of its nodes, and the pairs of the others with the lead."""
     for batch in batches:
         keys = batch.column(2)
         size = np.array(keys.value_lengths().fill_null(0), dtype=np.int64)
@@ -57,77 +61,86 @@ def _posts(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         order = np.lexsort((node, key))
         key, node, mark = key[order], node[order], mark[order]
         head = np.concatenate([[True], key[1:] != key[:-1]])
-        yield _rows(key[head], node[head], mark[head])
         at = np.flatnonzero(head)[np.cumsum(head) - 1]
         own = ~head & (node != node[at])
-        if own.any():
-            yield _rows(node[own], node[own], mark[own], node[at][own], _near(mark[own], mark[at][own], distance))
+        n = np.add.reduceat((head | own).astype(np.int64), np.flatnonzero(head))
+        yield _rows(key[head], node[head], mark[head], n)
+        if own.any():  # they go anywhere but to the key's place
+            yield _rows(node[own], node[own], mark[own], np.ones(int(own.sum()), np.int64), (key[own], node[at][own], _near(mark[own], mark[at][own], distance)))
 
 
 def _leads(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Pairs of nodes with the lead of their run; runs are sorted by key and node and may span batches."""
-    last: tuple[int, int, int] | None = None
+
+    def stars(key: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, (key, a, b, near, alone))], names=["key", "a", "b", "near", "alone"])
+
+    last: tuple[int, ...] | None = None
     for batch in batches:
-        key, node, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        done = np.array(batch.column(3).is_valid())
+        done = np.array(batch.column(5).is_valid())
         if done.any():
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(done)) for i in (1, 3, 4)], names=["a", "b", "near"])
-            key, node, mark = key[~done], node[~done], mark[~done]
+            some = batch.filter(pa.array(done))
+            yield pa.RecordBatch.from_arrays([some.column(4), some.column(1), some.column(5), some.column(6), pa.array(np.zeros(len(some), bool))], names=["key", "a", "b", "near", "alone"])
+            batch = batch.filter(pa.array(~done))
+        key, node, mark, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if not key.size:
             continue
         if last is not None:
-            key, node, mark = (np.append(x, y) for x, y in zip(last, (key, node, mark), strict=True))
+            key, node, mark, n = (np.append(x, y) for x, y in zip(last, (key, node, mark, n), strict=True))
         head = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.flatnonzero(head)[np.cumsum(head) - 1]
+        first = np.flatnonzero(head)
+        at = first[np.cumsum(head) - 1]
+        two = np.add.reduceat(n, first) == 2
+        two[[0, -1]] = False  # these runs may go on in other batches
         own = node != node[at]
         if own.any():
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[at][own]), pa.array(_near(mark[own], mark[at][own], distance))], names=["a", "b", "near"])
-        last = key[at[-1]], node[at[-1]], mark[at[-1]]
+            lead = at[own]
+            yield stars(key[own], node[own], node[lead], _near(mark[own], mark[lead], distance), np.repeat(two, np.diff(np.append(first, key.size)))[own])
+        last = key[at[-1]], node[at[-1]], mark[at[-1]], 2
 
 
 def stars(nodes: DataFrame, distance: int) -> DataFrame:
-    """(a, b, near): each node of nodes(node, mark, keys) with leads of its buckets; near: whether marks differ in `distance` bits at most."""
+    """(key, a, b, near, alone): each node of nodes(node, mark, keys) with leads of its buckets.
+
+    near: whether marks differ in `distance` bits at most; alone: the bucket has no third node (never said of some that have none).
+    """
     return (
         nodes.select("node", "mark", "keys")
         .mapInArrow(lambda it: _posts(it, distance), POST)
         .repartition("key")
         .sortWithinPartitions("key", "node")
-        .mapInArrow(lambda it: _leads(it, distance), "a long, b long, near boolean")
-        .distinct()
+        .mapInArrow(lambda it: _leads(it, distance), STAR)
     )
 
 
-def split_buckets(nodes: DataFrame, failed: DataFrame, groups: DataFrame, block: int = BLOCK, span: int = SPAN) -> DataFrame | None:
-    """(key, block, span, node, mark, grp, left) of the buckets that hold several groups; None if there are none.
+def split_buckets(found: DataFrame, marks: DataFrame, groups: DataFrame, block: int = BLOCK, span: int = SPAN) -> DataFrame | None:
+    """(key, block, span, node, mark, grp, side, other) of the buckets that hold several groups; None if there are none.
 
-    failed: pairs of stars() that are not similar; groups: (node, root).
+    found: what stars() gives; marks: (node, mark); groups: (node, root).
     """
-    ends = failed.select("a", "b")
+    rows = found.where("not alone").select("key", "a", "b")
     for side in ("a", "b"):
-        ends = ends.join(groups.select(F.col("node").alias(side), F.col("root").alias("root_" + side)), side, "left")
-    apart = ends.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    for side in ("a", "b"):
-        apart = apart.join(nodes.select(F.col("node").alias(side), F.col("keys").alias("keys_" + side)), side)
-    keys = written(apart.select(F.explode(F.array_intersect("keys_a", "keys_b")).alias("key")).distinct(), "keys")
+        rows = rows.join(groups.select(F.col("node").alias(side), F.col("root").alias("root_" + side)), side, "left")
+    rows = written(rows.select("key", "a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")), "rows")
+    keys = written(rows.where("x <> y").select("key").distinct(), "keys")
     n_keys = keys.count()
     if not n_keys:
         return None
-    posts = nodes.select("node", "mark", F.explode("keys").alias("key"))
-    posts = posts.join(F.broadcast(keys) if n_keys <= SMALL else keys, "key").distinct()
-    posts = posts.join(groups, "node", "left").select("key", "node", "mark", F.coalesce("root", "node").alias("grp"))
-    posts = written(posts, "posts")
+    rows = rows.join(F.broadcast(keys) if n_keys <= SMALL else keys, "key")
+    posts = rows.select("key", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("grp")), F.struct(F.col("b").alias("node"), F.col("y").alias("grp")))).alias("p"))
+    posts = written(posts.select("key", "p.*").join(marks, "node").select("key", "node", "mark", "grp").distinct(), "posts")
     sizes = posts.groupBy("key", "grp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("grp", F.struct("n", "grp")).alias("most"), F.max("n").alias("top"), F.sum("n").alias("n"))
     # a bucket of two was compared by its star
     sizes = sizes.where("n > 2 and top < n").select("key", "most", F.ceil((F.col("n") - F.col("top")) / block).cast("int").alias("blocks"), F.ceil(F.col("n") / span).cast("int").alias("spans"))
     rows = posts.join(sizes, "key")
     own = F.xxhash64("node")
     parts = F.array(
-        F.struct(F.lit(False).alias("left"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("block"), F.array(F.pmod(own, F.col("spans")).cast("int")).alias("span")),
-        F.when(F.col("grp") != F.col("most"), F.struct(F.lit(True).alias("left"), F.array(F.pmod(own, F.col("blocks")).cast("int")).alias("block"), F.sequence(F.lit(0), F.col("spans") - 1).alias("span"))),
+        F.struct(F.when(F.col("grp") != F.col("most"), OTHER).otherwise(MAJOR).alias("side"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("block"), F.array(F.pmod(own, F.col("spans")).cast("int")).alias("span")),
+        F.when(F.col("grp") != F.col("most"), F.struct(F.lit(BLOCK_SIDE).alias("side"), F.array(F.pmod(own, F.col("blocks")).cast("int")).alias("block"), F.sequence(F.lit(0), F.col("spans") - 1).alias("span"))),
     )
     rows = rows.select("key", "node", "mark", "grp", F.explode(parts).alias("p")).where("p is not null")
-    return rows.select("key", F.explode("p.block").alias("block"), "p.span", "node", "mark", "grp", "p.left").select(
-        "key", "block", F.explode("span").alias("span"), "node", "mark", "grp", "left"
+    return rows.select("key", F.explode("p.block").alias("block"), "p.span", "node", "mark", "grp", "p.side").select(
+        "key", "block", F.explode("span").alias("span"), "node", "mark", "grp", "side", F.lit(None).cast("long").alias("other")
     )
 
 
@@ -149,19 +162,41 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int = 3) -> Iterator[tuple[
         yield held[0], np.array([0, len(held[0])])
 
 
-def _within(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """The rows that have a partner of another group whose mark is near."""
+def _candidates(a: int, b: int, node: np.ndarray, mark: np.ndarray, grp: np.ndarray, side: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a run, a block's row first, of different groups and with near marks; two rows of blocks meet but once."""
+    x, y = a + np.flatnonzero(side[a:b] == BLOCK_SIDE), a + np.flatnonzero(side[a:b] != BLOCK_SIDE)
+    size = max(1, (1 << 20) // max(1, y.size))
+    for at in range(0, x.size, size):
+        part = x[at : at + size]
+        ok = _near(mark[part, None], mark[None, y], distance) & (grp[part, None] != grp[None, y])
+        ok &= (side[None, y] == MAJOR) | (node[part, None] > node[None, y])
+        u, w = np.nonzero(ok)
+        yield part[u], y[w]
+
+
+def _within(batches: Iterator[pa.RecordBatch], distance: int, few: int = FEW) -> Iterator[pa.RecordBatch]:
+    """Pairs, in the columns node and other, of runs with few candidates; of other runs the rows that have one."""
     for rows, cut in _runs(batches):
-        mark, grp, left = (rows.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6))
-        keep = np.zeros(len(rows), dtype=bool)
+        node, mark, grp, side = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
+        keep, pairs = np.zeros(len(rows), dtype=bool), []
         for a, b in zip(cut, cut[1:], strict=False):
-            x, y = a + np.flatnonzero(left[a:b]), a + np.flatnonzero(~left[a:b])
-            for i in range(0, x.size, max(1, (1 << 20) // max(1, y.size))):
-                part = x[i : i + max(1, (1 << 20) // max(1, y.size))]
-                ok = _near(mark[part, None], mark[None, y], distance) & (grp[part, None] != grp[None, y])
-                keep[part] |= ok.any(axis=1)
-                keep[y] |= ok.any(axis=0)
-        yield rows.filter(pa.array(keep))
+            own, n = [], 0
+            for i, j in _candidates(a, b, node, mark, grp, side, distance):
+                n += i.size
+                if n <= few * (b - a):
+                    own.append((i, j))
+                keep[i] = keep[j] = True
+            if n <= few * (b - a):
+                keep[a:b] = False
+                pairs += own
+        if keep.any():
+            yield rows.filter(pa.array(keep))
+        if pairs:
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            u, w = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+            none = [pa.nulls(u.size, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+            blank = [pa.array(np.zeros(u.size, np.int64)), *(pa.array(np.zeros(u.size, np.int32)) for _ in range(2))]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(u), *none, pa.array(w)], names=["key", "block", "span", "node", "mark", "grp", "side", "other"])
 
 
 class _Groups:
@@ -184,7 +219,7 @@ class _Groups:
 
 
 def _links(batches: Iterator[pa.RecordBatch], distance: int, compare: Compare, step: int = STEP) -> Iterator[pa.RecordBatch]:
-    """Links that join groups of a run; runs that are small are compared together."""
+    """Links that join groups of a run."""
 
     def work(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
         while i.size:
@@ -201,52 +236,71 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, compare: Compare, s
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     for rows, cut in _runs(batches):
-        node, mark, grp, left = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        groups, test = _Groups(), compare([rows.column(k) for k in range(7, rows.num_columns)])
+        node, mark, grp, side = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
+        groups, test = _Groups(), compare(rows.column(7))
         for a, b in zip(cut, cut[1:], strict=False):
-            x, y = a + np.flatnonzero(left[a:b]), a + np.flatnonzero(~left[a:b])
-            size = max(1, (1 << 20) // max(1, y.size))
-            for at in range(0, x.size, size):
-                part = x[at : at + size]
-                ok = _near(mark[part, None], mark[None, y], distance) & (grp[part, None] != grp[None, y])
-                u, w = np.nonzero(ok)
-                held.append((part[u], y[w]))
-                if sum(h[0].size for h in held) >= step:
-                    yield from work(*(np.concatenate(z) for z in zip(*held, strict=True)))
-                    held = []
-        if held:
-            yield from work(*(np.concatenate(z) for z in zip(*held, strict=True)))
+            for i, j in _candidates(a, b, node, mark, grp, side, distance):
+                yield from work(i, j)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches: pairs of like size are compared side by side."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= HELD_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _tested(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
+    for batch in _joined(batches):
+        if n := len(batch):
+            ok = compare(pa.concat_arrays([batch.column(2), batch.column(3)]))(np.arange(n), np.arange(n, 2 * n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
 
 def grouped(
     nodes: DataFrame,
     distance: int,
-    check: Callable[[DataFrame], DataFrame],
-    payload: Callable[[DataFrame], DataFrame],
+    values: Callable[[DataFrame], DataFrame],
     compare: Compare,
     block: int = BLOCK,
     span: int = SPAN,
+    few: int = FEW,
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between similar nodes, and (node, root) of all nodes that have one.
 
-    nodes(node, mark, keys) has to be a written table with a row for each node.  check
-    adds ok to pairs (a, b) whose marks are near; payload adds columns to rows that have
-    a node, of which compare makes the test whether rows i and j are similar.
+    nodes(node, mark, keys) has to be a written table with a row for each node.  values
+    gives (node, value) for a table of nodes; compare makes of an array of values the
+    test whether rows i and j are similar.
     """
-    pairs = written(stars(nodes, distance), "stars")
-    checked = written(check(pairs.where("near").select("a", "b")).select("a", "b", "ok"), "checked")
-    links = checked.where("ok").select("a", "b")
+    found = written(stars(nodes, distance), "stars")
+    wanted = found.where("near or not alone").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    value = values(wanted)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(value.select(F.col("node").alias(side), F.col("value").alias("value_" + side)), side)
+        pairs = pairs.select("a", "b", "value_a", "value_b").mapInArrow(lambda it: _tested(it, compare), "a long, b long, ok boolean")
+        return written(pairs, "checked")
+
+    first = checked(found.where("near").select("a", "b").distinct())
+    links = first.where("ok").select("a", "b")
     groups = written(connected(links), "groups")
-    failed = checked.where("not ok").select("a", "b").unionByName(pairs.where("not near").select("a", "b"))
-    rows = split_buckets(nodes, failed, groups, block, span)
-    if rows is not None:
+    sides = split_buckets(found, nodes.select("node", "mark"), groups, block, span)
+    if sides is not None:
         key = ["key", "block", "span"]
-        schema = "key long, block int, span int, node long, mark long, grp long, left boolean"
         sort = lambda df: df.repartition(*key).sortWithinPartitions(*key, "node")
-        rows = written(sort(rows).mapInArrow(lambda it: _within(it, distance), schema), "rows")
-        more = sort(payload(rows)).mapInArrow(lambda it: _links(it, distance, compare), "a long, b long")
-        more = written(more.distinct(), "links")
+        sides = written(sort(sides).mapInArrow(lambda it: _within(it, distance, few), SIDES), "sides")
+        pairs = sides.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+        more = checked(pairs.join(first.where("not ok"), ["a", "b"], "left_anti")).where("ok").select("a", "b")
+        many = sides.where("other is null").drop("other")
+        if many.limit(1).count():
+            many = sort(many.join(value, "node").select(*key, "node", "mark", "grp", "side", "value"))
+            more = more.unionByName(written(many.mapInArrow(lambda it: _links(it, distance, compare), "a long, b long").distinct(), "links"))
         links = links.unionByName(more)
         groups = written(connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "groups")
     return links, groups

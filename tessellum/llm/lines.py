@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessellum.llm import buckets
 from tessellum.llm import text as tx
-from tessellum.llm.store import bounded, unused, written
+from tessellum.llm.store import bounded, passing, unused, written
 
 GRAM, ROWS, BANDS, SIMILARITY = 5, 5, 12, 0.85
 BITS, DISTANCE = ROWS * BANDS, 17
@@ -46,11 +46,11 @@ def _within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1], dtype=np.int8).view(bool)
 
 
-def _sketches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of the minima, and (lines, BANDS) of band keys of 64 bits; at: each line's first word, none without words."""
+def _sketches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The bits of the minima, (lines, BANDS) of band keys of 64 bits, and the normalised lines; at: each line's first word, none without words."""
     size = ends - starts
     if not size.size:
-        return np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
+        return np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64), pa.array([], pa.string())
     # words with a blank behind each, and GRAM - 1 behind each line
     gap = np.ones(size.size, dtype=np.int64)
     gap[at[1:] - 1] = GRAM - 1
@@ -67,8 +67,10 @@ def _sketches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndar
     gram *= np.uint64(0xBF58476D1CE4E5B9)
     gram = (gram >> np.uint64(32)).astype(np.uint32)
     first, last = begin[at[:-1]], begin[at[1:] - 1] + size[at[1:] - 1]
-    gram = gram[_within(first, last, n)]  # the blanks between lines begin no pieces
+    inside = _within(first, last, n)
+    gram = gram[inside]  # the blanks between lines begin no pieces
     cut = np.concatenate([[0], np.cumsum(last - first)])
+    values = pa.LargeStringArray.from_buffers(first.size, pa.py_buffer(cut), pa.py_buffer(plain[:n][inside].tobytes())).cast(pa.string())
     least = np.empty((BITS, first.size), dtype=np.uint32)
     i = 0
     while i < first.size:  # so many at a time as the cache holds
@@ -83,47 +85,74 @@ def _sketches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndar
         h = tx.mix(least[k] + (np.uint64(k) << np.uint64(32)))
         bits |= (h >> np.uint64(63)) << np.uint64(k)
         bands[:, k // ROWS] += h  # k is in h: no other band has the same key but by chance
-    return bits, bands
+    return bits, bands, values
 
 
-def line_table(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, line number, hash, sketch) of each line that has a word."""
-    return line_sketches(buf, offs)[:4]
-
-
-def line_sketches(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, line number, hash, sketch, band keys, second hash) of each line that has a word."""
+def _split(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document and number of each line, the words (starts, ends), and each line's first word (n + 1 values)."""
     breaks = np.flatnonzero(buf == 10) + 1
     first = np.concatenate([offs[:-1], breaks])
     doc = np.concatenate([np.arange(offs.size - 1), np.searchsorted(offs, breaks - 1, side="right") - 1])
     order = np.lexsort((first, doc))  # an empty document's line starts where the next one's does
     first, doc = first[order], doc[order]
     number = np.arange(doc.size) - np.searchsorted(doc, doc)
-    starts, ends, at = tx.spans(buf, np.append(first, buf.size))
+    return doc, number, *tx.spans(buf, np.append(first, buf.size))
+
+
+def line_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, line number, hash, second hash) of each line that has a word."""
+    doc, number, starts, ends, at = _split(buf, offs)
     h = tx.span_hashes(buf, starts, ends)
     place = np.arange(h.size) - np.repeat(at[:-1], np.diff(at))
     h += place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     whole, other = tx.segment_sums(tx.mix(h), at), tx.segment_sums(tx.mix(h ^ np.uint64(0xA0761D6478BD642F)), at)
     some = np.diff(at) > 0
-    sim, bands = _sketches(buf, starts, ends, np.append(at[:-1][some], at[-1]))
-    return doc[some], number[some], tx.mix(whole)[some].view(np.int64), sim.view(np.int64), bands.view(np.int64), other[some].view(np.int64)
+    return doc[some], number[some], tx.mix(whole)[some].view(np.int64), other[some].view(np.int64)
+
+
+def line_sketches(buf: np.ndarray, offs: np.ndarray, doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Sketch, band keys and normalised text of some lines, in order of document and number, all of which have words."""
+    of, _, starts, ends, at = _split(buf, offs)
+    line = np.searchsorted(of, doc) + number
+    size = at[line + 1] - at[line]
+    head = np.concatenate([[0], np.cumsum(size)])
+    word = np.repeat(at[line] - head[:-1], size) + np.arange(head[-1])
+    bits, bands, values = _sketches(buf, starts[word], ends[word], head)
+    return bits.view(np.int64), bands.view(np.int64), values
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, hashes = batch.column(0), batch.column(1)
         for i, j, buf, offs in tx.chunks(batch.column(2)):
-            doc, number, whole, sim, bands, other = line_sketches(buf, offs)
-            keys = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
+            doc, number, whole, other = line_hashes(buf, offs)
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).take(take), hashes.slice(i, j - i).take(take), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(other), pa.array(sim), keys],
-                names=["doc", "th", "line", "h1", "h2", "mark", "keys"],
+                [ids.slice(i, j - i).take(take), hashes.slice(i, j - i).take(take), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(other)], names=["doc", "th", "line", "h1", "h2"]
             )
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, mark, keys, value) of the lines that are wanted of each text; every text has some."""
+    last = -1
+    for batch in batches:
+        want = batch.column(1)
+        first = np.concatenate([[0], np.cumsum(np.array(want.value_lengths(), dtype=np.int64))])
+        flat = want.flatten()
+        node, line, row = (np.array(x) for x in (flat.field("node"), flat.field("line"), np.repeat(np.arange(len(batch)), np.diff(first))))
+        order = np.lexsort((line, row))
+        node, line, row = node[order], line[order], row[order]
+        if node.size:  # each node is in one row, but for rows that are repeated
+            head = np.minimum.reduceat(node, first[:-1])
+            again = np.append(last, head[:-1]) == head
+            keep, last = ~again[row], int(head[-1])
+            node, line, row = node[keep], line[keep], row[keep]
+            first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))])
+        for i, j, buf, offs in tx.chunks(batch.column(0)):
+            a, b = first[i], first[j]
+            mark, bands, values = line_sketches(buf, offs, row[a:b] - i, line[a:b])
+            keys = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.array(mark), keys, values], names=["node", "mark", "keys", "value"])
 
 
 def _trimmed(a: str, b: str) -> tuple[str, str]:
@@ -146,25 +175,31 @@ def _trimmed(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - low], b[: len(b) - low]
 
 
-def edits(pairs: list[tuple[str, str]]) -> np.ndarray:
+def edits(pairs: list[tuple[str, str]], most: np.ndarray | None = None) -> np.ndarray:
     """Edit distances in characters, by bit vectors (Myers 1999, in blocks after Hyyroe 2003).
 
-    Pairs of like length go through the blocks side by side in numpy; where there are too
-    few of them, or they are long, each pair is one integer of as many bits as characters.
+    Those beyond most, where it is given, are just some number beyond it: then only a
+    band around the diagonal is looked at (Ukkonen 1985).  Pairs of like length go through the blocks side by
+    side in numpy; where there are too few of them, or they are long, each pair is one
+    integer of as many bits as characters.
     """
     pairs = [_trimmed(*x) for x in pairs]
-    order = sorted(range(len(pairs)), key=lambda i: -max(map(len, pairs[i])))
+    size = np.array([max(map(len, x)) for x in pairs], dtype=np.int64)
+    bound = size if most is None else np.minimum(most, size)
+    order = np.lexsort((-bound, -size)).tolist()
     out, at = np.zeros(len(pairs), dtype=np.int64), 0
     while at < len(order):
-        longest = max(map(len, pairs[order[at]]))
+        longest = int(size[order[at]])
         end = at + 1
-        while end < len(order) and end - at < 2048 and 8 * max(map(len, pairs[order[end]])) >= 7 * longest:
+        while end < len(order) and end - at < 4096 and 4 * size[order[end]] >= 3 * longest:
             end += 1
         n, words = end - at, -(-longest // 64)
-        if words * (1e-6 + n * 0.5e-9) < n * (80e-9 + words * 1.5e-9):
-            out[order[at:end]] = _edits_by_blocks([pairs[i] for i in order[at:end]])
+        own = order[at:end]
+        band = min(words, int(bound[own].max()) // 32 + 2)
+        if band * (1e-6 + n * 0.5e-9) < n * (80e-9 + words * 1.5e-9):
+            out[own] = _edits_by_blocks([pairs[i] for i in own], bound[own])
         else:
-            for i in order[at:end]:
+            for i in own:
                 out[i] = _edits_by_integers(*pairs[i])
         at = end
     return out
@@ -191,11 +226,12 @@ def _edits_by_integers(a: str, b: str) -> int:
     return len(b) + up.bit_count() - down.bit_count()
 
 
-def _edits_by_blocks(pairs: list[tuple[str, str]]) -> np.ndarray:
+def _edits_by_blocks(pairs: list[tuple[str, str]], bound: np.ndarray | None = None) -> np.ndarray:
     short, long = zip(*((a, b) if len(a) <= len(b) else (b, a) for a, b in pairs), strict=True)
     order = np.argsort([-len(x) for x in long], kind="stable")
     m, n = np.array([len(short[i]) for i in order]), np.array([len(long[i]) for i in order])
     count, words = len(order), max(1, -(-int(m.max()) // 64))
+    far = int(n.max()) if bound is None else int(bound.max())
 
     def codes(texts: list[str]) -> np.ndarray:
         return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -212,28 +248,37 @@ def _edits_by_blocks(pairs: list[tuple[str, str]]) -> np.ndarray:
     text[place, np.repeat(np.arange(count), n)] = t
     up, down = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), dtype=np.uint64)
     one, top, pair = np.uint64(1), np.uint64(63), np.arange(count)
+    # the value at the last row of each word; words enter the band from below with the greatest value that they can have
+    score, high = np.zeros((words, count), dtype=np.int64), min(words - 1, far // 64)
+    score[: high + 1] = 64 * np.arange(1, high + 2)[:, None]
     for step in range(len(text)):
         live = int(np.searchsorted(-n, -step))  # texts longer than that; they come first
-        eqs = equal[text[step, :live], pair[:live]]
+        while high < words - 1 and 64 * (high + 1) <= step + far:
+            high += 1
+            score[high] = score[high - 1] + 64
+        low = max(0, min((step - far) // 64, high))
+        eqs = equal[text[step, :live], pair[:live], low : high + 1]
         plus, minus = np.ones(live, dtype=np.uint64), np.zeros(live, dtype=np.uint64)
-        for w in range(words):
-            pv, mv, eq = up[w, :live], down[w, :live], eqs[:, w]
+        for w in range(low, high + 1):
+            pv, mv, eq = up[w, :live], down[w, :live], eqs[:, w - low]
             xv = eq | mv
             eq = eq | minus
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph = mv | ~(xh | pv)
             mh = pv & xh
             next_plus, next_minus = ph >> top, mh >> top
+            score[w, :live] += next_plus.astype(np.int64) - next_minus.astype(np.int64)
             ph = ph << one | plus
             mh = mh << one | minus
             up[w, :live] = mh | ~(xv | ph)
             down[w, :live] = ph & xv
             plus, minus = next_plus, next_minus
-    # the last column is its top, n, and the steps down to row m
-    bits = np.clip(m[None] - 64 * np.arange(words)[:, None], 0, 64)
-    inside = np.where(bits >= 64, ~np.uint64(0), (one << np.minimum(bits, 63).astype(np.uint64)) - one)
+    # from the last row of the word that row m is in back to row m
+    last = np.maximum(m - 1, 0) // 64
+    rest = np.where(m - 64 * last >= 64, np.uint64(0), ~((one << np.minimum(m - 64 * last, 63).astype(np.uint64)) - one))
     found = np.empty(count, dtype=np.int64)
-    found[order] = n + np.bitwise_count(up & inside).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & inside).sum(axis=0, dtype=np.int64)
+    value = score[last, pair] - np.bitwise_count(up[last, pair] & rest).astype(np.int64) + np.bitwise_count(down[last, pair] & rest).astype(np.int64)
+    found[order] = np.where(m == 0, n, value)
     return found
 
 
@@ -265,60 +310,52 @@ def similar(pairs: list[tuple[str, str]], similarity: float) -> np.ndarray:
     longer = np.array([max(map(len, x)) for x in pairs], dtype=np.int64)
     most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
     out = np.array([abs(len(a) - len(b)) for a, b in pairs], dtype=np.int64) <= most
-    some = np.array([i for i in np.flatnonzero(out) if _at_most(*pairs[i]) > most[i]], dtype=np.int64)
-    out[some] = edits([pairs[i] for i in some]) <= most[some]
+    some = []
+    for i in np.flatnonzero(out).tolist():
+        a, b = _trimmed(*pairs[i])
+        if max(len(a), len(b)) > most[i] and _at_most(*pairs[i]) > most[i]:
+            some.append(i)
+    some = np.array(some, dtype=np.int64)
+    out[some] = edits([pairs[i] for i in some], most[some]) <= most[some]
     return out
 
 
-def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            ok = pa.array(similar(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], names=["a", "b", "ok"])
-
-
 def _test(similarity: float) -> buckets.Compare:
-    def of(columns: list[pa.Array]):  # noqa: ANN202
-        lines = columns[0].to_pylist()
+    def of(texts: pa.Array):  # noqa: ANN202
+        lines = texts.to_pylist()
         return lambda i, j: similar([(lines[a], lines[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], similarity)
 
     return of
 
 
+def _doc(doc_id: Column) -> Column:
+    """doc_id as a key: a null one is the least."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
 def surplus(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, th, lines): numbers of the lines that go from each row; th is xxhash64(text)."""
-    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    lines = written(narrow.mapInArrow(_lines, "doc long, th long, line int, h1 long, h2 long, mark long, keys array<long>"), "lines")
-    first = F.min(F.struct("doc", "th", "line")).alias("first")
-    distinct = lines.groupBy("h1", "h2").agg(F.first("mark").alias("mark"), F.first("keys").alias("keys"), first, F.count("*").alias("n"))
-    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-
-    def texts(nodes: DataFrame) -> DataFrame:
-        """The normalised lines, from the documents where they occur first."""
-        where = distinct.select("node", "first").join(nodes, "node", "left_semi").groupBy("first.doc", "first.th").agg(F.collect_list(F.struct("first.line", "node")).alias("want"))
-        found = (
-            narrow.join(where.withColumnsRenamed({"doc": "own", "th": "own_th"}), F.col("doc").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")))
-            .select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
-            .select(F.col("w.node").alias("node"), normalised(F.element_at("lines", F.col("w.line") + 1)).alias("text"))
-        )
-        return written(found.dropDuplicates(["node"]), "texts")  # rows that are repeated would have it twice
-
-    def check(pairs: DataFrame) -> DataFrame:
-        t = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        a, b = t.select(F.col("node").alias("a"), F.col("text").alias("x")), t.select(F.col("node").alias("b"), F.col("text").alias("y"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long, ok boolean")
-
-    def payload(rows: DataFrame) -> DataFrame:
-        return rows.join(texts(rows.select("node").distinct()), "node").select("key", "block", "span", "node", "mark", "grp", "left", "text")
-
-    _, groups = buckets.grouped(distinct.select("node", "mark", "keys"), distance, check, payload, _test(similarity))
-    of_node = distinct.select("h1", "h2", "node", "first", "n").join(groups, "node", "left").where("n > 1 or root is not null")
-    of_node = of_node.select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))
-    stays = of_node.join(of_node.groupBy("root").agg(F.min("first").alias("stay")), "root").select("h1", "h2", "stay")
+    """(doc, th, lines): numbers of the lines that go from each row; th is xxhash64(text), doc what _doc() makes of doc_id."""
+    narrow = bounded(docs).select(_doc(F.col("doc_id")).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    lines = written(narrow.mapInArrow(_lines, "doc long, th long, line int, h1 long, h2 long"), "lines")
+    with passing() as keep:
+        distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "line")).alias("first"), F.count("*").alias("n"))
+        distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+        # distinct lines are taken from the documents where they occur first; of rows that are repeated, which lie together, one will do
+        where = distinct.groupBy(F.col("first.doc").alias("doc"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("first.line", "node")).alias("want"))
+        texts = narrow.join(where, ["doc", "th"]).sortWithinPartitions("doc", "th").select("text", "want")
+        nodes = written(texts.mapInArrow(_nodes, "node long, mark long, keys array<long>, value string"), "nodes")
+
+        def values(wanted: DataFrame) -> DataFrame:
+            return written(nodes.select("node", "value").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+
+        _, groups = buckets.grouped(nodes.select("node", "mark", "keys"), distance, values, _test(similarity))
+        of_node = distinct.join(groups, "node", "left").where("n > 1 or root is not null")
+        of_node = of_node.select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))
+        stays = of_node.join(of_node.groupBy("root").agg(F.min("first").alias("stay")), "root").select("h1", "h2", "stay")
+        stays = keep(stays, "stays")
     return (
-        lines.select("doc", "th", "line", "h1", "h2")
-        .join(stays, ["h1", "h2"])
-        .where("not (doc <=> stay.doc and th = stay.th and line = stay.line)")
+        lines.join(stays, ["h1", "h2"])
+        .where("not (doc = stay.doc and th = stay.th and line = stay.line)")
         .groupBy("doc", "th")
         .agg(F.collect_set("line").alias("lines"))
     )
@@ -332,7 +369,7 @@ def deduplicated(docs: DataFrame, counts: bool = False, **params: float) -> Data
     doc, th, gone, parts = unused(docs, "own", "own_th", "gone", "all_lines")
     away = surplus(docs, **params).select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("lines").alias(gone))
     text = docs["text"]
-    joined = docs.join(away, docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text.cast("string")) == F.col(th)), "left")
+    joined = docs.join(away, (_doc(docs["doc_id"]) == F.col(doc)) & (F.xxhash64(text.cast("string")) == F.col(th)), "left")
     cols = [docs[f"`{c}`"] for c in docs.columns]
     split = joined.select(*cols, F.col(gone), F.split(text, "\n").alias(parts))  # once for each text, not for each line
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))

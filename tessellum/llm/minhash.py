@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessellum.llm import buckets
 from tessellum.llm import text as tx
-from tessellum.llm.store import bounded, unused, written
+from tessellum.llm.store import bounded, passing, unused, written
 
 SAMPLES, BANDS, SKETCH_BITS, THRESHOLD = 256, 32, 1024, 0.55
 ROWS = 4  # samples to a band: a pair at 0.6 shares a band in 99 of 100 cases
@@ -129,16 +129,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float, samples: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            ok = estimate(_matrix(batch.column(2)), _matrix(batch.column(3)), samples) >= threshold
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
-
-
 def _test(threshold: float, samples: int) -> buckets.Compare:
-    def of(columns: list[pa.Array]):  # noqa: ANN202
-        odd = _matrix(columns[0])
+    def of(sketches: pa.Array):  # noqa: ANN202
+        odd = _matrix(sketches)
         return lambda i, j: estimate(odd[i], odd[j], samples) >= threshold
 
     return of
@@ -152,6 +145,7 @@ def grouped(
     threshold: float = THRESHOLD,
     block: int = buckets.BLOCK,
     span: int = buckets.SPAN,
+    few: int = buckets.FEW,
 ) -> DataFrame:
     """(doc_id, text_hash, node, first, n_links) of every row that is in a group of two documents or more.
 
@@ -161,25 +155,21 @@ def grouped(
     narrow = narrow.where("id is not null").withColumn("text_hash", F.xxhash64("text"))
     sketched = narrow.mapInArrow(lambda it: _sketch(it, samples, bands, bits), "id long, text_hash long, h1 long, h2 long, keys array<long>, odd binary")
     sketched = written(sketched, "sketches")
-    # documents with one signature collapse before the bands: thousands of copies cost one row each
-    classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    odd = classes.select("node", "odd")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(odd.select(F.col("node").alias("a"), F.col("odd").alias("x")), "a").join(odd.select(F.col("node").alias("b"), F.col("odd").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, threshold, samples), "a long, b long, ok boolean")
-
-    nodes = classes.select("node", F.lit(0).cast("long").alias("mark"), "keys")
-    links, groups = buckets.grouped(nodes, 0, check, lambda rows: rows.join(odd, "node").select("key", "block", "span", "node", "mark", "grp", "left", "odd"), _test(threshold, samples), block, span)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_class = classes.select("h1", "h2", "node", "rep", "last", "n").join(groups, "node", "left").join(degree, "node", "left")
-    # classes without a link and of one document are no groups
-    of_class = of_class.where("rep < last or n_links is not null").select(
-        "h1", "h2", "node", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links")
-    )
-    first = of_class.groupBy("root").agg(F.min(F.struct(F.col("rep").alias("doc_id"), "node")).alias("first"))
-    of_class = of_class.join(first, "root").select("h1", "h2", "node", "first", "n_links")
+    with passing() as keep:
+        # documents with one signature collapse before the bands: thousands of copies cost one row each
+        classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"))
+        classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        nodes = classes.select("node", F.lit(0).cast("long").alias("mark"), "keys")
+        sketches = classes.select("node", F.col("odd").alias("value"))
+        links, groups = buckets.grouped(nodes, 0, lambda wanted: written(sketches.join(wanted, "node", "left_semi"), "odd"), _test(threshold, samples), block, span, few)
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        of_class = classes.select("h1", "h2", "node", "rep", "last", "n").join(groups, "node", "left").join(degree, "node", "left")
+        # classes without a link and of one document are no groups
+        of_class = of_class.where("rep < last or n_links is not null").select(
+            "h1", "h2", "node", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links")
+        )
+        first = of_class.groupBy("root").agg(F.min(F.struct(F.col("rep").alias("doc_id"), "node")).alias("first"))
+        of_class = keep(of_class.join(first, "root").select("h1", "h2", "node", "first", "n_links"), "members")
     return sketched.select("h1", "h2", F.col("id").alias("doc_id"), "text_hash").join(of_class, ["h1", "h2"]).drop("h1", "h2")
 
 

@@ -6,11 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_BYTES = 4 << 20
+_open: list[list[tuple[SparkSession, str]]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -55,10 +59,41 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As written(), with the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # nothing reads the write's shuffle files once the table is there; Spark itself waits for the garbage collector
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    if _open:
+        _open[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are written inside are deleted at its end, but those written by the function that it gives."""
+    mine: list[tuple[SparkSession, str]] = []
+    kept: list[tuple[SparkSession, str]] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        kept.append((df.sparkSession, path))
+        return out
+
+    _open.append(mine)
+    try:
+        yield keep
+    finally:
+        _open.remove(mine)
+        for spark, path in mine:
+            if (spark, path) not in kept:
+                removed(spark, path)
+        if _open:
+            _open[-1].extend(kept)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table of stored() that nothing will read again."""
     jvm = spark.sparkContext._jvm

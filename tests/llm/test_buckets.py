@@ -15,8 +15,8 @@ def close(x, y):
     return abs(x - y) <= 3
 
 
-def by_value(columns):
-    value = np.array(columns[0])
+def by_value(values):
+    value = np.array(values)
     return lambda i, j: np.abs(value[i] - value[j]) <= 3
 
 
@@ -39,18 +39,13 @@ def want(nodes, distance):
     return sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
-@pytest.mark.parametrize("block,span,seed", [(2048, 16384, 1), (3, 5, 2), (1, 2, 3), (7, 1000, 4)])
-def test_groups_are_those_of_all_pairs(spark, block, span, seed):
+@pytest.mark.parametrize("block,span,few,seed", [(2048, 16384, 8, 1), (3, 5, 0, 2), (1, 2, 8, 3), (7, 1000, 1, 4)])
+def test_groups_are_those_of_all_pairs(spark, block, span, few, seed):
     r = random.Random(seed)
     nodes = [(i, r.choice([0, 1, 3, 255]), sorted({r.choice([7, 7, r.randint(0, 30)]) for _ in range(r.randint(0, 3))}), r.randint(0, 250)) for i in range(160)]
     df = written(spark.createDataFrame(nodes, "node long, mark long, keys array<long>, value long").repartition(3), "nodes")
     values = df.select("node", "value")
-
-    def check(pairs):
-        x = pairs.join(values.select(F.col("node").alias("a"), F.col("value").alias("x")), "a").join(values.select(F.col("node").alias("b"), F.col("value").alias("y")), "b")
-        return x.withColumn("ok", F.abs(F.col("x") - F.col("y")) <= 3)
-
-    links, groups = b.grouped(df.drop("value"), 2, check, lambda rows: rows.join(values, "node").select("key", "block", "span", "node", "mark", "grp", "left", "value"), by_value, block, span)
+    links, groups = b.grouped(df.drop("value"), 2, lambda wanted: values.join(wanted, "node", "left_semi"), by_value, block, span, few)
     found = {}
     for g in groups.collect():
         found.setdefault(g.root, set()).add(g.node)
@@ -61,7 +56,7 @@ def test_groups_are_those_of_all_pairs(spark, block, span, seed):
 
 
 def test_a_bucket_costs_a_row_for_each_node(spark):
-    """20,000 nodes under one key, alike in pairs at most by their lead: no list of pairs."""
+    """20,000 nodes under one key: no list of pairs."""
     n = 20_000
     df = written(spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("mark"), F.array(F.lit(5).cast("long"), F.col("id") + 100).alias("keys")), "nodes")
     assert b.stars(df, 0).count() == n - 1
@@ -70,9 +65,28 @@ def test_a_bucket_costs_a_row_for_each_node(spark):
 def test_leads_of_runs_that_span_batches():
     key, node = np.array([1, 2, 2, 2, 3, 3]), np.arange(6)
     for cuts in ([], [2], [3], [2, 3], [1, 2, 3, 4, 5]):
-        parts = [b._rows(key[x:y], node[x:y], node[x:y] * 0) for x, y in zip([0, *cuts], [*cuts, 6], strict=True)]
-        got = [x for p in b._leads(iter(parts), 0) for x in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)]
-        assert sorted(got) == [(2, 1), (3, 1), (5, 4)]
+        parts = [b._rows(key[x:y], node[x:y], node[x:y] * 0, node[x:y] * 0 + 1) for x, y in zip([0, *cuts], [*cuts, 6], strict=True)]
+        got = [x for p in b._leads(iter(parts), 0) for x in zip(p.column(1).to_pylist(), p.column(2).to_pylist(), p.column(4).to_pylist(), strict=True)]
+        assert sorted(x[:2] for x in got) == [(2, 1), (3, 1), (5, 4)]
+        assert not any(alone for *_, alone in got[:2])
         runs = [rows.column(1).to_pylist()[x:y] for rows, cut in b._runs(iter(parts), 1) for x, y in zip(cut, cut[1:], strict=False)]
         assert runs == [[0], [1, 2, 3], [4, 5]]
     assert list(b._runs(iter([pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["key"])]), 1)) == []
+
+
+@pytest.mark.parametrize("few", [8, 0])
+def test_a_bucket_that_stays_apart_lists_no_pairs(spark, few, monkeypatch):
+    """3,000 nodes under one key that are alike in threes: what is written stays in proportion to them."""
+    n, sizes = 3000, {}
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(b, "written", counted)
+    value = F.floor(F.col("id") / 3) * 10 + F.col("id") % 3
+    df = written(spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("mark"), F.array(F.lit(5).cast("long")).alias("keys"), value.alias("value")), "nodes")
+    _, groups = b.grouped(df.drop("value"), 0, lambda wanted: df.select("node", "value"), by_value, few=few)
+    assert groups.count() == n and groups.select("root").distinct().count() == n // 3
+    assert max(sizes.values()) < 10 * n

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from tessellum.llm import lines as L
@@ -28,8 +29,10 @@ def brute(rows):
     lines = []
     for doc, text in order:
         for i, j, buf, offs in tx.chunks(pa.array([text])):
-            _, number, whole, sim = L.line_table(buf, offs)
+            of, number, whole, _ = L.line_hashes(buf, offs)
+            sim, _, values = L.line_sketches(buf, offs, of, number)
             parts = text.split("\n")
+            assert values.to_pylist() == [plain(parts[n]) for n in number]
             lines += [(doc, int(n), int(w), int(s) & (1 << 64) - 1, plain(parts[n])) for n, w, s in zip(number, whole, sim, strict=True)]
     root = list(range(len(lines)))
 
@@ -108,6 +111,11 @@ def test_edit_distances_against_the_table_of_prefixes():
     want = [table(a, b) for a, b in pairs]
     assert L.edits(pairs).tolist() == L._edits_by_blocks(pairs).tolist() == [L._edits_by_integers(a, b) for a, b in pairs] == want
     assert L.edits([]).tolist() == []
+    for part in (pairs, pairs * 9):
+        most = np.array([r.choice([0, 3, 20, 90, 200]) for _ in part])
+        exact = np.array(want * (len(part) // len(pairs)))
+        for got in (L.edits(part, most), L._edits_by_blocks(part, most)):
+            assert ((got == exact) | ((got > most) & (exact > most))).all()
     sure = [1 - d / max(1, len(a), len(b)) >= 0.85 for d, (a, b) in zip(want[1:], pairs[1:], strict=True)]
     assert L.similar(pairs[1:], 0.85).tolist() == sure
 
@@ -152,3 +160,13 @@ def test_quick_bound_is_never_below_the_edit_distance():
         b.insert(r.randrange(len(b) + 1), r.choice(["x", sentence(r, 1)]))
         a, b = " ".join(a), " ".join(b)
         assert edits(a, b) <= L._at_most(a, b)
+
+
+def test_rows_that_are_most_of_the_table(spark):
+    r = random.Random(2)
+    text = "\n".join(sentence(r, 8) for _ in range(5))
+    rows = [(7, text, "en", "s", 1)] * 400 + [(9, sentence(r, 8) + "\n" + text, "en", "s", 1), (3, sentence(r, 9), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = L.deduplicated(docs).collect()
+    assert len(got) == 402 and {x.text for x in got if x.doc_id == 7} == {text}
+    assert {x.text for x in got if x.doc_id == 9} == {rows[400][1].split("\n")[0]}
