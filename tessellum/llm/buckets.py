@@ -289,7 +289,7 @@ def grouped(
 
     first = checked(found.where("near").select("a", "b").distinct())
     links = first.where("ok").select("a", "b")
-    groups = written(connected(links), "groups")
+    groups = connected(links)
     sides = split_buckets(found, nodes.select("node", "mark"), groups, block, span)
     if sides is not None:
         key = ["key", "block", "span"]
@@ -302,5 +302,5 @@ def grouped(
             many = sort(many.join(value, "node").select(*key, "node", "mark", "grp", "side", "value"))
             more = more.unionByName(written(many.mapInArrow(lambda it: _links(it, distance, compare), "a long, b long").distinct(), "links"))
         links = links.unionByName(more)
-        groups = written(connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "groups")
+        groups = connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return links, groups
