@@ -7,6 +7,7 @@ for that a bucket of n nodes seldom needs n * n comparisons:
 * stars(): every node of a bucket is paired with its lead, the least node.  Buckets are
   combined within a batch before anything is shuffled, so a key that a third of all
   nodes share costs a row for each batch, and its members meet the lead of their batch.
+  Spark shuffles rows that hold all of a part of the keys, see packed(), not a row for each key.
 * rest(): buckets whose nodes are not in one group after that are looked at again.  The
   nodes outside of the bucket's largest group are cut into blocks, and meet all nodes of
   the bucket but those of their own group, which are cut into spans: a task holds a block
@@ -24,16 +25,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm.components import connected
 from tessellum.llm.store import written
+from tessellum.llm.text import mix
 
 BLOCK, SPAN, STEP, FEW = 2048, 16_384, 1 << 12, 8
 HELD_BYTES = 16 << 20  # of pairs that are compared at a time
 SMALL = 100_000  # keys that are broadcast, at 8 bytes each
-POST = "key long, node long, mark long, n long, home long, lead long, near boolean"
+PARTS, HELD_POSTS = 16, 1 << 20  # parts of a table for each of its shuffle partitions, posts that are packed at a time
+PACKED = "part int, key binary, node binary, mark binary, n binary, home binary, member binary, lead binary, near binary"
 STAR = "key long, a long, b long, near boolean, alone boolean"
 SIDES = "key long, block int, span int, node long, mark long, grp long, side int, other long"
 MAJOR, OTHER, BLOCK_SIDE = 0, 1, 2  # sides: of the largest group, of another one, and of the latter as a member of a block
@@ -49,14 +53,58 @@ def _rows(key: np.ndarray, node: np.ndarray, mark: np.ndarray, n: np.ndarray, pa
     return pa.RecordBatch.from_arrays([*map(pa.array, (key, node, mark, n)), *(map(pa.array, pairs) if pairs else none)], names=["key", "node", "mark", "n", "home", "lead", "near"])
 
 
+def n_parts(df: DataFrame) -> int:
+    return PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Which part an evenly spread uint64 belongs to; parts are in order of the values."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def packed(parts: int, groups: list[tuple[np.ndarray, dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]]]) -> pa.RecordBatch:
+    """A row for each part that has something: its number and, for each column, its values side by side as bytes.
+
+    groups: the parts of values, in order, and columns of such values, or of (bytes, where values begin).
+    """
+    bounds = [np.searchsorted(part, np.arange(parts + 1)) for part, _ in groups]
+    some = np.flatnonzero(np.any([np.diff(b) > 0 for b in bounds], axis=0))
+    names, out = ["part"], [pa.array(some.astype(np.int32))]
+    for (_, columns), bound in zip(groups, bounds, strict=True):
+        at = np.append(bound[some], bound[-1])
+        for name, x in columns.items():
+            data, cut = (x[0], x[1][at]) if isinstance(x, tuple) else (x, at * x.itemsize)
+            data = pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))
+            names.append(name)
+            out.append(pa.Array.from_buffers(pa.binary(), some.size, [None, pa.py_buffer(cut.astype(np.int32)), data]))
+    return pa.RecordBatch.from_arrays(out, names=names)
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary column."""
+    column = column.cast(pa.large_binary())
+    cut = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[cut[0] : cut[-1]].copy() if data is not None else np.zeros(0, np.uint8)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[list[np.ndarray]]:
+    """The columns of packed rows that are sorted by part, whole parts at a time."""
+    for rows, _ in _runs(batches, 1):
+        yield [_flat(column).view(kind) for column, kind in zip(rows.columns[1:], kinds, strict=True)]
+
+
 def _posts(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """For each key of a batch its lead and the number of its nodes, and the pairs of the others with the lead."""
     for batch in batches:
         keys = batch.column(2)
-        size = np.array(keys.value_lengths().fill_null(0), dtype=np.int64)
+        size = np.array((pc.binary_length(keys) if pa.types.is_binary(keys.type) else keys.value_lengths()).fill_null(0), dtype=np.int64)
         if not size.sum():
             continue
-        key = keys.flatten().to_numpy(zero_copy_only=False)
+        if pa.types.is_binary(keys.type):
+            key, size = _flat(keys).view(np.int64), size // 8
+        else:
+            key = keys.flatten().to_numpy(zero_copy_only=False)
         node, mark = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), size) for i in (0, 1))
         order = np.lexsort((node, key))
         key, node, mark = key[order], node[order], mark[order]
@@ -69,6 +117,46 @@ def _posts(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
             yield _rows(node[own], node[own], mark[own], np.ones(int(own.sum()), np.int64), (key[own], node[at][own], _near(mark[own], mark[at][own], distance)))
 
 
+def _packed_posts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """What _posts() gives, as packed rows."""
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        done = np.array(rows.column(5).is_valid())
+        posts, pairs = rows.filter(pa.array(~done)), rows.filter(pa.array(done))
+        key, node, mark, n = (posts.column(i).to_numpy() for i in range(4))
+        # keys and, as pairs may be anywhere, their nodes are mixed again: keys need not be spread evenly
+        groups = []
+        for name, columns in ((key, {"key": key, "node": node, "mark": mark, "n": n}), (pairs.column(1).to_numpy(), {k: pairs.column(i).to_numpy(zero_copy_only=False) for k, i in (("home", 4), ("member", 1), ("lead", 5), ("near", 6))})):
+            part = part_of(mix(name.view(np.uint64)), parts)
+            order = np.argsort(part, kind="stable")
+            groups.append((part[order], {k: v[order] for k, v in columns.items()}))
+        groups[0][1]["n"] = np.minimum(groups[0][1]["n"], 3).astype(np.int8)  # asked is whether they are two
+        return packed(parts, groups)
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= HELD_POSTS:
+            yield flush()
+            held, n = [], 0
+    if n:
+        yield flush()
+
+
+def _unpacked_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _leads() takes: all posts of keys that have several, in order, and the pairs."""
+    for key, node, mark, n, home, member, lead, near in unpacked(batches, [np.int64, np.int64, np.int64, np.int8, np.int64, np.int64, np.int64, np.bool_]):
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        some = order[np.append(same, False) | np.append(False, same)] if key.size else order
+        some = some[np.lexsort((node[some], key[some]))]
+        yield _rows(key[some], node[some], mark[some], n[some].astype(np.int64))
+        if member.size:
+            yield _rows(member, member, member, np.ones(member.size, np.int64), (home, lead, near))
+
+
 def _leads(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Pairs of nodes with the lead of their run; runs are sorted by key and node and may span batches."""
 
@@ -104,12 +192,13 @@ def stars(nodes: DataFrame, distance: int) -> DataFrame:
 
     near: whether marks differ in `distance` bits at most; alone: the bucket has no third node (never said of some that have none).
     """
+    parts = n_parts(nodes)
     return (
         nodes.select("node", "mark", "keys")
-        .mapInArrow(lambda it: _posts(it, distance), POST)
-        .repartition("key")
-        .sortWithinPartitions("key", "node")
-        .mapInArrow(lambda it: _leads(it, distance), STAR)
+        .mapInArrow(lambda it: _packed_posts(_posts(it, distance), parts), PACKED)
+        .repartition("part")
+        .sortWithinPartitions("part")
+        .mapInArrow(lambda it: _leads(_unpacked_posts(it), distance), STAR)
     )
 
 
@@ -273,7 +362,8 @@ def grouped(
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between similar nodes, and (node, root) of all nodes that have one.
 
-    nodes(node, mark, keys) has to be a written table with a row for each node.  values
+    nodes(node, mark, keys) has to be a written table with a row for each node; keys are an
+    array of 64-bit numbers, or their bytes side by side.  values
     gives (node, value) for a table of nodes; compare makes of an array of values the
     test whether rows i and j are similar.
     """
@@ -299,7 +389,9 @@ def grouped(
         more = checked(pairs.join(first.where("not ok"), ["a", "b"], "left_anti")).where("ok").select("a", "b")
         many = sides.where("other is null").drop("other")
         if many.limit(1).count():
-            many = sort(many.join(value, "node").select(*key, "node", "mark", "grp", "side", "value"))
+            # a row stands for many comparisons: by a number, else so few bytes become a single task
+            tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            many = many.join(value, "node").select(*key, "node", "mark", "grp", "side", "value").repartition(tasks, *key).sortWithinPartitions(*key, "node")
             more = more.unionByName(written(many.mapInArrow(lambda it: _links(it, distance, compare), "a long, b long").distinct(), "links"))
         links = links.unionByName(more)
         groups = connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ from tessellum.llm.store import bounded, passing, unused, written
 
 GRAM, ROWS, BANDS, SIMILARITY = 5, 5, 12, 0.85
 BITS, DISTANCE = ROWS * BANDS, 17
+HELD_BYTES, STEP = 16 << 20, 1 << 17  # bytes of lines that are packed, and of lines that are sketched at a time
 _ODD = (tx.mix(np.arange(1, BITS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -46,46 +48,58 @@ def _within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1], dtype=np.int8).view(bool)
 
 
-def _sketches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """The bits of the minima, (lines, BANDS) of band keys of 64 bits, and the normalised lines; at: each line's first word, none without words."""
+def _normalised(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines, given by their words, with a blank between words: bytes side by side, and where each begins (n + 1 values); at: each line's first word, none without words."""
     size = ends - starts
-    if not size.size:
-        return np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64), pa.array([], pa.string())
-    # words with a blank behind each, and GRAM - 1 behind each line
     gap = np.ones(size.size, dtype=np.int64)
-    gap[at[1:] - 1] = GRAM - 1
-    begin = np.cumsum(size + gap) - size - gap
-    plain = np.full(int(begin[-1] + size[-1]) + GRAM, 32, dtype=np.uint8)
-    plain[_within(begin, begin + size, plain.size)] = buf[_within(starts, ends, buf.size)]
-    n = plain.size - GRAM + 1
-    gram = np.zeros(n, dtype=np.uint64)
-    for k in range(GRAM):
-        gram <<= np.uint64(8)
-        gram |= plain[k : k + n]
-    gram *= np.uint64(0x9E3779B97F4A7C15)
-    gram ^= gram >> np.uint64(29)
-    gram *= np.uint64(0xBF58476D1CE4E5B9)
-    gram = (gram >> np.uint64(32)).astype(np.uint32)
-    first, last = begin[at[:-1]], begin[at[1:] - 1] + size[at[1:] - 1]
-    inside = _within(first, last, n)
-    gram = gram[inside]  # the blanks between lines begin no pieces
-    cut = np.concatenate([[0], np.cumsum(last - first)])
-    values = pa.LargeStringArray.from_buffers(first.size, pa.py_buffer(cut), pa.py_buffer(plain[:n][inside].tobytes())).cast(pa.string())
-    least = np.empty((BITS, first.size), dtype=np.uint32)
+    gap[at[1:] - 1] = 0
+    between = ends[gap > 0]  # a word that another one of its line follows has no word byte behind it
+    keep = _within(starts, ends, buf.size)
+    keep[between] = True
+    buf = buf.copy()
+    buf[between] = 32
+    return buf[keep], np.append(0, np.cumsum(size + gap)[at[1:] - 1])
+
+
+def _sketches(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of the minima, and (lines, BANDS) of band keys of 64 bits, of normalised lines that lie side by side."""
+    n = cut.size - 1
+    least = np.empty((BITS, n), dtype=np.uint32)
     i = 0
-    while i < first.size:  # so many at a time as the cache holds
-        j = max(i + 1, int(np.searchsorted(cut, cut[i] + (1 << 17), side="right")) - 1)
-        part, heads = gram[cut[i] : cut[j]], cut[i:j] - cut[i]
+    while i < n:  # so many at a time as the cache holds
+        j = max(i + 1, int(np.searchsorted(cut, cut[i] + STEP, side="right")) - 1)
+        part, heads = _pieces(data[cut[i] : cut[j]], cut[i : j + 1] - cut[i]), cut[i:j] - cut[i]
         held = np.empty_like(part)
         for k, odd in enumerate(_ODD):
             least[k, i:j] = np.minimum.reduceat(np.multiply(part, odd, out=held), heads)
         i = j
-    bits, bands = np.zeros(first.size, np.uint64), np.zeros((first.size, BANDS), np.uint64)
+    bits, bands = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64)
     for k in range(BITS):
         h = tx.mix(least[k] + (np.uint64(k) << np.uint64(32)))
         bits |= (h >> np.uint64(63)) << np.uint64(k)
         bands[:, k // ROWS] += h  # k is in h: no other band has the same key but by chance
-    return bits, bands, values
+    return bits, bands
+
+
+def _pieces(data: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes from each byte on; behind each line are blanks."""
+    n = data.size
+    plain = np.full(n + GRAM - 1, 32, dtype=np.uint8)
+    plain[:n] = data
+    gram = plain[:n].astype(np.uint64)
+    for k in range(1, GRAM):
+        gram <<= np.uint64(8)
+        gram |= plain[k : k + n].astype(np.uint64)
+    blanks = np.uint64(0)
+    for k in range(GRAM - 1, 0, -1):  # pieces of k bytes of a line
+        blanks = blanks << np.uint64(8) | np.uint64(32)
+        shift = np.uint64(8 * (GRAM - k))
+        some = cut[1:][np.diff(cut) >= k] - k
+        gram[some] = gram[some] >> shift << shift | blanks
+    gram *= np.uint64(0x9E3779B97F4A7C15)
+    gram ^= gram >> np.uint64(29)
+    gram *= np.uint64(0xBF58476D1CE4E5B9)
+    return (gram >> np.uint64(32)).astype(np.uint32)
 
 
 def _split(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -99,15 +113,21 @@ def _split(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, number, *tx.spans(buf, np.append(first, buf.size))
 
 
-def line_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, line number, hash, second hash) of each line that has a word."""
-    doc, number, starts, ends, at = _split(buf, offs)
+def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the words of each line."""
     h = tx.span_hashes(buf, starts, ends)
     place = np.arange(h.size) - np.repeat(at[:-1], np.diff(at))
     h += place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     whole, other = tx.segment_sums(tx.mix(h), at), tx.segment_sums(tx.mix(h ^ np.uint64(0xA0761D6478BD642F)), at)
+    return tx.mix(whole), other
+
+
+def line_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, line number, hash, second hash) of each line that has a word."""
+    doc, number, starts, ends, at = _split(buf, offs)
+    whole, other = _hashes(buf, starts, ends, at)
     some = np.diff(at) > 0
-    return doc[some], number[some], tx.mix(whole)[some].view(np.int64), other[some].view(np.int64)
+    return doc[some], number[some], whole[some].view(np.int64), other[some].view(np.int64)
 
 
 def line_sketches(buf: np.ndarray, offs: np.ndarray, doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -117,42 +137,83 @@ def line_sketches(buf: np.ndarray, offs: np.ndarray, doc: np.ndarray, number: np
     size = at[line + 1] - at[line]
     head = np.concatenate([[0], np.cumsum(size)])
     word = np.repeat(at[line] - head[:-1], size) + np.arange(head[-1])
-    bits, bands, values = _sketches(buf, starts[word], ends[word], head)
-    return bits.view(np.int64), bands.view(np.int64), values
+    data, cut = _normalised(buf, starts[word], ends[word], head)
+    bits, bands = _sketches(data, cut)
+    return bits.view(np.int64), bands.view(np.int64), _taken(data, cut, np.arange(line.size)).cast(pa.string())
+
+
+def _taken(data: np.ndarray, cut: np.ndarray, which: np.ndarray) -> pa.Array:
+    """Some of the texts that lie side by side in data."""
+    return pa.LargeStringArray.from_buffers(cut.size - 1, pa.py_buffer(cut), pa.py_buffer(data)).take(pa.array(which))
+
+
+def _firsts(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, th: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first occurrence of each line, in order of h1, and those that are others; several of a row that is repeated are one."""
+    order = np.lexsort((line, th, doc, h2, h1))
+    head = np.ones(order.size, dtype=bool)
+    head[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+    first = order[head]
+    to = first[np.cumsum(head) - 1]
+    other = (doc[order] != doc[to]) | (th[order] != th[to]) | (line[order] != line[to])
+    return first, order[other]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+LINES = {"h1": np.uint64, "h2": np.uint64, "doc": np.int64, "th": np.int64, "line": np.int32, "size": np.int64, "value": np.uint8, "gone_doc": np.int64, "gone_th": np.int64, "gone_line": np.int32}
+
+
+def _lines(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of the lines that have words: first occurrences within some documents, with their texts, and the places of others, which are surplus."""
+
+    def flush() -> pa.RecordBatch:
+        h1, h2, doc, th, line, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        first, gone = _firsts(h1, h2, doc, th, line)
+        values = _taken(data, np.append(0, np.cumsum(size)), first)
+        cut = np.frombuffer(values.buffers()[1], dtype=np.int64)[: len(values) + 1]
+        text = np.frombuffer(values.buffers()[2], dtype=np.uint8)
+        # the places of a frequent line are many: they go anywhere
+        to = buckets.part_of(tx.mix((doc[gone] ^ th[gone]).view(np.uint64)), parts)
+        gone, to = gone[order := np.argsort(to, kind="stable")], to[order]
+        own = {"h1": h1[first], "h2": h2[first], "doc": doc[first], "th": th[first], "line": line[first], "size": size[first], "value": (text, cut)}
+        return buckets.packed(parts, [(buckets.part_of(h1[first], parts), own), (to, {"gone_doc": doc[gone], "gone_th": th[gone], "gone_line": line[gone]})])
+
+    held, n = [], 0
     for batch in batches:
-        ids, hashes = batch.column(0), batch.column(1)
+        ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for i, j, buf, offs in tx.chunks(batch.column(2)):
-            doc, number, whole, other = line_hashes(buf, offs)
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).take(take), hashes.slice(i, j - i).take(take), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(other)], names=["doc", "th", "line", "h1", "h2"]
-            )
+            doc, number, starts, ends, at = _split(buf, offs)
+            if not starts.size:
+                continue
+            whole, other = _hashes(buf, starts, ends, at)
+            some = np.diff(at) > 0
+            plain, cut = _normalised(buf, starts, ends, np.append(at[:-1][some], at[-1]))
+            held.append((whole[some], other[some], ids[i:j][doc[some]], hashes[i:j][doc[some]], number[some].astype(np.int32), np.diff(cut), plain))
+            n += plain.size
+            if n >= HELD_BYTES:
+                yield flush()
+                held, n = [], 0
+    if held:
+        yield flush()
+
+
+NODE = "node long, doc long, th long, line int, mark long, keys binary, value string"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, mark, keys, value) of the lines that are wanted of each text; every text has some."""
-    last = -1
-    for batch in batches:
-        want = batch.column(1)
-        first = np.concatenate([[0], np.cumsum(np.array(want.value_lengths(), dtype=np.int64))])
-        flat = want.flatten()
-        node, line, row = (np.array(x) for x in (flat.field("node"), flat.field("line"), np.repeat(np.arange(len(batch)), np.diff(first))))
-        order = np.lexsort((line, row))
-        node, line, row = node[order], line[order], row[order]
-        if node.size:  # each node is in one row, but for rows that are repeated
-            head = np.minimum.reduceat(node, first[:-1])
-            again = np.append(last, head[:-1]) == head
-            keep, last = ~again[row], int(head[-1])
-            node, line, row = node[keep], line[keep], row[keep]
-            first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))])
-        for i, j, buf, offs in tx.chunks(batch.column(0)):
-            a, b = first[i], first[j]
-            mark, bands, values = line_sketches(buf, offs, row[a:b] - i, line[a:b])
-            keys = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.array(mark), keys, values], names=["node", "mark", "keys", "value"])
+    """Distinct lines, numbered, with the places where they occur first, and without a number the places of others."""
+    schema = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("mark", pa.int64()), ("keys", pa.binary()), ("value", pa.string())])
+    node = TaskContext.get().partitionId() << 33
+    for h1, h2, doc, th, line, size, data, *gone in buckets.unpacked(batches, list(LINES.values())):
+        first, other = _firsts(h1, h2, doc, th, line)
+        values = _taken(data, np.append(0, np.cumsum(size)), first)
+        for i, j, buf, offs in tx.chunks(values, lower=False):
+            bits, bands = _sketches(buf, offs)
+            keys = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.arange(0, bands.nbytes + 1, 8 * BANDS, dtype=np.int32)), pa.py_buffer(bands)])
+            places = (pa.array(x[first[i:j]]) for x in (doc, th, line))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(node, node + j - i)), *places, pa.array(bits.view(np.int64)), keys, values.slice(i, j - i).cast(pa.string())], schema=schema)
+            node += j - i
+        places = [pa.array(np.append(x[other], y)) for x, y in zip((doc, th, line), gone, strict=True)]
+        if n := len(places[0]):
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *places, *(pa.nulls(n, t) for t in schema.types[4:])], schema=schema)
 
 
 def _trimmed(a: str, b: str) -> tuple[str, str]:
@@ -200,30 +261,54 @@ def edits(pairs: list[tuple[str, str]], most: np.ndarray | None = None) -> np.nd
             out[own] = _edits_by_blocks([pairs[i] for i in own], bound[own])
         else:
             for i in own:
-                out[i] = _edits_by_integers(*pairs[i])
+                out[i] = _edits_by_integers(*pairs[i], None if most is None else int(most[i]))
         at = end
     return out
 
 
-def _edits_by_integers(a: str, b: str) -> int:
+def _edits_by_integers(a: str, b: str, most: int | None = None) -> int:
     if len(a) > len(b):
         a, b = b, a
+    m, n = len(a), len(b)
     if not a:
-        return len(b)
+        return n
+    far = n if most is None else min(most, n)
+    if n - m > far:
+        return far + 1
     equal: dict[str, int] = {}
     for i, c in enumerate(a):
         equal[c] = equal.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    up, down = full, 0
-    for c in b:
-        eq = equal.get(c, 0)
-        xv = eq | down
-        xh = (((eq & up) + up) ^ up) | eq
-        ph = (down | ~(xh | up)) << 1 | 1
-        mh = (up & xh) << 1
-        up = (mh | ~(xv | ph)) & full
-        down = ph & xv & full
-    return len(b) + up.bit_count() - down.bit_count()
+    # columns in steps, each over the rows low to high, which hold the band; base is the value at row low
+    step = n if far >= m else max(96, far // 2)
+    low = high = base = up = down = 0
+    for at in range(0, n, step):
+        part = b[at : at + step]
+        new_low, new_high = min(max(0, at - far), high), min(m, at + step + far)
+        out = (1 << new_low - low) - 1
+        base += (up & out).bit_count() - (down & out).bit_count()
+        up >>= new_low - low
+        down >>= new_low - low
+        # rows enter with the greatest value that they can have
+        up |= (1 << new_high - new_low) - (1 << high - new_low)
+        low, high = new_low, new_high
+        full = (1 << high - low) - 1
+        here = {c: equal.get(c, 0) >> low & full for c in set(part)}
+        for c in part:
+            eq = here[c]
+            xv = eq | down
+            xh = (((eq & up) + up) ^ up) | eq
+            ph = (down | ~(xh | up)) << 1 | 1
+            mh = (up & xh) << 1
+            up = (mh | ~(xv | ph)) & full
+            down = ph & xv & full
+        base += len(part)
+        if far < m and at + step < n:  # what any path still costs
+            size = high - low
+            ups, downs = (np.unpackbits(np.frombuffer(x.to_bytes(size // 8 + 1, "little"), dtype=np.uint8), count=size, bitorder="little").astype(np.int64) for x in (up, down))
+            value = base + np.append(0, np.cumsum(ups - downs))
+            if (value + np.abs(np.arange(m - low, m - high - 1, -1) - (n - at - step))).min() > far:
+                return far + 1
+    return base + up.bit_count() - down.bit_count()
 
 
 def _edits_by_blocks(pairs: list[tuple[str, str]], bound: np.ndarray | None = None) -> np.ndarray:
@@ -336,29 +421,22 @@ def _doc(doc_id: Column) -> Column:
 def surplus(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc, th, lines): numbers of the lines that go from each row; th is xxhash64(text), doc what _doc() makes of doc_id."""
     narrow = bounded(docs).select(_doc(F.col("doc_id")).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    lines = written(narrow.mapInArrow(_lines, "doc long, th long, line int, h1 long, h2 long"), "lines")
     with passing() as keep:
-        distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "line")).alias("first"), F.count("*").alias("n"))
-        distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-        # distinct lines are taken from the documents where they occur first; of rows that are repeated, which lie together, one will do
-        where = distinct.groupBy(F.col("first.doc").alias("doc"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("first.line", "node")).alias("want"))
-        texts = narrow.join(where, ["doc", "th"]).sortWithinPartitions("doc", "th").select("text", "want")
-        nodes = written(texts.mapInArrow(_nodes, "node long, mark long, keys array<long>, value string"), "nodes")
+        parts = buckets.n_parts(narrow)
+        packed = narrow.mapInArrow(lambda it: _lines(it, parts), ", ".join(["part int", *(f"{name} binary" for name in LINES)]))
+        nodes = written(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_nodes, NODE), "nodes")
+        distinct = nodes.where("node is not null")
 
         def values(wanted: DataFrame) -> DataFrame:
-            return written(nodes.select("node", "value").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
-
-        _, groups = buckets.grouped(nodes.select("node", "mark", "keys"), distance, values, _test(similarity))
-        of_node = distinct.join(groups, "node", "left").where("n > 1 or root is not null")
-        of_node = of_node.select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))
-        stays = of_node.join(of_node.groupBy("root").agg(F.min("first").alias("stay")), "root").select("h1", "h2", "stay")
-        stays = keep(stays, "stays")
-    return (
-        lines.join(stays, ["h1", "h2"])
-        .where("not (doc = stay.doc and th = stay.th and line = stay.line)")
-        .groupBy("doc", "th")
-        .agg(F.collect_set("line").alias("lines"))
-    )
+            return written(distinct.select("node", "value").join(wanted, "node", "left_semi"), "texts")
+
+        _, groups = buckets.grouped(distinct.select("node", "mark", "keys"), distance, values, _test(similarity))
+        place = F.struct("doc", "th", "line")
+        alike = written(distinct.select("node", place.alias("place")).join(groups, "node").select("root", "place"), "alike")
+        stays = alike.groupBy("root").agg(F.min("place").alias("stay"))
+        gone = alike.join(stays, "root").where("place <> stay").select("place.*")
+        gone = gone.unionByName(nodes.where("node is null").select("doc", "th", "line"))
+        return keep(gone.groupBy("doc", "th").agg(F.collect_set("line").alias("lines")), "gone")
 
 
 def deduplicated(docs: DataFrame, counts: bool = False, **params: float) -> DataFrame:

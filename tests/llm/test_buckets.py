@@ -90,3 +90,20 @@ def test_a_bucket_that_stays_apart_lists_no_pairs(spark, few, monkeypatch):
     _, groups = b.grouped(df.drop("value"), 0, lambda wanted: df.select("node", "value"), by_value, few=few)
     assert groups.count() == n and groups.select("root").distinct().count() == n // 3
     assert max(sizes.values()) < 10 * n
+
+
+def test_posts_travel_by_parts():
+    """Two batches of 20,000 nodes with 12 keys each: a row for each part, not for each key, and the same pairs."""
+    r = np.random.default_rng(3)
+    nodes, keys = np.arange(40_000), r.integers(-(1 << 63), 1 << 63, (40_000, 12))
+    keys[1::4, 0] = keys[::4, 0]
+    keys[::100, 1] = 7
+    want = {(k, x) for k, x in zip(keys[1::4, 0].tolist(), nodes[1::4].tolist(), strict=True)} | {(7, x) for x in nodes[::100].tolist()[1:]}
+    lists = [pa.array(list(keys)), pa.Array.from_buffers(pa.binary(), 40_000, [None, pa.py_buffer(np.arange(0, 40_001 * 96, 96, dtype=np.int32)), pa.py_buffer(keys)])]
+    for own in lists:
+        whole = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes * 0), own], names=["node", "mark", "keys"])
+        rows = pa.concat_batches(list(b._packed_posts(b._posts(iter([whole.slice(0, 20_000), whole.slice(20_000)]), 0), 64)))
+        assert len(rows) <= 64
+        found = pa.concat_batches(list(b._leads(b._unpacked_posts(iter([rows.slice(0, 20), rows.slice(20)])), 0)))
+        assert {(k, x) for k, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)} >= want
+        assert len(found) <= len(want) + 1

@@ -170,3 +170,31 @@ def test_rows_that_are_most_of_the_table(spark):
     got = L.deduplicated(docs).collect()
     assert len(got) == 402 and {x.text for x in got if x.doc_id == 7} == {text}
     assert {x.text for x in got if x.doc_id == 9} == {rows[400][1].split("\n")[0]}
+
+
+def test_bounded_distances_of_long_pairs():
+    r = random.Random(5)
+    for _ in range(60):
+        size = r.choice([1, 40, 300, 700])
+        a = "".join(r.choice("ab cd") for _ in range(size))
+        b = list(a)
+        for _ in range(r.randint(0, max(1, size // 3))):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.choice([0, 1, 1, 2])] = r.choice(["", "x", "ab", "c"])
+        b = "".join(b)
+        want = L._edits_by_integers(a, b)
+        for most in {max(0, want - 1), want, want + 1, size // 7, r.randint(0, size)}:
+            got = L._edits_by_integers(a, b, most)
+            assert got == want or min(got, want) > most
+
+
+def test_lines_travel_by_parts():
+    """A row for each part; a line's further places are told apart from its first one, but for rows that are repeated."""
+    texts = ["a b\nc, d\nA  B", "x\n\nc d", "x\n\nc d"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 2]), pa.array([10, 20, 20]), pa.array(texts)], names=["doc", "th", "text"])
+    rows = pa.concat_batches(list(L._lines(iter([batch]), 2)))
+    assert len(rows) <= 2
+    size, data, *gone = [np.concatenate(x) for x in zip(*L.buckets.unpacked(iter([rows]), list(L.LINES.values())), strict=True)][5:]
+    cut = np.append(0, np.cumsum(size))
+    assert sorted(data[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)) == [b"a b", b"c d", b"x"]
+    assert set(zip(*(x.tolist() for x in gone), strict=True)) == {(1, 10, 2), (2, 20, 2)}
