@@ -22,6 +22,7 @@ groups are just those of all similar candidates.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,25 @@ MAJOR, OTHER, BLOCK_SIDE = 0, 1, 2  # sides: of the largest group, of another on
 Compare = Callable[[pa.Array], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
-def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= distance
+class Near(NamedTuple):
+    """In the lowest `bits` bits of marks `distance` differ at most; the bits above are numbers in a round, `apart` steps apart at most."""
+
+    distance: int
+    bits: int = 64
+    apart: int = 0
+
+    def sketch(self, mark: np.ndarray) -> np.ndarray:
+        return mark << (64 - self.bits)
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.bits == 64:
+            return np.ones(a.size, dtype=bool)
+        return ((a >> self.bits) - (b >> self.bits) + self.apart & (1 << 64 - self.bits) - 1) <= 2 * self.apart
+
+
+def _near(a: np.ndarray, b: np.ndarray, distance: int | Near) -> np.ndarray:
+    near = distance if isinstance(distance, Near) else Near(distance)
+    return (np.bitwise_count(near.sketch(a ^ b).view(np.uint64)) <= near.distance) & near.fits(a, b)
 
 
 def _rows(key: np.ndarray, node: np.ndarray, mark: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, ...] = ()) -> pa.RecordBatch:
@@ -94,7 +112,7 @@ def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[l
         yield [_flat(column).view(kind) for column, kind in zip(rows.columns[1:], kinds, strict=True)]
 
 
-def _posts(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _posts(batches: Iterator[pa.RecordBatch], distance: int | Near) -> Iterator[pa.RecordBatch]:
     """For each key of a batch its lead and the number of its nodes, and the pairs of the others with the lead."""
     for batch in batches:
         keys = batch.column(2)
@@ -157,7 +175,7 @@ def _unpacked_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield _rows(member, member, member, np.ones(member.size, np.int64), (home, lead, near))
 
 
-def _leads(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _leads(batches: Iterator[pa.RecordBatch], distance: int | Near) -> Iterator[pa.RecordBatch]:
     """Pairs of nodes with the lead of their run; runs are sorted by key and node and may span batches."""
 
     def stars(key: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
@@ -187,7 +205,7 @@ def _leads(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         last = key[at[-1]], node[at[-1]], mark[at[-1]], 2
 
 
-def stars(nodes: DataFrame, distance: int) -> DataFrame:
+def stars(nodes: DataFrame, distance: int | Near) -> DataFrame:
     """(key, a, b, near, alone): each node of nodes(node, mark, keys) with leads of its buckets.
 
     near: whether marks differ in `distance` bits at most; alone: the bucket has no third node (never said of some that have none).
@@ -251,19 +269,23 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int = 3) -> Iterator[tuple[
         yield held[0], np.array([0, len(held[0])])
 
 
-def _candidates(a: int, b: int, node: np.ndarray, mark: np.ndarray, grp: np.ndarray, side: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _candidates(a: int, b: int, node: np.ndarray, mark: np.ndarray, grp: np.ndarray, side: np.ndarray, distance: int | Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of a run, a block's row first, of different groups and with near marks; two rows of blocks meet but once."""
     x, y = a + np.flatnonzero(side[a:b] == BLOCK_SIDE), a + np.flatnonzero(side[a:b] != BLOCK_SIDE)
     size = max(1, (1 << 20) // max(1, y.size))
+    near = distance if isinstance(distance, Near) else Near(distance)
+    sketch = near.sketch(mark).view(np.uint64)
     for at in range(0, x.size, size):
         part = x[at : at + size]
-        ok = _near(mark[part, None], mark[None, y], distance) & (grp[part, None] != grp[None, y])
+        ok = (np.bitwise_count(sketch[part, None] ^ sketch[None, y]) <= near.distance) & (grp[part, None] != grp[None, y])
         ok &= (side[None, y] == MAJOR) | (node[part, None] > node[None, y])
         u, w = np.nonzero(ok)
-        yield part[u], y[w]
+        i, j = part[u], y[w]
+        fits = near.fits(mark[i], mark[j])
+        yield i[fits], j[fits]
 
 
-def _within(batches: Iterator[pa.RecordBatch], distance: int, few: int = FEW) -> Iterator[pa.RecordBatch]:
+def _within(batches: Iterator[pa.RecordBatch], distance: int | Near, few: int = FEW) -> Iterator[pa.RecordBatch]:
     """Pairs, in the columns node and other, of runs with few candidates; of other runs the rows that have one."""
     for rows, cut in _runs(batches):
         node, mark, grp, side = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
@@ -307,7 +329,7 @@ class _Groups:
         return True
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int, compare: Compare, step: int = STEP) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], distance: int | Near, compare: Compare, step: int = STEP) -> Iterator[pa.RecordBatch]:
     """Links that join groups of a run."""
 
     def work(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -353,7 +375,7 @@ def _tested(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.
 
 def grouped(
     nodes: DataFrame,
-    distance: int,
+    distance: int | Near,
     values: Callable[[DataFrame], DataFrame],
     compare: Compare,
     block: int = BLOCK,
@@ -365,7 +387,8 @@ def grouped(
     nodes(node, mark, keys) has to be a written table with a row for each node; keys are an
     array of 64-bit numbers, or their bytes side by side.  values
     gives (node, value) for a table of nodes; compare makes of an array of values the
-    test whether rows i and j are similar.
+    test whether rows i and j are similar.  distance: how many bits of the marks of candidates
+    differ at most, or a Near.
     """
     found = written(stars(nodes, distance), "stars")
     wanted = found.where("near or not alone").select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,9 @@ from tessellum.llm.store import bounded, passing, unused, written
 
 GRAM, ROWS, BANDS, SIMILARITY = 5, 5, 12, 0.85
 BITS, DISTANCE = ROWS * BANDS, 17
+APART = 2  # steps of the length, of which four bits hold 16
 HELD_BYTES, STEP = 16 << 20, 1 << 17  # bytes of lines that are packed, and of lines that are sketched at a time
+LOOK = 64  # steps after which pairs that are beyond their bounds are left out
 _ODD = (tx.mix(np.arange(1, BITS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -195,10 +198,16 @@ def _lines(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         yield flush()
 
 
+def _lengths(values: pa.Array, similarity: float) -> np.ndarray:
+    """The bits of a mark that sketches leave free: the length in steps of which lines that are similar are APART apart at most, in a round."""
+    step = 1e-9 - (1 + 1e-6) / APART * np.log(min(1.0, max(similarity, 1e-9)))
+    return np.floor(np.log(np.array(pc.utf8_length(values), dtype=np.float64)) / step).astype(np.int64).view(np.uint64) << np.uint64(BITS)
+
+
 NODE = "node long, doc long, th long, line int, mark long, keys binary, value string"
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Distinct lines, numbered, with the places where they occur first, and without a number the places of others."""
     schema = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("mark", pa.int64()), ("keys", pa.binary()), ("value", pa.string())])
     node = TaskContext.get().partitionId() << 33
@@ -207,6 +216,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = _taken(data, np.append(0, np.cumsum(size)), first)
         for i, j, buf, offs in tx.chunks(values, lower=False):
             bits, bands = _sketches(buf, offs)
+            bits |= _lengths(values.slice(i, j - i), similarity)
             keys = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.arange(0, bands.nbytes + 1, 8 * BANDS, dtype=np.int32)), pa.py_buffer(bands)])
             places = (pa.array(x[first[i:j]]) for x in (doc, th, line))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(node, node + j - i)), *places, pa.array(bits.view(np.int64)), keys, values.slice(i, j - i).cast(pa.string())], schema=schema)
@@ -252,12 +262,12 @@ def edits(pairs: list[tuple[str, str]], most: np.ndarray | None = None) -> np.nd
     while at < len(order):
         longest = int(size[order[at]])
         end = at + 1
-        while end < len(order) and end - at < 4096 and 4 * size[order[end]] >= 3 * longest:
+        while end < len(order) and end - at < 4096 and 4 * size[order[end]] >= (3 if end - at >= 64 else 2) * longest:
             end += 1
         n, words = end - at, -(-longest // 64)
         own = order[at:end]
         band = min(words, int(bound[own].max()) // 32 + 2)
-        if band * (1e-6 + n * 0.5e-9) < n * (80e-9 + words * 1.5e-9):
+        if 20e-6 + n * band * 50e-9 < n * (1e-6 + band * 20e-9):  # seconds a character, as measured
             out[own] = _edits_by_blocks([pairs[i] for i in own], bound[own])
         else:
             for i in own:
@@ -312,67 +322,99 @@ def _edits_by_integers(a: str, b: str, most: int | None = None) -> int:
 
 
 def _edits_by_blocks(pairs: list[tuple[str, str]], bound: np.ndarray | None = None) -> np.ndarray:
+    """The pairs side by side, and the words of a pair too: each is a column behind the one above it, which hands down what it has just found."""
     short, long = zip(*((a, b) if len(a) <= len(b) else (b, a) for a, b in pairs), strict=True)
-    order = np.argsort([-len(x) for x in long], kind="stable")
-    m, n = np.array([len(short[i]) for i in order]), np.array([len(long[i]) for i in order])
-    count, words = len(order), max(1, -(-int(m.max()) // 64))
-    far = int(n.max()) if bound is None else int(bound.max())
+    m, n = (np.array([len(x) for x in side]) for side in (short, long))
+    count, words, length = len(pairs), max(1, -(-int(m.max()) // 64)), int(n.max())
+    far = max(1, length if bound is None else int(bound.max()))
 
-    def codes(texts: list[str]) -> np.ndarray:
+    def codes(texts: tuple[str, ...]) -> np.ndarray:
         return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
-    p, t = codes([short[i] for i in order]), codes([long[i] for i in order])
-    known, at = np.unique(np.concatenate([p, t]), return_inverse=True)
-    p, t = at[: p.size], at[p.size :]
-    # equal[symbol, pair, word]: where the short text has the symbol
-    equal = np.zeros((known.size, count, words), dtype=np.uint64)
+    p, t = codes(short), codes(long)
+    known = np.zeros(max(p.max(initial=0), t.max(initial=0)) + 1, dtype=np.int64)
+    known[p] = known[t] = 1
+    known = np.cumsum(known) * known  # from 1 on; 0 is no symbol
+    # equal[symbol, word, pair]: where the short text has the symbol
+    equal = np.zeros((int(known.max(initial=0)) + 1, words, count), dtype=np.uint64)
     place = np.arange(p.size) - np.repeat(np.cumsum(m) - m, m)
-    np.bitwise_or.at(equal, (p, np.repeat(np.arange(count), m), place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-    text = np.zeros((int(n.max(initial=0)), count), dtype=np.int64)
-    place = np.arange(t.size) - np.repeat(np.cumsum(n) - n, n)
-    text[place, np.repeat(np.arange(count), n)] = t
-    up, down = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), dtype=np.uint64)
-    one, top, pair = np.uint64(1), np.uint64(63), np.arange(count)
-    # the value at the last row of each word; words enter the band from below with the greatest value that they can have
-    score, high = np.zeros((words, count), dtype=np.int64), min(words - 1, far // 64)
-    score[: high + 1] = 64 * np.arange(1, high + 2)[:, None]
-    for step in range(len(text)):
-        live = int(np.searchsorted(-n, -step))  # texts longer than that; they come first
-        while high < words - 1 and 64 * (high + 1) <= step + far:
-            high += 1
-            score[high] = score[high - 1] + 64
-        low = max(0, min((step - far) // 64, high))
-        eqs = equal[text[step, :live], pair[:live], low : high + 1]
-        plus, minus = np.ones(live, dtype=np.uint64), np.zeros(live, dtype=np.uint64)
-        for w in range(low, high + 1):
-            pv, mv, eq = up[w, :live], down[w, :live], eqs[:, w - low]
-            xv = eq | mv
-            eq = eq | minus
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph = mv | ~(xh | pv)
-            mh = pv & xh
-            next_plus, next_minus = ph >> top, mh >> top
-            score[w, :live] += next_plus.astype(np.int64) - next_minus.astype(np.int64)
-            ph = ph << one | plus
-            mh = mh << one | minus
-            up[w, :live] = mh | ~(xv | ph)
-            down[w, :live] = ph & xv
-            plus, minus = next_plus, next_minus
-    # from the last row of the word that row m is in back to row m
-    last = np.maximum(m - 1, 0) // 64
-    rest = np.where(m - 64 * last >= 64, np.uint64(0), ~((one << np.minimum(m - 64 * last, 63).astype(np.uint64)) - one))
-    found = np.empty(count, dtype=np.int64)
-    value = score[last, pair] - np.bitwise_count(up[last, pair] & rest).astype(np.int64) + np.bitwise_count(down[last, pair] & rest).astype(np.int64)
-    found[order] = np.where(m == 0, n, value)
+    np.bitwise_or.at(equal, (known[p], place >> 6, np.repeat(np.arange(count), m)), np.uint64(1) << (place & 63).astype(np.uint64))
+    # long texts end at the same step; before they begin nothing is handed down, which leaves all as it is
+    begin = length - n
+    text = np.tile(np.arange(count), (length, 1))
+    place = np.arange(t.size) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+    text[place, np.repeat(np.arange(count), n)] += known[t] * (words * count)
+    unlike, word = np.invert(equal, out=equal).ravel(), np.arange(words)
+    row = word[:, None] * count
+    up, not_down = (np.full((words, count), ~np.uint64(0)) for _ in range(2))
+    not_plus, minus = (np.zeros((words + 1, count), dtype=np.uint64) for _ in range(2))
+    one, top, last = np.array(1, dtype=np.uint64), np.array(63, dtype=np.uint64), int(begin.max(initial=0))
+    # a word is in the band from one step to another; from there on, the word below gets the greatest value that it can have
+    enters = np.maximum(0, 64 * word - far) + word
+    leaves = np.minimum(length, 64 * (word + 1) + far + last) + word
+    steps = np.arange(int(leaves[-1]))
+    lows, highs = np.searchsorted(leaves, steps, side="right").tolist(), np.searchsorted(enters, steps, side="right").tolist()
+    before, live, found = 0, np.arange(count), np.zeros(count, dtype=np.int64)
+    for step, low, high in zip(steps.tolist(), lows, highs, strict=True):
+        if step <= last:
+            not_plus[0] = begin > step
+        if low < high:
+            at = text[step - high + 1 : step - low + 1][::-1] + row[low:high]
+            not_eq, pv, not_mv, in_plus, in_minus = unlike.take(at), up[low:high], not_down[low:high], not_plus[low:high], minus[low:high]
+            beside = not_eq & not_mv
+            eq = np.invert(not_eq, out=not_eq)
+            eq |= in_minus
+            xh = eq & pv
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            not_ph = np.bitwise_or(xh, pv, out=eq)
+            not_ph &= not_mv
+            mh = np.bitwise_and(xh, pv, out=xh)
+            shifted = not_ph << one
+            shifted |= in_plus
+            np.right_shift(not_ph, top, out=not_plus[low + 1 : high + 1])
+            np.bitwise_or(shifted, beside, out=not_mv)
+            beside &= shifted
+            np.left_shift(mh, one, out=shifted)
+            shifted |= in_minus
+            np.right_shift(mh, top, out=minus[low + 1 : high + 1])
+            np.bitwise_or(shifted, beside, out=pv)
+        if low > before:
+            not_plus[low], minus[low], before = 0, 0, low
+        if bound is not None and step % LOOK == LOOK - 1 and low < high and step < length:
+            kept = _least(step, low, high, up, ~not_down, not_plus, minus, begin, n - m) <= bound[live]
+            if np.count_nonzero(kept) <= 0.8 * live.size:
+                found[live[~kept]] = bound[live[~kept]] + 1
+                live, begin, m, n = live[kept], begin[kept], m[kept], n[kept]
+                text, up, not_down, not_plus, minus = (x.compress(kept, axis=1) for x in (text, up, not_down, not_plus, minus))
+                if not live.size:
+                    return found
+    size = np.clip(m - 64 * word[:, None], 0, 64)
+    rows = np.where(size > 0, ~np.uint64(0) >> (64 - np.maximum(size, 1)).astype(np.uint64), np.uint64(0))
+    found[live] = n + (np.bitwise_count(up & rows).astype(np.int64) - np.bitwise_count(~not_down & rows)).sum(axis=0)
     return found
 
 
-def _at_most(a: str, b: str) -> int:
-    """A bound of the edit distance from above: words in turn, one of either side left out where the next ones agree."""
+def _least(step: int, low: int, high: int, up: np.ndarray, down: np.ndarray, not_plus: np.ndarray, minus: np.ndarray, begin: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """What the distance is at least: any path goes by the cells just found, and from there on costs what lengths differ by."""
+    net = lambda a, b: np.bitwise_count(up[a:b]).astype(np.int32) - np.bitwise_count(down[a:b])
+    column = np.maximum(0, step + 1 - np.arange(low, high)[:, None] - begin).astype(np.int32)
+    heads = column[:1] + net(0, low).sum(axis=0, dtype=np.int32)
+    behind = net(low, high - 1) - (1 - not_plus[low + 1 : high].astype(np.int32) - minus[low + 1 : high].astype(np.int32))
+    heads = np.concatenate([heads, heads + np.cumsum(behind, axis=0, dtype=np.int32)])
+    bits = [np.unpackbits(np.ascontiguousarray(x[low:high])[..., None].view(np.uint8), axis=-1, bitorder="little").view(np.int8) for x in (up, down)]
+    value = heads[..., None] + np.cumsum(bits[0] - bits[1], axis=-1, dtype=np.int8)
+    rest = (longer - column + 64 * np.arange(low, high, dtype=np.int32)[:, None]).astype(np.int32)[..., None] + np.arange(1, 65, dtype=np.int32)
+    return (value + np.abs(rest)).min(axis=(0, 2)) - 2
+
+
+def _at_most(a: str, b: str, most: float = float("inf")) -> int:
+    """A bound of the edit distance from above: words in turn, one of either side left out where the next ones agree; beyond most, just some number beyond it."""
     x, y = a.split(" "), b.split(" ")
     i = j = cost = 0
     m, n = len(x), len(y)
-    while i < m and j < n:
+    while i < m and j < n and cost <= most:
         if x[i] == y[j]:
             i, j = i + 1, j + 1
         elif i + 1 < m and j + 1 < n and x[i + 1] == y[j + 1]:
@@ -395,10 +437,10 @@ def similar(pairs: list[tuple[str, str]], similarity: float) -> np.ndarray:
     longer = np.array([max(map(len, x)) for x in pairs], dtype=np.int64)
     most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
     out = np.array([abs(len(a) - len(b)) for a, b in pairs], dtype=np.int64) <= most
-    some = []
+    some, bounds = [], most.tolist()
     for i in np.flatnonzero(out).tolist():
         a, b = _trimmed(*pairs[i])
-        if max(len(a), len(b)) > most[i] and _at_most(*pairs[i]) > most[i]:
+        if max(len(a), len(b)) > bounds[i] and _at_most(*pairs[i], bounds[i]) > bounds[i]:
             some.append(i)
     some = np.array(some, dtype=np.int64)
     out[some] = edits([pairs[i] for i in some], most[some]) <= most[some]
@@ -424,13 +466,13 @@ def surplus(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMIL
     with passing() as keep:
         parts = buckets.n_parts(narrow)
         packed = narrow.mapInArrow(lambda it: _lines(it, parts), ", ".join(["part int", *(f"{name} binary" for name in LINES)]))
-        nodes = written(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_nodes, NODE), "nodes")
+        nodes = written(packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _nodes(it, similarity), NODE), "nodes")
         distinct = nodes.where("node is not null")
 
         def values(wanted: DataFrame) -> DataFrame:
             return written(distinct.select("node", "value").join(wanted, "node", "left_semi"), "texts")
 
-        _, groups = buckets.grouped(distinct.select("node", "mark", "keys"), distance, values, _test(similarity))
+        _, groups = buckets.grouped(distinct.select("node", "mark", "keys"), buckets.Near(distance, BITS, APART), values, _test(similarity))
         place = F.struct("doc", "th", "line")
         alike = written(distinct.select("node", place.alias("place")).join(groups, "node").select("root", "place"), "alike")
         stays = alike.groupBy("root").agg(F.min("place").alias("stay"))

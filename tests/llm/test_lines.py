@@ -198,3 +198,51 @@ def test_lines_travel_by_parts():
     cut = np.append(0, np.cumsum(size))
     assert sorted(data[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)) == [b"a b", b"c d", b"x"]
     assert set(zip(*(x.tolist() for x in gone), strict=True)) == {(1, 10, 2), (2, 20, 2)}
+
+
+def test_lines_of_unlike_length_are_no_candidates():
+    """Nothing that is similar is left out, and most that lengths forbid is."""
+    size = np.arange(1, 1500)
+    mark = L._lengths(pa.array(["x" * n for n in size]), L.SIMILARITY).view(np.int64)
+    near = L.buckets.Near(L.DISTANCE, L.BITS, L.APART)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(size.size), np.arange(size.size)))
+    longer = np.maximum(size[a], size[b])
+    may = np.abs(size[a] - size[b]) <= np.floor((1 - L.SIMILARITY) * longer + 1e-9)
+    got = L.buckets._near(mark[a], mark[b], near)
+    assert not (may & ~got).any()
+    assert got[~may].mean() < 0.3
+    key, grp, side = (np.arange(size.size), np.arange(size.size), np.full(size.size, L.buckets.BLOCK_SIDE))
+    side[::2] = L.buckets.MAJOR
+    pairs = list(L.buckets._candidates(0, size.size, key, mark, grp, side, near))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    u, w = np.meshgrid(key[side == L.buckets.BLOCK_SIDE], key[side == L.buckets.MAJOR], indexing="ij")
+    ok = L.buckets._near(mark[u], mark[w], near)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(u[ok].tolist(), w[ok].tolist(), strict=True))
+    for similarity in (0.0, 0.3, 1.0):
+        own = L._lengths(pa.array(["x" * n for n in size]), similarity).view(np.int64)
+        may = np.abs(size[a] - size[b]) <= np.floor((1 - similarity) * longer + 1e-9)
+        assert L.buckets._near(own[a], own[b], near)[may].all()
+
+
+def test_pairs_beyond_their_bounds_are_left_early(monkeypatch):
+    """Distances within the bounds are exact, and pairs of no similarity take few steps."""
+    r, looks = random.Random(11), []
+    least = L._least
+    monkeypatch.setattr(L, "_least", lambda step, *x: looks.append(step) or least(step, *x))
+    text = lambda n: "".join(r.choice("abcd é☃") for _ in range(n))
+    for size in (1, 63, 64, 65, 200, 700):
+        pairs = []
+        for _ in range(25):
+            a = text(r.randint(size // 2, size))
+            b = list(a)
+            for _ in range(r.choice([0, 1, size // 20, size // 5])):
+                k = r.randrange(len(b) + 1)
+                b[k : k + r.choice([0, 1])] = r.choice(["", "x", "ab"])
+            pairs.append((a, r.choice(["".join(b), text(len(a))])))
+        most = np.array([r.choice([0, 1, 64, max(map(len, x)) // 7]) for x in pairs])
+        want = np.array([L._edits_by_integers(*x) for x in pairs])
+        got = L._edits_by_blocks(pairs, most)
+        assert ((got == want) | ((got > most) & (want > most))).all()
+    looks.clear()
+    assert (L._edits_by_blocks([("a" * 2000, "b" * 2000)] * 3, np.full(3, 100)) > 100).all()
+    assert max(looks) < 500
