@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from tessellum.functions import paths
+from tessellum.functions import batches, paths
 from tessellum.structure import nesting
 from tessellum.structure.extract import KINDS, LABELS, extracted
 from tessellum.structure.syntax import EXTENSIONS
@@ -38,7 +38,10 @@ def selected(files: DataFrame, include: list[str] | None = None, exclude: list[s
 
 
 def scanned(files: DataFrame, kinds: str = "all") -> DataFrame:
-    """files(path, content) with index; a null content or an unknown extension gives its error."""
+    """files(path, content) with index; a null content or an unknown extension gives its error.
+
+    Parsing takes so much longer than moving a text that the files are spread over all cores first.
+    """
     if kinds not in KINDS:
         raise ValueError(f"kinds is one of {', '.join(KINDS)}")
     kind = pa.struct([(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(INDEX).fields])
@@ -52,11 +55,14 @@ def scanned(files: DataFrame, kinds: str = "all") -> DataFrame:
             return {**empty, "error": f"unsupported file type: {path}"}
         return {**extracted(text, ext, kinds), "error": None}
 
+    def some(path: pa.Array, content: pa.Array) -> pa.Array:
+        return pa.array([one(p, t) for p, t in zip(path.to_pylist(), content.to_pylist(), strict=True)], kind)
+
     @F.arrow_udf(INDEX)
     def index(path: pa.Array, content: pa.Array) -> pa.Array:
-        return pa.array([one(p, t) for p, t in zip(path.to_pylist(), content.to_pylist(), strict=True)], kind)
+        return pa.concat_arrays([some(path[i:j], content[i:j]) for i, j in batches.parts(content)] or [some(path, content)])
 
-    return files.withColumn("index", index("path", "content")).drop("content")
+    return batches.bounded(batches.spread(files, "path", "content")).withColumn("index", index("path", "content")).drop("content")
 
 
 def functions(scan: DataFrame) -> DataFrame:
