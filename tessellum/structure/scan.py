@@ -62,7 +62,8 @@ def scanned(files: DataFrame, kinds: str = "all") -> DataFrame:
     def index(path: pa.Array, content: pa.Array) -> pa.Array:
         return pa.concat_arrays([some(path[i:j], content[i:j]) for i, j in batches.parts(content)] or [some(path, content)])
 
-    return batches.bounded(batches.spread(files, "path", "content")).withColumn("index", index("path", "content")).drop("content")
+    # a filter on the index would else be pushed below it, and every file parsed once more
+    return batches.bounded(batches.spread(files, "path", "content")).withColumn("index", index.asNondeterministic()("path", "content")).drop("content")
 
 
 def functions(scan: DataFrame) -> DataFrame:

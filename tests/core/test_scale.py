@@ -28,3 +28,9 @@ def test_parts_are_small_and_whole():
     assert all(j - i <= batches.PART_ROWS and sum(map(len, filter(None, texts[i:j].to_pylist()))) <= batches.PART_BYTES for i, j in cut)
     assert list(batches.parts(pa.array([], pa.string()))) == []
     assert list(batches.parts(pa.array(["a" * batches.PART_BYTES * 2, "b"]))) == [(0, 1), (1, 2)]
+
+
+def test_a_filter_on_the_index_does_not_parse_again(spark):
+    found = scan.scanned(snippets.script_files(spark))
+    for view in (scan.files_view(found), scan.folders_view(found), scan.stats(found)):
+        assert plan(view).count("[index(") == 1
