@@ -339,11 +339,7 @@ def _kinds_sql() -> str:
 @query(f"WITH {_C}, f AS ({_FUNCTIONS}) {_kinds_sql()}")
 def script_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions of all scripts under each filter of kinds."""
-    files, out = scan.selected(scripts(spark, sf_dir)), None
-    for name in KINDS:
-        rows = scan.compact_functions(scan.scanned(files, name)).select(F.lit(name).alias("kinds"), "*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return scan.kinds_view(scan.scanned(scan.selected(scripts(spark, sf_dir))), list(KINDS))
 
 
 @query(

@@ -93,6 +93,12 @@ def compact_functions(scan: DataFrame) -> DataFrame:
     return functions(scan).select("path", "line", "col", F.coalesce("name", F.lit("")).alias("name"), F.col("exported").cast("int").alias("exported"), "kind")
 
 
+def kinds_view(scan: DataFrame, kinds: list[str]) -> DataFrame:
+    """compact_functions() under each of the filters, with its name in front; scan has all kinds, and is parsed once for all filters."""
+    names = F.array_compact(F.array(*[F.when(F.col("kind").isin(sorted(KINDS[k])), F.lit(k)) for k in kinds]))
+    return compact_functions(scan).select(F.explode(names).alias("kinds"), "*")
+
+
 def compact_bindings(scan: DataFrame) -> DataFrame:
     return bindings(scan).select("path", "line", "col", "name", "kind", "refs")
 

@@ -34,3 +34,11 @@ def test_a_filter_on_the_index_does_not_parse_again(spark):
     found = scan.scanned(snippets.script_files(spark))
     for view in (scan.files_view(found), scan.folders_view(found), scan.stats(found)):
         assert plan(view).count("[index(") == 1
+
+
+def test_all_filters_of_kinds_take_one_scan(spark):
+    files = snippets.script_files(spark)
+    view = scan.kinds_view(scan.scanned(files), list(KINDS))
+    assert plan(view).count("[index(") == 1
+    want = [(k, *r) for k in KINDS for r in scan.compact_functions(scan.scanned(files, k)).collect()]
+    assert sorted(map(tuple, view.collect())) == sorted(want)
