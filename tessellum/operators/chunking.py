@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.functions import paths
+from tessellum.functions import batches, paths
 from tessellum.functions import text as tx
 
 SIZE, OVERLAP, LINE_BYTES = 1000, 100, 40
@@ -92,10 +92,16 @@ def split(source: str, ext: str, size: int = SIZE, overlap: int = OVERLAP) -> li
     return code(source, ext, size, overlap)
 
 
+def _by_parts(f, texts: pa.Array, *more: pa.Array) -> pa.Array:  # noqa: ANN001
+    """f of a few texts after the other: of a batch no more than a part are Python objects at a time."""
+    cut = [pa.array(f(texts[i:j], *[m[i:j] for m in more]), pa.list_(pa.string())) for i, j in batches.parts(texts)]
+    return pa.concat_arrays(cut or [pa.array([], pa.list_(pa.string()))])
+
+
 def _splitter(f, size: int, overlap: int):  # noqa: ANN001, ANN202
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else f(t, size, overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return _by_parts(lambda t: [None if x is None else f(x, size, overlap) for x in t.to_pylist()], texts)
 
     return run
 
@@ -113,8 +119,7 @@ def split_chunks(text: Column, path: Column, size: int = SIZE, overlap: int = OV
 
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array, exts: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), exts.to_pylist(), strict=True)
-        return pa.array([None if t is None else split(t, e or "", size, overlap) for t, e in rows], pa.list_(pa.string()))
+        return _by_parts(lambda t, x: [None if a is None else split(a, b or "", size, overlap) for a, b in zip(t.to_pylist(), x.to_pylist(), strict=True)], texts, exts)
 
     return run(text, paths.extension(path))
 
@@ -122,7 +127,7 @@ def split_chunks(text: Column, path: Column, size: int = SIZE, overlap: int = OV
 def exploded(files: DataFrame, chunks: Column) -> DataFrame:
     """files with chunk_no and chunk, a row for each chunk, without content."""
     rest = [c for c in files.columns if c != "content"]
-    return files.select(*rest, F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return batches.bounded(files).select(*rest, F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
 def chunked(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

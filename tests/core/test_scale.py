@@ -42,3 +42,20 @@ def test_all_filters_of_kinds_take_one_scan(spark):
     assert plan(view).count("[index(") == 1
     want = [(k, *r) for k in KINDS for r in scan.compact_functions(scan.scanned(files, k)).collect()]
     assert sorted(map(tuple, view.collect())) == sorted(want)
+
+
+def test_texts_are_split_a_part_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessellum.operators import chunking
+
+    texts = ["a\n" * 600_000, None, "", "b\n" * 1000] + ["c\n" * 1000] * 3000
+    seen = []
+    out = chunking._by_parts(lambda t: seen.append(t.nbytes) or [None if x is None else chunking.plain(x) for x in t.to_pylist()], pa.array(texts))
+    assert out.to_pylist() == [None if t is None else chunking.plain(t) for t in texts]
+    assert len(seen) >= 7 and max(seen[1:]) <= batches.PART_BYTES * 1.1
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28))
+    files = spark.createDataFrame([("a.md", "x")], "file_path string, content string")
+    chunking.chunked(files)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= batches.BATCH_BYTES
