@@ -13,7 +13,7 @@ from tessellum.functions import paths
 from tessellum.operators import chunking, embedding, search, state, tree
 from tessellum.operators.embedding import Config
 from tessellum.sources import files as sources
-from tessellum.sources.store import Store
+from tessellum.sources.store import KEY_BYTES, KEYS_BYTES, Store
 from tessellum.structure import scan as scans
 
 Provider = Callable[[Sequence[str]], list[list[float]]]
@@ -121,42 +121,60 @@ class Engine:
         """The same for files(project, file_path, content, size) from anywhere; root is where keys of services are looked for.
 
         Contents are read to be hashed, and those of changed files once more to be split; what is
-        joined in between are paths and hashes.  Vectors are made before anything is changed, and all tables
+        joined in between are paths and hashes.  Contents go to where the chunks are written, so that vectors, which are
+        larger, are written once and never shuffled.  They are made before anything is changed, and all tables
         change at once: a failure leaves the index as it was.
         """
         config = self._for_index(project, embedding_spec)
         before = self.store.pointers().get(project)
         provider, staged = self._provider(config, root), [self.store.stage_path() for _ in range(2)]
-        hashes = self.store.read("hashes", project)
+        hashes, version = self.store.read("hashes", project), None
         try:
-            statuses = self._staged(state.classified(table, hashes, force or single, max_bytes).drop("content"), staged[0])
-            work = statuses.where("status = 'changed'").select(*state.KEY, "content_hash")
-            rows = chunking.chunked(table.select(*state.KEY, "content").join(work, state.KEY), chunk_size, chunk_overlap)
-            try:
-                rows = self._staged(embedding.embedded(rows, provider), staged[1])
-            except Exception as e:
-                if embedding.KeyRejected.__name__ in str(e):
-                    provider.refused()
-                raise
-            size = rows.agg(F.sum(F.octet_length("chunk") + 4 * F.lit(config.dimensions)).alias("n")).first()["n"]
-            if size is None:
-                counted = state.counters(statuses, rows, self.store.read("chunks", project)).first()
-                return self._counts(counted)
-            done = rows.select(*state.KEY, "content_hash").distinct()
+            measured = table.withColumn("n_bytes", F.octet_length("content").cast("long"))
+            statuses = self._staged(state.classified(measured, hashes, force or single, max_bytes).drop("content"), staged[0])
+            work = statuses.where("status = 'changed'").select(*state.KEY, "content_hash", "n_bytes")
             swept = state.deleted(table, hashes) if force and not single else None
-            counted = state.counters(statuses, rows, self.store.read("chunks", project), swept).first()
-            new = rows.select(
+            total = work.agg(F.count("*").alias("files"), F.sum("n_bytes").alias("bytes"), F.sum(F.octet_length("file_path") + KEY_BYTES).alias("keys")).first()
+            if not total["files"]:
+                return self._counts(state.counters(statuses, work, self.store.read("chunks", project)).first())
+            n_chunks = total["files"] + total["bytes"] // max(1, chunk_size - chunk_overlap, chunk_size // 2)
+            size = total["bytes"] + 4 * config.dimensions * n_chunks
+            n = self.store.buckets(before, size)
+            files = table.select(*state.KEY, "content", "size")
+            if force or single or not (before and before.get("hashes")):
+                files = files.where(F.col("content").isNotNull() & F.coalesce(F.col("size") <= max_bytes, F.lit(True)))
+            else:
+                keys = work.select(*state.KEY).distinct()
+                files = files.join(F.broadcast(keys) if total["keys"] <= KEYS_BYTES else keys, state.KEY, "left_semi")
+            rows = chunking.chunked(self.store.laid_out(files.drop("size"), work, n, size), chunk_size, chunk_overlap)
+            rows = embedding.embedded(rows, provider).select(
                 F.concat("project", F.lit("/"), "file_path", F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 9, "0")).alias("id"),
                 F.col("chunk").alias("content"), "project", F.col("file_path").alias("source"), paths.language(F.col("file_path")).alias("language"),
                 F.lit(config.provider).alias("provider"), F.lit(config.model).alias("model"), F.lit(config.dimensions).alias("dimensions"), "chunk_no", "embedding",
             )
-            gone = done.select("file_path", F.lit(True).alias("hash_too"))
+            version = self.store.new_version()
+            try:
+                self.store.add("chunks", project, rows, n, version)
+            except Exception as e:
+                if embedding.KeyRejected.__name__ in str(e):
+                    provider.refused()
+                raise
+            split = self.store.added("chunks", version).select("project", F.col("source").alias("file_path")).distinct()
+            done = work.drop("n_bytes").join(split, state.KEY, "left_semi").distinct().withColumn("hash_too", F.lit(True))
+            gone = done
             if swept is not None:  # their hashes stay
-                gone = gone.unionByName(swept.select("file_path", F.lit(False).alias("hash_too")))
-            self.store.put(project, new, done.withColumn("indexed_at", F.current_timestamp()), gone, size, self._with_project(project, config), before)
+                gone = gone.unionByName(swept.select(*state.KEY, F.lit(None).cast("string").alias("content_hash"), F.lit(False).alias("hash_too")))
+            gone = self._staged(gone, staged[1])
+            done = gone.where("hash_too")
+            if done.isEmpty():
+                return self._counts(state.counters(statuses, done, self.store.read("chunks", project)).first())
+            counted = state.counters(statuses, done, self.store.read("chunks", project), swept).first()
+            new = done.select(*state.KEY, "content_hash", F.current_timestamp().alias("indexed_at"))
+            self.store.put(project, version, new, gone.select("file_path", "hash_too"), n, self._with_project(project, config), before)
+            version = None
             return self._counts(counted)
         finally:
-            for path in staged:
+            for path in [*staged, *([self.store.version_path("chunks", version)] if version else [])]:
                 self.store.discard(path)
 
     @staticmethod

@@ -16,6 +16,7 @@ import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 from pathlib import Path
 
 import pyarrow as pa
@@ -140,11 +141,10 @@ def embedded(rows: DataFrame, provider: Callable[[], Callable[[Sequence[str]], l
         for batch in batches:
             texts = batch.to_pylist()
             some = [t for t in texts if t is not None]
-            got: list[list[float]] = []
-            for i in range(0, len(some), BATCH):
-                got.extend(call(some[i : i + BATCH]))
-            vectors = iter(got)
-            yield pa.array([None if t is None else next(vectors) for t in texts], pa.list_(pa.float32()))
+            kind = pa.list_(pa.float32())
+            got = [pa.array(call(some[i : i + BATCH]), kind) for i in range(0, len(some), BATCH)]
+            place = accumulate((t is not None for t in texts), initial=0)
+            yield pa.concat_arrays(got or [pa.array([], kind)]).take(pa.array([None if t is None else k for t, k in zip(texts, place, strict=False)], pa.int32()))
 
     return rows.withColumn(name, run.asNondeterministic()(F.col(text)))
 

@@ -28,10 +28,11 @@ def hashed(files: DataFrame) -> DataFrame:
 def classified(files: DataFrame, hashes: DataFrame, force: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
     """files with content_hash and status: oversized, unreadable, unchanged or changed."""
     stored = hashes.select(*KEY, F.col("content_hash").alias("stored_hash"))
+    # no status asks for the content itself, so that it need not go through the join
     now = files.withColumn("content_hash", tx.content_hash(F.col("content")))
     same = F.lit(False) if force else F.col("stored_hash").eqNullSafe(F.col("content_hash"))
     status = (
-        F.when(F.col("size") > max_bytes, "oversized").when(F.col("content").isNull(), "unreadable").when(same, "unchanged").otherwise("changed")
+        F.when(F.col("size") > max_bytes, "oversized").when(F.col("content_hash").isNull(), "unreadable").when(same, "unchanged").otherwise("changed")
     )
     return now.join(stored, KEY, "left").withColumn("status", status).drop("stored_hash")
 

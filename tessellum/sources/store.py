@@ -31,6 +31,9 @@ SCHEMAS = {
 }
 PATHS = {"chunks": "source", "hashes": "file_path"}
 BUCKET_BYTES, LOCK_SECONDS = 256 << 20, 60.0
+#: New rows of a bucket are written by so many tasks at most, of so many bytes at least. A run whose buckets have more files than FRAGMENTS each
+#: brings their rows together. Keys of files are broadcast up to so many bytes, counted with KEY_BYTES for each.
+TASKS, TASK_BYTES, FRAGMENTS, KEYS_BYTES, KEY_BYTES = 8, 16 << 20, 16, 32 << 20, 64
 
 
 class Changed(RuntimeError):
@@ -102,22 +105,65 @@ class Store:
         before = self.pointers().get(project)
         self._replace(project, before, {"projects": self._written("projects", config.withColumn("bucket", F.lit(0)), project, [0])}, (before or {}).get("n", 1))
 
-    def put(self, project: str, chunks: DataFrame, hashes: DataFrame, gone: DataFrame, n_bytes: int, config: DataFrame, before: dict | None) -> list[int]:
-        """Adds rows of chunks and hashes, takes out those of files in gone(file_path, hash_too); the buckets that were written.
+    def buckets(self, before: dict | None, n_bytes: int) -> int:
+        """How many buckets a project has, or gets for so many bytes."""
+        return before["n"] if before and before.get("chunks") else max(1, -(-n_bytes // self.bucket_bytes))
+
+    def laid_out(self, files: DataFrame, work: DataFrame, n: int, n_bytes: int) -> DataFrame:
+        """files(file_path, ...) by the buckets of their chunks, so that what is made of them is written where it is made; work has their paths."""
+        touched = sorted(r[0] for r in work.select(self.bucket(F.col("file_path"), n)).distinct().collect())
+        want = min(-(-n_bytes // TASK_BYTES), 4 * self.spark.sparkContext.defaultParallelism)
+        k = max(1, min(TASKS, -(-want // max(1, len(touched)))))
+        place = F.pmod(F.hash("file_path"), F.lit(k)).cast("int") + self._position(self.bucket(F.col("file_path"), n), touched) * k
+        return files.repartitionById(max(1, len(touched)) * k, place)
+
+    @staticmethod
+    def _position(bucket: Column, touched: list[int]) -> Column:
+        return (F.array_position(F.lit(touched), bucket) - 1).cast("int") if touched else F.lit(0)
+
+    def new_version(self) -> str:
+        return uuid.uuid4().hex
+
+    def add(self, name: str, project: str, rows: DataFrame, n: int, version: str) -> str:
+        """Writes rows below a version that nothing points to as yet, where they are; the version."""
+        columns = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        rows = rows.withColumn("bucket", self.bucket(F.col(PATHS[name]), n))
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in columns], "bucket").write.mode("append").partitionBy("project", "bucket").parquet(self.version_path(name, version))
+        return version
+
+    def version_path(self, name: str, version: str) -> str:
+        return f"{self.place}/{name}/v={version}"
+
+    def added(self, name: str, version: str) -> DataFrame:
+        """The rows below a version."""
+        schema = SCHEMAS[name] + ", v string, bucket int"
+        return self.spark.read.schema(schema).option("basePath", f"{self.place}/{name}").parquet(_unglobbed(self.version_path(name, version)))
+
+    def put(self, project: str, chunks: str, hashes: DataFrame, gone: DataFrame, n: int, config: DataFrame, before: dict | None) -> list[int]:
+        """Adds the chunks of a version that add() wrote, and hashes, takes out those of files in gone(file_path, hash_too); the buckets that were written.
 
         Where hash_too is false the file's hash stays.  before is what pointers() had of the
-        project when the run began to look at it.
+        project when the run began to look at it.  Rows that stay are copied where they are read, without a
+        shuffle, but for those of buckets that have become many small files.
         """
-        n = before["n"] if before and before.get("chunks") else max(1, -(-n_bytes // self.bucket_bytes))
-        touched = sorted(r[0] for r in gone.select(self.bucket(F.col("file_path"), n)).distinct().collect())
-        out = {}
-        for name, new in (("chunks", chunks), ("hashes", hashes)):
+        weight = F.sum(F.octet_length("file_path") + KEY_BYTES)
+        keys = {r["bucket"]: r["n"] for r in gone.groupBy(self.bucket(F.col("file_path"), n).alias("bucket")).agg(weight.alias("n")).collect()}
+        touched, out = sorted(keys), {}
+        brought = self.laid_out(hashes, gone, n, 0)
+        for name, version in (("chunks", chunks), ("hashes", self.add("hashes", project, brought, n, self.new_version()))):
             path = PATHS[name]
             out_of = gone.where("hash_too") if name == "hashes" else gone
-            old = self.read(name, project, touched)
-            kept = old.join(out_of.select(F.col("file_path").alias(path)).distinct(), path, "left_anti").select(old.columns)
-            rows = kept.unionByName(new.select(old.columns)).withColumn("bucket", self.bucket(F.col(path), n))
-            out[name] = self._written(name, rows, project, touched)
+            for some in _rounds(keys, KEYS_BYTES):
+                old = self.read(name, project, some)
+                n_files = len(old.inputFiles())
+                if not n_files:
+                    continue
+                taken = out_of.where(self.bucket(F.col("file_path"), n).isin(some)).select(F.col("file_path").alias(path)).distinct()
+                kept = old.join(F.broadcast(taken), path, "left_anti").select(old.columns)
+                if n_files > FRAGMENTS * len(some):
+                    kept = kept.repartitionById(len(some), self._position(self.bucket(F.col(path), n), some))
+                self.add(name, project, kept, n, version)
+            out[name] = self._versions(name, project, touched, version)
         out["projects"] = self._written("projects", config.withColumn("bucket", F.lit(0)), project, [0])
         self._replace(project, before, out, n)
         return touched
@@ -136,6 +182,9 @@ class Store:
         columns = self.spark.createDataFrame([], SCHEMAS[name]).schema
         out = rows.select(*[F.col(f.name).cast(f.dataType) for f in columns], "bucket")
         out.repartition(max(1, len(buckets)), "bucket").write.partitionBy("project", "bucket").parquet(f"{self.place}/{name}/v={version}")
+        return self._versions(name, project, buckets, version)
+
+    def _versions(self, name: str, project: str, buckets: list[int], version: str) -> dict[str, str | None]:
         return {str(b): version if self._fs.exists(self._path(self._at(name, project, str(b), version))) else None for b in buckets}
 
     def _replace(self, project: str, before: dict | None, tables: dict[str, dict[str, str | None]], n: int) -> None:
@@ -207,3 +256,15 @@ class Store:
 def _unglobbed(place: str) -> str:
     """A path in which no sign means many."""
     return "".join("\\" + c if c in "[]{}*?\\" else c for c in place)
+
+
+def _rounds(weights: dict[int, int], most: int) -> list[list[int]]:
+    """The keys in order, in runs of that weight at most, or one."""
+    out, held = [], most + 1
+    for key in sorted(weights):
+        if held + weights[key] > most:
+            out.append([])
+            held = 0
+        out[-1].append(key)
+        held += weights[key]
+    return out

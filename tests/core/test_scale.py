@@ -59,3 +59,61 @@ def test_texts_are_split_a_part_at_a_time(spark, monkeypatch):
     files = spark.createDataFrame([("a.md", "x")], "file_path string, content string")
     chunking.chunked(files)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= batches.BATCH_BYTES
+
+
+SCHEMA = "project string, file_path string, content string, size long"
+
+
+def test_vectors_are_written_once_and_stay_where_they_are(spark, tmp_path, monkeypatch):
+    from tessellum.engine import Engine
+    from tessellum.sources import store
+
+    e = Engine(spark, f"file://{tmp_path}/store")
+    e.store.bucket_bytes = 8192
+    seen = []
+    add = store.Store.add
+    monkeypatch.setattr(store.Store, "add", lambda self, name, project, rows, n, version: seen.append((name, plan(rows))) or add(self, name, project, rows, n, version))
+
+    def files(edited=()):
+        return spark.createDataFrame([("p", f"f{i}.md", f"# {i}\n" + "text " * 50 + ("!" if i in edited else ""), 260) for i in range(40)], SCHEMA)
+
+    assert e.index_table(files(), "p") == {"added": 40, "skipped": 0, "updated": 0, "deleted": 0}
+    # of the vectors' rows only the contents are shuffled, before vectors are made of them
+    made = [p for name, p in seen if name == "chunks" and "ArrowEvalPython" in p]
+    assert len(made) == 1 and made[0].index("ArrowEvalPython") < made[0].index("Exchange")
+    assert not list(tmp_path.glob("store/staged/*"))
+    seen.clear()
+    assert e.index_table(files({3, 7}), "p") == {"added": 0, "skipped": 38, "updated": 2, "deleted": 2}
+    kept = [p for name, p in seen if name == "chunks" and "ArrowEvalPython" not in p]
+    assert kept and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p and "repartition" not in p.lower() for p in kept)
+    rows = e.store.read("chunks", "p").collect()
+    assert len(rows) == 40 and {r.source for r in rows if r.content[-1] == "!"} == {"f3.md", "f7.md"} and e.store.read("hashes", "p").count() == 40
+
+
+def test_buckets_of_many_small_files_are_brought_together(spark, tmp_path, monkeypatch):
+    from tessellum.engine import Engine
+    from tessellum.sources import store
+
+    monkeypatch.setattr(store, "FRAGMENTS", 2)
+    e = Engine(spark, f"file://{tmp_path}/store")
+    for k in range(6):
+        table = spark.createDataFrame([("p", f"f{i}.md", f"# {i} of {k if i == k else 9}", 9) for i in range(8)], SCHEMA)
+        e.index_table(table, "p")
+    assert e.store.read("chunks", "p").count() == 8 and len(e.store.read("chunks", "p").inputFiles()) <= 4
+
+
+def test_keys_are_broadcast_in_rounds():
+    from tessellum.sources.store import _rounds
+
+    assert _rounds({3: 5, 1: 5, 2: 6, 4: 20, 5: 1}, 11) == [[1, 2], [3], [4], [5]] and _rounds({}, 9) == []
+
+
+def test_contents_do_not_go_through_the_join_with_hashes(spark):
+    from tessellum.operators import state
+
+    files = spark.createDataFrame([("p", "a", "x", 1), ("p", "b", None, 1)], SCHEMA)
+    hashes = spark.createDataFrame([("p", "a", "0")], "project string, file_path string, content_hash string")
+    rows = state.classified(files.repartition(3), hashes.hint("merge"))
+    assert {(r.file_path, r.status) for r in rows.collect()} == {("a", "changed"), ("b", "unreadable")}
+    exchange = plan(rows.drop("content")).split("SortMergeJoin")[1]
+    assert "content" not in exchange.split("Exchange")[0].replace("content_hash", "")
